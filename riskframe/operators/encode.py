@@ -27,6 +27,18 @@ from pyspark.sql import functions as F
 from riskframe.sources.loans import SPLIT, TARGET
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Write a fitted table to the shared checkpoint folder and read it back.
+
+    Fitted tables are small (one row per key × fold/block/month) but feed one
+    join per encoded column; writing them once keeps every join from
+    re-running the aggregation, and survives executor loss.
+    """
+    from riskframe.plans.common import write_table
+
+    return write_table(df, "fit")
+
+
 def _is_train(split: str = SPLIT) -> Column:
     return F.col(split) == 1
 
@@ -52,7 +64,7 @@ def fit_freq(df: DataFrame, cols: list[str]) -> DataFrame:
     long = keyed.unpivot([], cols, "col", "key")
     counts = long.groupBy("col", "key").agg(F.count(F.lit(1)).alias("n"))
     total = df.count()
-    return counts.select("col", "key", (F.col("n") / F.lit(float(max(total, 1)))).alias("freq"))
+    return _written(counts.select("col", "key", (F.col("n") / F.lit(float(max(total, 1)))).alias("freq")))
 
 
 def apply_freq(df: DataFrame, table: DataFrame, col: str, out: str | None = None) -> DataFrame:
@@ -97,6 +109,33 @@ def hash_fold(id_col: Column, k: int) -> Column:
     return (h % k).cast("int")
 
 
+def _long_keys(df: DataFrame, keys: list[str], extra: list) -> DataFrame:
+    """Unpivot key columns to (col, key) rows — one scan serves every column.
+
+    Keys are compared as text so columns of different types share one table;
+    null keys are dropped (they never match a lookup).
+    """
+    sel = df.select(*extra, *[F.col(k).cast("string").alias(k) for k in keys])
+    ids = sel.columns[: len(extra)]
+    return sel.unpivot(ids, keys, "col", "key").filter(F.col("key").isNotNull())
+
+
+def _as_list(keys) -> list[str]:
+    return [keys] if isinstance(keys, str) else list(keys)
+
+
+def _lookup(df: DataFrame, table: DataFrame, key: str, slot: Column, slot_name: str) -> DataFrame:
+    """Left join of the rows of ``table`` that belong to column ``key``.
+
+    The table's columns arrive prefixed with ``__`` so they never collide with
+    the caller's; callers drop them after use.
+    """
+    t = table.filter(F.col("col") == key).drop("col")
+    t = t.select(*[F.col(c).alias(f"__{c}") for c in t.columns])
+    cond = (F.col(key).cast("string") == F.col("__key")) & (slot == F.col(f"__{slot_name}"))
+    return df.join(t, cond, "left")
+
+
 # --------------------------------------------------------------------------
 # E3 k-fold target encoding
 # --------------------------------------------------------------------------
@@ -104,41 +143,41 @@ def hash_fold(id_col: Column, k: int) -> Column:
 
 @dataclass
 class KFoldTE:
-    table: DataFrame  # (key, fold, s, n); fold = -1 holds the all-train totals
+    table: DataFrame  # (col, key, fold, s, n); fold = -1 holds the all-train totals
     prior: float
     m: float
     k: int
 
 
 def fit_kfold_te(
-    df: DataFrame, key: str, target: str = TARGET, k: int = 5, m: float = 50.0,
+    df: DataFrame, keys, target: str = TARGET, k: int = 5, m: float = 50.0,
     id_col: str = "id", split: str = SPLIT,
 ) -> KFoldTE:
-    """E3 smoothed out-of-fold mean in one aggregation.
+    """E3 smoothed out-of-fold mean, every key column in one aggregation.
 
-    Per (key, fold) sums are computed once; a row in fold f is encoded with the
-    key totals minus its own fold's share — no k scans of the data.
+    Per (column, key, fold) sums are computed once; a row in fold f is encoded
+    with the key totals minus its own fold's share — no k scans of the data.
     """
-    train = df.filter(_is_train(split)).select(
-        F.col(key).alias("__k"), hash_fold(F.col(id_col), k).alias("__f"), _dbl(target).alias("__y")
-    )
-    prior = train.agg(F.avg("__y")).first()[0]
+    keys = _as_list(keys)
+    train = df.filter(_is_train(split))
+    prior = train.agg(F.avg(_dbl(target))).first()[0]
     prior = 0.5 if prior is None else float(prior)
-    by_fold = (
-        train.filter(F.col("__k").isNotNull())
-        .groupBy("__k", "__f")
-        .agg(F.sum("__y").alias("s_f"), F.count(F.lit(1)).alias("n_f"))
+    long = _long_keys(
+        train, keys, [hash_fold(F.col(id_col), k).alias("fold"), _dbl(target).alias("__y")]
+    )
+    by_fold = long.groupBy("col", "key", "fold").agg(
+        F.sum("__y").alias("s_f"), F.count(F.lit(1)).alias("n_f")
     )
-    w = Window.partitionBy("__k")
+    w = Window.partitionBy("col", "key")
     out_of_fold = by_fold.select(
-        "__k", "__f",
+        "col", "key", "fold",
         (F.sum("s_f").over(w) - F.col("s_f")).alias("s"),
         (F.sum("n_f").over(w) - F.col("n_f")).alias("n"),
     )
-    totals = by_fold.groupBy("__k").agg(
-        F.lit(-1).alias("__f"), F.sum("s_f").alias("s"), F.sum("n_f").alias("n")
+    totals = by_fold.groupBy("col", "key").agg(
+        F.lit(-1).alias("fold"), F.sum("s_f").alias("s"), F.sum("n_f").alias("n")
     )
-    return KFoldTE(out_of_fold.unionByName(totals), prior, m, k)
+    return KFoldTE(_written(out_of_fold.unionByName(totals)), prior, m, k)
 
 
 def apply_kfold_te(
@@ -147,18 +186,20 @@ def apply_kfold_te(
 ) -> DataFrame:
     out = out or f"te_{key}"
     fold = F.when(_is_train(split), hash_fold(F.col(id_col), model.k)).otherwise(F.lit(-1))
-    joined = df.join(
-        model.table, (F.col(key) == F.col("__k")) & (fold == F.col("__f")), "left"
-    )
+    joined = _lookup(df, model.table, key, fold, "fold")
     prior, m = F.lit(model.prior), F.lit(model.m)
-    enc = (F.coalesce(F.col("s"), F.lit(0.0)) + prior * m) / (F.coalesce(F.col("n"), F.lit(0)) + m)
+    enc = (F.coalesce(F.col("__s"), F.lit(0.0)) + prior * m) / (F.coalesce(F.col("__n"), F.lit(0)) + m)
     value = F.when(F.col(key).isNull(), prior).otherwise(enc)
-    return joined.withColumn(out, value).drop("__k", "__f", "s", "n")
+    return joined.withColumn(out, value).drop("__key", "__fold", "__s", "__n")
 
 
-def kfold_target_encode(df, key, target=TARGET, k=5, m=50.0, out=None, id_col="id", split=SPLIT):
-    model = fit_kfold_te(df, key, target, k, m, id_col, split)
-    return apply_kfold_te(df, model, key, out, id_col, split)
+def kfold_target_encode(df, keys, target=TARGET, k=5, m=50.0, id_col="id", split=SPLIT):
+    """Fit on ``df`` once for all ``keys``, then add ``te_<key>`` columns."""
+    keys = _as_list(keys)
+    model = fit_kfold_te(df, keys, target, k, m, id_col, split)
+    for key in keys:
+        df = apply_kfold_te(df, model, key, None, id_col, split)
+    return df
 
 
 # --------------------------------------------------------------------------
@@ -194,74 +235,80 @@ def fit_time_blocks(
 
 @dataclass
 class BlockTE:
-    table: DataFrame  # (key, block, s, n); block = -1 holds all-train sums
+    table: DataFrame  # (col, key, block, s, n); block = -1 holds all-train sums
     blocks: DataFrame  # (month, block, valid)
     prior: float
     any_valid: bool
 
 
 def fit_block_te(
-    df: DataFrame, key: str, target: str = TARGET, month: str = "time_key",
+    df: DataFrame, keys, target: str = TARGET, month: str = "time_key",
     n_blocks: int = 5, min_train_gap: int = 1, split: str = SPLIT, blocks: DataFrame | None = None,
 ) -> BlockTE:
-    """E5 mean of the target per key over all strictly earlier blocks."""
+    """E5 mean of the target per key over all strictly earlier blocks.
+
+    One aggregation to (column, key, month) for every key column; the running
+    sums run per (column, key) over block aggregates — never over rows.
+    """
+    keys = _as_list(keys)
     if blocks is None:
         blocks = fit_time_blocks(df, month, n_blocks, min_train_gap, split)
-    stats = blocks.agg(F.max(F.col("valid").cast("int"))).first()[0]
-    any_valid = bool(stats)
     train = df.filter(_is_train(split))
-    prior = train.agg(F.avg(_dbl(target))).first()[0]
-    prior = 0.5 if prior is None else float(prior)
-    rows = train.filter(F.col(key).isNotNull()).select(
-        F.col(key).alias("__k"), F.col(month).alias("month"), _dbl(target).alias("__y")
-    )
-    per_month = rows.groupBy("__k", "month").agg(
+    stats = train.agg(F.avg(_dbl(target))).first()
+    prior = 0.5 if stats[0] is None else float(stats[0])
+    any_valid = bool(blocks.agg(F.max(F.col("valid").cast("int"))).first()[0])
+    long = _long_keys(train, keys, [F.col(month).alias("month"), _dbl(target).alias("__y")])
+    per_month = long.groupBy("col", "key", "month").agg(
         F.sum("__y").alias("s_m"), F.count(F.lit(1)).alias("n_m")
     )
     per_block = (
         per_month.join(blocks.select("month", "block"), "month")
-        .groupBy("__k", "block")
+        .groupBy("col", "key", "block")
         .agg(F.sum("s_m").alias("s_b"), F.sum("n_m").alias("n_b"))
     )
-    past = Window.partitionBy("__k").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy("col", "key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     earlier = per_block.select(
-        "__k", "block", F.sum("s_b").over(past).alias("s"), F.sum("n_b").over(past).alias("n")
+        "col", "key", "block", F.sum("s_b").over(past).alias("s"), F.sum("n_b").over(past).alias("n")
     )
-    totals = per_month.groupBy("__k").agg(
+    totals = per_month.groupBy("col", "key").agg(
         F.lit(-1).alias("block"), F.sum("s_m").alias("s"), F.sum("n_m").alias("n")
     )
-    return BlockTE(earlier.unionByName(totals), blocks, prior, any_valid)
+    return BlockTE(_written(earlier.unionByName(totals)), blocks, prior, any_valid)
+
+
+def with_blocks(df: DataFrame, blocks: DataFrame, month: str = "time_key") -> DataFrame:
+    """Attach (__blk, __valid) of each row's month (null for months outside)."""
+    b = blocks.select(
+        F.col("month").alias("__bm"), F.col("block").alias("__blk"), F.col("valid").alias("__valid")
+    )
+    return df.join(b, F.col(month) == F.col("__bm"), "left").drop("__bm")
 
 
 def apply_block_te(
-    df: DataFrame, model: BlockTE, key: str, out: str | None = None,
-    month: str = "time_key", split: str = SPLIT,
+    df: DataFrame, model: BlockTE, key: str, out: str | None = None, split: str = SPLIT,
 ) -> DataFrame:
+    """Needs the ``__blk``/``__valid`` columns of :func:`with_blocks`."""
     out = out or f"te_{key}"
-    b = model.blocks.select(
-        F.col("month").alias("__bm"), F.col("block").alias("__blk"), F.col("valid").alias("__valid")
-    )
-    with_block = df.join(b, F.col(month) == F.col("__bm"), "left")
     blk = F.when(_is_train(split), F.col("__blk")).otherwise(F.lit(-1))
-    joined = with_block.join(
-        model.table, (F.col(key) == F.col("__k")) & (blk == F.col("block")), "left"
-    )
+    joined = _lookup(df, model.table, key, blk, "block")
     prior = F.lit(model.prior)
-    mean = F.coalesce(F.col("s") / F.col("n"), prior)
+    mean = F.coalesce(F.col("__s") / F.col("__n"), prior)
     if model.any_valid:
         train_value = F.when(F.col("__valid"), mean)
     else:  # no block has any past: every train row gets the prior
         train_value = prior
     value = F.when(_is_train(split), train_value).otherwise(mean)
-    return joined.withColumn(out, value.cast("double")).drop(
-        "__bm", "__blk", "__valid", "__k", "block", "s", "n"
-    )
+    return joined.withColumn(out, value.cast("double")).drop("__key", "__block", "__s", "__n")
 
 
-def block_target_encode(df, key, target=TARGET, month="time_key", n_blocks=5,
-                        min_train_gap=1, out=None, split=SPLIT, blocks=None):
-    model = fit_block_te(df, key, target, month, n_blocks, min_train_gap, split, blocks)
-    return apply_block_te(df, model, key, out, month, split)
+def block_target_encode(df, keys, target=TARGET, month="time_key", n_blocks=5,
+                        min_train_gap=1, split=SPLIT, blocks=None):
+    keys = _as_list(keys)
+    model = fit_block_te(df, keys, target, month, n_blocks, min_train_gap, split, blocks)
+    out = with_blocks(df, model.blocks, month)
+    for key in keys:
+        out = apply_block_te(out, model, key, None, split)
+    return out.drop("__blk", "__valid")
 
 
 # --------------------------------------------------------------------------
@@ -271,37 +318,46 @@ def block_target_encode(df, key, target=TARGET, month="time_key", n_blocks=5,
 
 @dataclass
 class PastRate:
-    table: DataFrame  # (key, month, rate); month = -1 holds the test-row rate
-    global_rate: float
+    table: DataFrame  # (col, key, month, rate); month = -1 holds the test-row rate
+    global_rate: dict  # col -> global train rate
 
 
 def fit_past_rate(
-    df: DataFrame, key: str, target: str = TARGET, month: str = "time_key", split: str = SPLIT
+    df: DataFrame, keys, target: str = TARGET, month: str = "time_key", split: str = SPLIT
 ) -> PastRate:
     """E6 per key and month: Σy/n over the key's strictly earlier months.
 
     Test rows get each key's rate over train months before the last train
     month; keys with no such history fall back to the global train rate.
+    All key columns share one aggregation and one small stats collect.
     """
-    rows = df.filter(_is_train(split) & F.col(key).isNotNull()).select(
-        F.col(key).alias("__k"), F.col(month).alias("__m"), _dbl(target).alias("__y")
+    keys = _as_list(keys)
+    long = _long_keys(
+        df.filter(_is_train(split)), keys, [F.col(month).alias("month"), _dbl(target).alias("__y")]
     )
-    g = rows.groupBy("__k", "__m").agg(F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n"))
-    stats = g.agg(F.sum("s"), F.sum("n"), F.max("__m")).first()
-    s_all, n_all, last_month = stats[0] or 0.0, stats[1] or 0, stats[2]
-    global_rate = float(s_all) / max(int(n_all), 1)
-    past = Window.partitionBy("__k").orderBy("__m").rowsBetween(Window.unboundedPreceding, -1)
+    g = _written(
+        long.groupBy("col", "key", "month").agg(F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n"))
+    )  # three consumers: stats collect, running window, test-rate aggregate
+    stats = {
+        r["col"]: r for r in g.groupBy("col").agg(
+            F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("month").alias("last")
+        ).collect()
+    }
+    global_rate = {c: (float(stats[c]["s"]) / max(int(stats[c]["n"]), 1) if c in stats else 0.0) for c in keys}
+    past = Window.partitionBy("col", "key").orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     train_rate = g.select(
-        "__k", "__m", (F.sum("s").over(past) / F.sum("n").over(past)).alias("rate")
+        "col", "key", "month", (F.sum("s").over(past) / F.sum("n").over(past)).alias("rate")
     )
-    if last_month is None:
-        return PastRate(train_rate, global_rate)
+    last = F.create_map(*[x for c in stats for x in (F.lit(c), F.lit(stats[c]["last"]))]) if stats else None
+    if last is None:
+        return PastRate(_written(train_rate), global_rate)
     test_rate = (
-        g.filter(F.col("__m") < F.lit(last_month))
-        .groupBy("__k")
-        .agg(F.lit(-1).cast(g.schema["__m"].dataType).alias("__m"), (F.sum("s") / F.sum("n")).alias("rate"))
+        g.filter(F.col("month") < last[F.col("col")])
+        .groupBy("col", "key")
+        .agg(F.lit(-1).cast(g.schema["month"].dataType).alias("month"),
+             (F.sum("s") / F.sum("n")).alias("rate"))
     )
-    return PastRate(train_rate.unionByName(test_rate), global_rate)
+    return PastRate(_written(train_rate.unionByName(test_rate)), global_rate)
 
 
 def apply_past_rate(
@@ -310,14 +366,17 @@ def apply_past_rate(
 ) -> DataFrame:
     out = out or f"hist_rate_{key}"
     m = F.when(_is_train(split), F.col(month)).otherwise(F.lit(-1))
-    joined = df.join(model.table, (F.col(key) == F.col("__k")) & (m == F.col("__m")), "left")
-    return joined.withColumn(out, F.coalesce(F.col("rate"), F.lit(model.global_rate))).drop(
-        "__k", "__m", "rate"
-    )
+    joined = _lookup(df, model.table, key, m, "month")
+    value = F.coalesce(F.col("__rate"), F.lit(model.global_rate[key]))
+    return joined.withColumn(out, value).drop("__key", "__month", "__rate")
 
 
-def past_rate(df, key, target=TARGET, month="time_key", out=None, split=SPLIT):
-    return apply_past_rate(df, fit_past_rate(df, key, target, month, split), key, out, month, split)
+def past_rate(df, keys, target=TARGET, month="time_key", split=SPLIT):
+    keys = _as_list(keys)
+    model = fit_past_rate(df, keys, target, month, split)
+    for key in keys:
+        df = apply_past_rate(df, model, key, None, month, split)
+    return df
 
 
 # --------------------------------------------------------------------------
