@@ -13,7 +13,7 @@ RUNS = list(RUN_KEYS) + ["ret_share"]
 
 PREDS = (
     ENC_BASE + "," + ",".join(past_rate_ctes(k) for k in RUN_KEYS.values()) + ",\n"
-    "pr_scores AS (SELECT e.id, e.is_train, e.isDefault, "
+    "pr_scores AS (SELECT e.id, e.is_train, e.isDefault, e.time_key, "
     + ", ".join(f"{past_rate_value(k, f't{i}')} AS {run}" for i, (run, k) in enumerate(RUN_KEYS.items()))
     + ", (e.n1 + 1) / (e.n0 + 2) AS ret_share FROM enc_base e "
     + " ".join(past_rate_join(k, f"t{i}") for i, k in enumerate(RUN_KEYS.values()))

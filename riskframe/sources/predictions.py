@@ -21,18 +21,27 @@ RUN_KEYS = {"hist_region": "regionCode", "hist_grade": "grade", "hist_purpose":
             "hist_postcode": "postCode_cat"}
 
 
-def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskframe.plans.common import materialize
+RUNS = list(RUN_KEYS) + ["ret_share"]
+
+
+def score_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per loan: id, is_train, isDefault, time_key and one column per run."""
     from riskframe.plans.q_encode import encoder_base
 
     base = encoder_base(spark, sf_dir, extra=("n0", "n1"))
     df = encode.past_rate(base, list(RUN_KEYS.values()))
-    wide = df.select(
-        "id", "is_train", "isDefault",
+    return df.select(
+        "id", "is_train", "isDefault", "time_key",
         *[F.col(f"hist_rate_{k}").alias(r) for r, k in RUN_KEYS.items()],
         ((F.col("n1") + 1) / (F.col("n0") + 2)).alias("ret_share"),
     )
-    runs = list(RUN_KEYS) + ["ret_share"]
+
+
+def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskframe.plans.common import materialize
+
+    wide = score_wide(spark, sf_dir).drop("time_key")
+    runs = RUNS
     long = wide.unpivot(["id", "is_train", "isDefault"], runs, "run", "pred").select(
         "run", F.when(F.col("is_train") == 1, "oof").otherwise("sub").alias("split"),
         "id", F.col("isDefault").alias("y"), "pred",
