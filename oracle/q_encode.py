@@ -10,7 +10,7 @@ PAST_RATE_KEYS = ["regionCode", "grade", "purpose", "postCode_cat"]
 
 ENC_BASE = f"""
 enc_base AS (
-  SELECT id, is_train, isDefault, regionCode, grade, purpose, n0, n1,
+  SELECT id, is_train, isDefault, regionCode, grade, purpose, n0, n4,
          {b.postcode3('postCode')} AS postCode_cat,
          {b.time_key(b.parse_date('issueDate'))} AS time_key
   FROM sup

@@ -9,13 +9,13 @@ from oracle.queries import register
 
 RUN_KEYS = {"hist_region": "regionCode", "hist_grade": "grade", "hist_purpose": "purpose",
             "hist_postcode": "postCode_cat"}
-RUNS = list(RUN_KEYS) + ["ret_share"]
+RUNS = list(RUN_KEYS) + ["open_share"]
 
 PREDS = (
     ENC_BASE + "," + ",".join(past_rate_ctes(k) for k in RUN_KEYS.values()) + ",\n"
     "pr_scores AS (SELECT e.id, e.is_train, e.isDefault, e.time_key, "
     + ", ".join(f"{past_rate_value(k, f't{i}')} AS {run}" for i, (run, k) in enumerate(RUN_KEYS.items()))
-    + ", (e.n1 + 1) / (e.n0 + 2) AS ret_share FROM enc_base e "
+    + ", (e.n4 + 1) / (e.n0 + 2) AS open_share FROM enc_base e "
     + " ".join(past_rate_join(k, f"t{i}") for i, k in enumerate(RUN_KEYS.values()))
     + "),\npreds AS ("
     + " UNION ALL ".join(
@@ -77,7 +77,7 @@ register(
 )
 
 STRAT = """
-sf_rows AS (SELECT id, y FROM oof WHERE run = 'ret_share'),
+sf_rows AS (SELECT id, y FROM oof WHERE run = 'open_share'),
 sf AS (SELECT id, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(id AS VARCHAR)), id) - 1) % 5 AS INTEGER) AS fold FROM sf_rows)"""
 
 register(

@@ -42,7 +42,7 @@ def q_best_model(spark, sf_dir):
 def q_fold_auc(spark, sf_dir):
     """M4 AUC per run and stratified fold, plus the overall AUC (fold = -1)."""
     oof = _oof(spark, sf_dir)
-    fold = folds.stratified_folds(oof.filter(F.col("run") == "ret_share").select("id", "y"), "y", 5)
+    fold = folds.stratified_folds(oof.filter(F.col("run") == "open_share").select("id", "y"), "y", 5)
     j = oof.join(fold.select("id", "fold"), "id")
     per = metrics.auc(j, "pred", "y", by=["run", "fold"])
     overall = metrics.auc(oof, "pred", "y", by=["run"]).withColumn("fold", F.lit(-1))

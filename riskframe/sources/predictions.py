@@ -7,7 +7,7 @@ rows. Partitioning by ``run`` keeps each run's rows together on write.
 ``score_runs`` derives deterministic scores from the loan tables so that the
 metric and blending operators have a fully reproducible input: four past
 default rates (by region, grade, purpose, post code — each computed only from
-earlier months) and a smoothed share of returned lines.
+earlier months) and a smoothed share of open lines.
 """
 
 from __future__ import annotations
@@ -21,19 +21,19 @@ RUN_KEYS = {"hist_region": "regionCode", "hist_grade": "grade", "hist_purpose":
             "hist_postcode": "postCode_cat"}
 
 
-RUNS = list(RUN_KEYS) + ["ret_share"]
+RUNS = list(RUN_KEYS) + ["open_share"]
 
 
 def score_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per loan: id, is_train, isDefault, time_key and one column per run."""
     from riskframe.plans.q_encode import encoder_base
 
-    base = encoder_base(spark, sf_dir, extra=("n0", "n1"))
+    base = encoder_base(spark, sf_dir, extra=("n0", "n4"))
     df = encode.past_rate(base, list(RUN_KEYS.values()))
     return df.select(
         "id", "is_train", "isDefault", "time_key",
         *[F.col(f"hist_rate_{k}").alias(r) for r, k in RUN_KEYS.items()],
-        ((F.col("n1") + 1) / (F.col("n0") + 2)).alias("ret_share"),
+        ((F.col("n4") + 1) / (F.col("n0") + 2)).alias("open_share"),
     )
 
 
