@@ -77,7 +77,7 @@ def parse_date(c: Column) -> Column:
         ts = F.try_to_timestamp(s, F.lit(fmt))
         if fmt == "MMM-yy":
             ts = F.when(s.rlike(r"^[A-Za-z]{3}-\d{2}$"), ts)
-            yy = F.substring(s, -2, 2).cast("int")
+            yy = F.substring(s, -2, 2).try_cast("int")
             ts = F.when(
                 yy >= TWO_DIGIT_YEAR_PIVOT, F.add_months(ts.cast("date"), -1200)
             ).otherwise(ts.cast("date"))
