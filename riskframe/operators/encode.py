@@ -388,18 +388,14 @@ def fit_quantile_edges(df: DataFrame, col: str, q: int, where: Column | None = N
                        accuracy: int | None = None) -> list[float]:
     """Sorted distinct quantile edges at 0, 1/q, …, 1 (linear interpolation).
 
-    ``accuracy=None`` uses the exact ``percentile`` aggregate; pass an accuracy
-    to use ``percentile_approx`` for columns with very many distinct values.
+    Exact by default through the distributed ranking of ``stats.quantiles``;
+    ``accuracy`` switches to ``percentile_approx``.
     """
+    from riskframe.operators.stats import quantiles
+
     src = df if where is None else df.filter(where)
     probs = [i / q for i in range(q + 1)]
-    x = F.col(col).cast("double")
-    if accuracy is None:
-        agg = F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-    else:
-        agg = F.percentile_approx(x, probs, accuracy)
-    row = src.filter(x.isNotNull() & ~F.isnan(x)).agg(agg.alias("e")).first()
-    edges = row["e"] if row is not None else None
+    edges = quantiles(src.select(col), [col], probs, accuracy).get(col)
     if not edges:
         return []
     out: list[float] = []

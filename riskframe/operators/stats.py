@@ -49,22 +49,67 @@ def inf_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return df.withColumns(repl) if repl else df
 
 
-def _quantile(x, probs, accuracy):
-    if accuracy is None:
-        return F.percentile(x, F.array(*[F.lit(p) for p in probs]))
-    return F.percentile_approx(x, list(probs), accuracy)
+def quantiles(df: DataFrame, cols: list[str], probs: list[float],
+              accuracy: int | None = None) -> dict[str, list[float] | None]:
+    """Linear-interpolated quantiles of the finite values of several columns.
+
+    Exact by default, and distributed: all columns are unpivoted into one
+    (col, value) table, counted per distinct value and ranked with the
+    bucketed running counts of ``metrics.score_table`` — no task ever holds a
+    whole column. Only the rows at the needed ranks reach the driver, where
+    Spark's ``percentile`` interpolation is applied, so results equal
+    ``percentile``/``median``. ``accuracy`` switches to ``percentile_approx``.
+    """
+    from riskframe.operators.metrics import score_table
+    from riskframe.plans.common import write_table
+
+    if not cols:
+        return {}
+    if accuracy is not None:
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(c)
+                       for c in cols]).first()
+        return {c: (list(row[c]) if row[c] else None) for c in cols}
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "col", "v")
+    t = write_table(score_table(long, "v", None, by=["col"]).select("col", "__s", "cnt", "cnt_below"), "q")
+    sizes = {r["col"]: int(r["n"]) for r in t.groupBy("col").agg(F.sum("cnt").alias("n")).collect()}
+    want = {}
+    for c, n in sizes.items():
+        for p in probs:
+            pos = p * (n - 1)
+            want.setdefault(c, set()).update({math.floor(pos), math.ceil(pos)})
+    if not want:
+        return {c: None for c in cols}
+    cond = F.lit(False)
+    for c, ranks in want.items():
+        rk = F.lit(False)
+        for r in sorted(ranks):
+            rk = rk | ((F.col("cnt_below") <= r) & (F.col("cnt_below") + F.col("cnt") > r))
+        cond = cond | ((F.col("col") == c) & rk)
+    found = {}
+    for r in t.filter(cond).collect():
+        for rank in want[r["col"]]:
+            if r["cnt_below"] <= rank < r["cnt_below"] + r["cnt"]:
+                found[(r["col"], rank)] = r["__s"]
+    out = {}
+    for c in cols:
+        if c not in sizes:
+            out[c] = None
+            continue
+        vals = []
+        for p in probs:
+            pos = p * (sizes[c] - 1)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            a, b = found[(c, lo)], found[(c, hi)]
+            vals.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
+        out[c] = vals
+    return out
 
 
 def fit_winsor(df: DataFrame, cols: list[str], p: float = 0.005,
                accuracy: int | None = None) -> dict[str, tuple[float | None, float | None]]:
-    """N13 lower/upper quantile per column over all rows, one job."""
-    aggs = [_quantile(F.col(c).cast("double"), (p, 1 - p), accuracy).alias(c) for c in cols]
-    row = df.agg(*aggs).first()
-    out = {}
-    for c in cols:
-        q = row[c]
-        out[c] = (q[0], q[1]) if q else (None, None)
-    return out
+    """N13 lower/upper quantile per column over all rows, one ranking pass."""
+    q = quantiles(df, cols, [p, 1 - p], accuracy)
+    return {c: (q[c][0], q[c][1]) if q.get(c) else (None, None) for c in cols}
 
 
 def apply_winsor(df: DataFrame, bounds: dict, names: dict[str, str]) -> DataFrame:
@@ -72,13 +117,9 @@ def apply_winsor(df: DataFrame, bounds: dict, names: dict[str, str]) -> DataFram
 
 
 def fit_median(df: DataFrame, cols: list[str], accuracy: int | None = None) -> dict[str, float | None]:
-    """N21 median per column (NaN/inf excluded), one job."""
-    aggs = []
-    for c in cols:
-        x = finite_or_null(F.col(c).cast("double"))
-        aggs.append((F.median(x) if accuracy is None else F.percentile_approx(x, 0.5, accuracy)).alias(c))
-    row = df.agg(*aggs).first()
-    return {c: row[c] for c in cols}
+    """N21 median per column (NaN/inf excluded), one ranking pass for all columns."""
+    q = quantiles(df, cols, [0.5], accuracy)
+    return {c: (q[c][0] if q.get(c) else None) for c in cols}
 
 
 def apply_median(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
