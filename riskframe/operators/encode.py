@@ -384,9 +384,10 @@ def past_rate(df, keys, target=TARGET, month="time_key", split=SPLIT):
 # --------------------------------------------------------------------------
 
 
-def fit_quantile_edges(df: DataFrame, col: str, q: int, where: Column | None = None,
-                       accuracy: int | None = None) -> list[float]:
-    """Sorted distinct quantile edges at 0, 1/q, …, 1 (linear interpolation).
+def fit_quantile_edges_multi(df: DataFrame, cols: list[str], q: int, where: Column | None = None,
+                             accuracy: int | None = None) -> dict[str, list[float]]:
+    """Sorted distinct quantile edges at 0, 1/q, …, 1 (linear interpolation)
+    for several columns in one ranking pass.
 
     Exact by default through the distributed ranking of ``stats.quantiles``;
     ``accuracy`` switches to ``percentile_approx``.
@@ -395,16 +396,22 @@ def fit_quantile_edges(df: DataFrame, col: str, q: int, where: Column | None = N
 
     src = df if where is None else df.filter(where)
     probs = [i / q for i in range(q + 1)]
-    edges = quantiles(src.select(col), [col], probs, accuracy).get(col)
-    if not edges:
-        return []
-    out: list[float] = []
-    for e in edges:
-        if not out or e != out[-1]:
-            out.append(float(e))
+    got = quantiles(src.select(*cols), cols, probs, accuracy)
+    out = {}
+    for c in cols:
+        edges: list[float] = []
+        for e in got.get(c) or []:
+            if not edges or e != edges[-1]:
+                edges.append(float(e))
+        out[c] = edges
     return out
 
 
+def fit_quantile_edges(df: DataFrame, col: str, q: int, where: Column | None = None,
+                       accuracy: int | None = None) -> list[float]:
+    return fit_quantile_edges_multi(df, [col], q, where, accuracy)[col]
+
+
 def bin_index(x: Column, edges: list[float]) -> Column:
     """Right-closed bin id (0-based) with the lowest edge included; values
     outside [edges[0], edges[-1]] and nulls → null."""
@@ -432,7 +439,7 @@ class WOE:
 
 def fit_woe(
     df: DataFrame, col: str, target: str = TARGET, q: int = 10, style: str = "good_bad",
-    split: str = SPLIT, accuracy: int | None = None,
+    split: str = SPLIT, accuracy: int | None = None, edges: list[float] | None = None,
 ) -> WOE:
     """E8/E9 weight of evidence over train-only quantile bins.
 
@@ -444,9 +451,10 @@ def fit_woe(
     if style not in ("good_bad", "bad_good"):
         raise ValueError(style)
     train_cond = _is_train(split)
-    n_train = df.filter(train_cond).count() if style == "bad_good" else q
-    q_eff = max(1, min(q, n_train))
-    edges = fit_quantile_edges(df, col, q_eff, where=train_cond, accuracy=accuracy)
+    if edges is None:
+        n_train = df.filter(train_cond).count() if style == "bad_good" else q
+        q_eff = max(1, min(q, n_train))
+        edges = fit_quantile_edges(df, col, q_eff, where=train_cond, accuracy=accuracy)
     if len(edges) < (3 if style == "good_bad" else 2):
         return WOE(edges, [])
     x = F.col(col).cast("double")
@@ -490,6 +498,19 @@ def woe_encode(df, col, target=TARGET, q=10, style="good_bad", out=None, split=S
     return apply_woe(df, fit_woe(df, col, target, q, style, split, accuracy), col, out)
 
 
+def fit_woe_multi(df: DataFrame, cols: list[str], target: str = TARGET, q: int = 10, style: str = "good_bad",
+                  split: str = SPLIT, accuracy: int | None = None) -> dict[str, WOE]:
+    """WOE models of several columns: one ranking pass for all train edges.
+
+    (The bad/good style caps the bin count at the train row count.)"""
+    train_cond = _is_train(split)
+    q_eff = q
+    if style == "bad_good":
+        q_eff = max(1, min(q, df.filter(train_cond).count()))
+    edges = fit_quantile_edges_multi(df, cols, q_eff, where=train_cond, accuracy=accuracy)
+    return {c: fit_woe(df, c, target, q, style, split, accuracy, edges=edges[c]) for c in cols}
+
+
 # --------------------------------------------------------------------------
 # E10 cardinality / high-cardinality downgrade
 # --------------------------------------------------------------------------

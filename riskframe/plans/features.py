@@ -226,9 +226,11 @@ def build_features_v2(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
         for c in te_cols:
             df = encode.apply_kfold_te(df, model, c)
     woe_cols = [c for c in ("fico_mean", "credit_hist_mon", "interestRate", "dti", "revolUtil") if c in base.columns]
-    for c in woe_cols:
-        df = encode.apply_woe(df, encode.fit_woe(base, c, q=cfg.woe_bins, style="good_bad",
-                                                 accuracy=cfg.quantile_accuracy), c)
+    if woe_cols and TARGET in base.columns:
+        models = encode.fit_woe_multi(base, woe_cols, q=cfg.woe_bins, style="good_bad",
+                                      accuracy=cfg.quantile_accuracy)
+        for c in woe_cols:
+            df = encode.apply_woe(df, models[c], c)
     return _finish(df, cfg, _categories(df, []), drop=("issueDate_dt", "earliest_dt"))
 
 
@@ -253,8 +255,8 @@ def build_features_v3(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
     cross_cols = {}
     bins = {}
     if _present(b0, "fico_mean", "dti"):
-        bins["fico_bin"] = encode.fit_quantile_edges(b0, "fico_mean", 20, accuracy=acc)
-        bins["dti_bin"] = encode.fit_quantile_edges(b0, "dti", 20, accuracy=acc)
+        e = encode.fit_quantile_edges_multi(b0, ["fico_mean", "dti"], 20, accuracy=acc)
+        bins["fico_bin"], bins["dti_bin"] = e["fico_mean"], e["dti"]
         cross_cols["fico_bin"] = encode.bin_index(F.col("fico_mean").cast("double"), bins["fico_bin"])
         cross_cols["dti_bin"] = encode.bin_index(F.col("dti").cast("double"), bins["dti_bin"])
     b1 = b0.withColumns(cross_cols)
@@ -316,8 +318,11 @@ def build_features_v3(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
         pr = encode.fit_past_rate(base, past)
         for c in past:
             df = encode.apply_past_rate(df, pr, c)
-    for c in [c for c in V3_WOE if c in base.columns]:
-        df = encode.apply_woe(df, encode.fit_woe(base, c, q=cfg.woe_bins, style="bad_good", accuracy=acc), c)
+    woe_cols = [c for c in V3_WOE if c in base.columns]
+    if woe_cols and TARGET in base.columns:
+        models = encode.fit_woe_multi(base, woe_cols, q=cfg.woe_bins, style="bad_good", accuracy=acc)
+        for c in woe_cols:
+            df = encode.apply_woe(df, models[c], c)
 
     cats = [c for c in ["term_bin", "employmentLength_cat", "employmentTitle_cat", "title_cat",
                         "postCode_cat", "fico_bin", "dti_bin"] + LOW_CARD_AS_CATEGORY if c in df.columns]

@@ -119,8 +119,9 @@ def q_past_rate_test(spark, sf_dir):
 
 def _woe_query(spark, sf_dir, cols, style):
     df = feature_base(spark, sf_dir).select("id", "is_train", "isDefault", *cols)
+    models = encode.fit_woe_multi(df, cols, q=10, style=style)
     for c in cols:
-        df = encode.woe_encode(df, c, q=10, style=style)
+        df = encode.apply_woe(df, models[c], c)
     return df.select("id", *[rnd(f"woe_{c}").alias(f"woe_{c}") for c in cols])
 
 

@@ -282,8 +282,9 @@ def cross_columns(df: DataFrame) -> DataFrame:
     def s(c):
         return parse.category_copy(c if not isinstance(c, str) else F.col(c))
 
-    df = encode.quantile_bin(df, "fico_mean", 20, "fico_bin")
-    df = encode.quantile_bin(df, "dti", 20, "dti_bin")
+    e = encode.fit_quantile_edges_multi(df, ["fico_mean", "dti"], 20)
+    df = df.withColumns({"fico_bin": encode.bin_index(F.col("fico_mean").cast("double"), e["fico_mean"]),
+                         "dti_bin": encode.bin_index(F.col("dti").cast("double"), e["dti"])})
     return df.withColumns({
         "grade_term": F.concat_ws("_", s("grade"), s("term_bin")),
         "fico_dti": F.concat_ws("_", s("fico_bin"), s("dti_bin")),

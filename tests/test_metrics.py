@@ -89,3 +89,17 @@ def test_ridge_stacking_matches_numpy(spark):
         w = np.linalg.solve(Xc.T @ Xc + 2.0 * np.eye(2), Xc.T @ (y[tr] - ym))
         for i in np.where(~tr)[0]:
             assert abs(got[i] - (X[i] @ w + ym - xm @ w)) < 1e-9
+
+
+def test_distributed_quantiles_equal_spark_percentile(spark):
+    from riskframe.operators import stats
+
+    rnd = random.Random(9)
+    rows = [(float(rnd.randint(0, 30)), rnd.random() if rnd.random() > 0.1 else None) for _ in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    probs = [0.0, 0.005, 0.25, 0.5, 0.9, 0.995, 1.0]
+    got = stats.quantiles(df, ["a", "b"], probs)
+    ref = df.agg(F.percentile("a", probs).alias("a"), F.percentile("b", probs).alias("b")).first()
+    for c in ("a", "b"):
+        for g, e in zip(got[c], ref[c]):
+            assert abs(g - e) < 1e-12
