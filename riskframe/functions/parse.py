@@ -21,6 +21,16 @@ TERM_BIN_EDGES = [-1.0, 36.0, 60.0, math.inf]
 TERM_BIN_LABELS = ["<=36", "37-60", ">60"]
 POSTCODE_WIDTH = 3
 TWO_DIGIT_YEAR_PIVOT = 69  # 'yy' values >= 69 belong to the 1900s
+# Shape of the text each format can parse; the (costly) parser only runs on
+# strings of the right shape.
+DATE_SHAPES = {
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "yyyy-M": r"^\d{4}-\d{1,2}$",
+    "yyyy/M": r"^\d{4}/\d{1,2}$",
+    "MMM-yy": r"^[A-Za-z]{3}-\d{2}$",
+    "MMM-yyyy": r"^[A-Za-z]{3}-\d{4}$",
+}
 
 
 def _first_int(s: Column) -> Column:
@@ -74,9 +84,8 @@ def parse_date(c: Column) -> Column:
     s = F.trim(c.cast("string"))
     attempts = []
     for fmt in DATE_FORMATS:
-        ts = F.try_to_timestamp(s, F.lit(fmt))
+        ts = F.when(s.rlike(DATE_SHAPES[fmt]), F.try_to_timestamp(s, F.lit(fmt)))
         if fmt == "MMM-yy":
-            ts = F.when(s.rlike(r"^[A-Za-z]{3}-\d{2}$"), ts)
             yy = F.substring(s, -2, 2).try_cast("int")
             ts = F.when(
                 yy >= TWO_DIGIT_YEAR_PIVOT, F.add_months(ts.cast("date"), -1200)

@@ -83,6 +83,22 @@ def freq_encode(df: DataFrame, cols: list[str], suffix: str = "_freq") -> DataFr
     return df
 
 
+def fit_train_count(df: DataFrame, cols: list[str], split: str = SPLIT) -> DataFrame:
+    """E2 fit: train-row count per value for several columns, one pass.
+    Returns (col, key, n); a null value is kept as its own key."""
+    long = df.filter(_is_train(split)).select(
+        *[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("key")).alias(c) for c in cols]
+    ).unpivot([], cols, "c", "s").select("s.col", "s.key")
+    return _written(long.groupBy("col", "key").agg(F.count(F.lit(1)).cast("double").alias("n")))
+
+
+def apply_train_count(df: DataFrame, table: DataFrame, col: str, out: str | None = None) -> DataFrame:
+    out = out or f"{col}_freq"
+    t = table.filter(F.col("col") == col).select(F.col("key").alias("__ck"), F.col("n").alias("__cn"))
+    return (df.join(t, F.col(col).cast("string").eqNullSafe(F.col("__ck")), "left")
+            .withColumn(out, F.coalesce(F.col("__cn"), F.lit(0.0))).drop("__ck", "__cn"))
+
+
 def train_count_encode(df: DataFrame, col: str, out: str | None = None, split: str = SPLIT) -> DataFrame:
     """E2 number of train rows holding the value; unseen values → 0."""
     out = out or f"{col}_freq"

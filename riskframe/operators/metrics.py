@@ -21,6 +21,19 @@ def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
+def count_below(edges, x, n: int):
+    """Number of entries of the sorted array ``edges`` that are < ``x``, by
+    binary search: ceil(log2 n) steps of one ``aggregate`` higher-order
+    function, O(log n) per row instead of a scan over all edges."""
+    bits = max(1, (max(n, 2) - 1).bit_length())
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
+    return F.aggregate(
+        steps, F.lit(0),
+        lambda acc, st: F.when((acc + st <= F.size(edges)) & (F.element_at(edges, acc + st) < x), acc + st)
+        .otherwise(acc),
+    )
+
+
 def score_table(
     df: DataFrame, score: str, label: str | None, by: list[str] | tuple = (),
     buckets: int = DEFAULT_BUCKETS,
@@ -42,14 +55,14 @@ def score_table(
         F.sum("__y").alias("pos"), F.count(F.lit(1)).alias("cnt")
     ).withColumn("neg", F.col("cnt") - F.col("pos"))
     probs = [i / buckets for i in range(1, buckets)]
-    edges = g.groupBy(*by).agg(F.percentile_approx("__s", probs, 10000).alias("__e"))
+    edges = g.groupBy(*by).agg(F.percentile_approx("__s", probs, max(100, 10 * buckets)).alias("__e"))
     if by:
         gb = g.join(edges, by)
     else:
         e = edges.first()
         lit_edges = F.array(*[F.lit(float(v)) for v in (e["__e"] if e else [])]) if e else F.array()
         gb = g.withColumn("__e", lit_edges.cast("array<double>"))
-    gb = gb.withColumn("__b", F.size(F.filter("__e", lambda x: x < F.col("__s")))).drop("__e")
+    gb = gb.withColumn("__b", count_below(F.col("__e"), F.col("__s"), buckets)).drop("__e")
     inner = Window.partitionBy(*by, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     within = gb.select(
         *by, "__b", "__s", "pos", "neg", "cnt",

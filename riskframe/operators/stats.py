@@ -29,6 +29,13 @@ from riskframe.functions.derive import clip
 from riskframe.functions.parse import finite_or_null
 
 FLOATS = (DoubleType, FloatType)
+# Value ranges per column used to spread the exact quantile ranking over tasks.
+QUANTILE_BUCKETS = 128
+# Up to this many distinct values, Spark's exact ``percentile`` (a value→count
+# map merged in one task) is bounded in memory and used directly; above it the
+# distributed ranking takes over. The distinct count is measured first with a
+# HyperLogLog sketch (``approx_count_distinct``, 5 % relative error).
+EXACT_MAP_LIMIT = 1_000_000
 INTS = (ByteType, ShortType, IntegerType, LongType)
 
 
@@ -53,24 +60,47 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float],
               accuracy: int | None = None) -> dict[str, list[float] | None]:
     """Linear-interpolated quantiles of the finite values of several columns.
 
-    Exact by default, and distributed: all columns are unpivoted into one
-    (col, value) table, counted per distinct value and ranked with the
-    bucketed running counts of ``metrics.score_table`` — no task ever holds a
-    whole column. Only the rows at the needed ranks reach the driver, where
-    Spark's ``percentile`` interpolation is applied, so results equal
-    ``percentile``/``median``. ``accuracy`` switches to ``percentile_approx``.
+    Exact by default. Columns whose distinct-value count is proven small use
+    Spark's ``percentile`` directly (its map is bounded by that count). The
+    others are unpivoted into one (col, value) table, counted per distinct
+    value and ranked with the bucketed running counts of
+    ``metrics.score_table`` — no task ever holds a whole column; only the rows
+    at the needed ranks reach the driver, where ``percentile``'s
+    interpolation is applied. Both paths give identical values.
+    ``accuracy`` switches to ``percentile_approx``.
     """
-    from riskframe.operators.metrics import score_table
-    from riskframe.plans.common import write_table
-
     if not cols:
         return {}
     if accuracy is not None:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(c)
                        for c in cols]).first()
         return {c: (list(row[c]) if row[c] else None) for c in cols}
+
+    def fin(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
+
+    nd = df.agg(*[F.approx_count_distinct(fin(c), 0.05).alias(c) for c in cols]).first()
+    small = [c for c in cols if nd[c] <= EXACT_MAP_LIMIT]
+    out = {}
+    if small:
+        row = df.agg(*[F.percentile(fin(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
+                       for c in small]).first()
+        out = {c: (list(row[c]) if row[c] else None) for c in small}
+    big = [c for c in cols if c not in out]
+    if big:
+        out.update(_ranked_quantiles(df, big, probs))
+    return out
+
+
+def _ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
+    """Exact quantiles by distributed ranking (see :func:`quantiles`)."""
+    from riskframe.operators.metrics import score_table
+    from riskframe.plans.common import write_table
+
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "col", "v")
-    t = write_table(score_table(long, "v", None, by=["col"]).select("col", "__s", "cnt", "cnt_below"), "q")
+    t = write_table(score_table(long, "v", None, by=["col"], buckets=QUANTILE_BUCKETS)
+                    .select("col", "__s", "cnt", "cnt_below"), "q")
     sizes = {r["col"]: int(r["n"]) for r in t.groupBy("col").agg(F.sum("cnt").alias("n")).collect()}
     want = {}
     for c, n in sizes.items():
@@ -156,6 +186,22 @@ def fit_minmax(df: DataFrame, cols: list[str], fill_zero: bool = True) -> tuple[
     return {c: row[f"mn_{c}"] for c in cols}, {c: row[f"mx_{c}"] for c in cols}
 
 
+def fit_vintage_rank(df: DataFrame, date_col: str) -> DataFrame:
+    """N20 fit: (date, average rank / non-null count) per distinct date."""
+    counts = df.filter(F.col(date_col).isNotNull()).groupBy(F.col(date_col).alias("__d")).agg(
+        F.count(F.lit(1)).alias("__c"))
+    w = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)  # one row per distinct date
+    total = Window.partitionBy()
+    return counts.select("__d", (
+        (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / F.lit(2.0))
+        / F.sum("__c").over(total)).alias("__vr"))
+
+
+def apply_vintage_rank(df: DataFrame, ranks: DataFrame, date_col: str, out: str = "vintage_rank") -> DataFrame:
+    return (df.join(ranks, F.col(date_col) == F.col("__d"), "left")
+            .withColumn(out, F.coalesce(F.col("__vr"), F.lit(0.0))).drop("__d", "__vr"))
+
+
 def vintage_rank(df: DataFrame, date_col: str, out: str = "vintage_rank") -> DataFrame:
     """N20 average rank of the date among non-null dates / their count; null → 0.
 

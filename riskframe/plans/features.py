@@ -105,7 +105,10 @@ def _finish(df: DataFrame, cfg: FeatureConfig, cat_cols: list[str], drop=()) ->
     protected = {ID, TARGET, SPLIT}
     fl = _floating(df, protected | set(LOW_CARD_AS_CATEGORY))
     df = stats.inf_to_null(df, fl)
-    med = stats.fit_median(df, fl, cfg.quantile_accuracy)
+    # only columns holding a null/NaN/inf need their median (filling the
+    # others is a no-op), so the ranking pass covers just those
+    need = stats.columns_with_nulls(df, fl)
+    med = stats.fit_median(df, need, cfg.quantile_accuracy)
     df = stats.apply_median(df, med)
     cats = [c for c in cat_cols if c in df.columns]
     card = encode.cardinality(df, cats, approx=False)
@@ -300,10 +303,13 @@ def build_features_v3(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
         table = encode.fit_freq(base, freq_cols)
         for c in freq_cols:
             df = encode.apply_freq(df, table, c, c.replace("_cat", "_freq"))
-    for c in [c for c in ("grade_term", "fico_dti", "purpose_home", "iy_region") if c in base.columns]:
-        df = encode.train_count_encode(df, c, f"{c}_freq")
+    crosses = [c for c in ("grade_term", "fico_dti", "purpose_home", "iy_region") if c in base.columns]
+    if crosses:
+        counts = encode.fit_train_count(base, crosses)
+        for c in crosses:
+            df = encode.apply_train_count(df, counts, c, f"{c}_freq")
     if "issueDate_dt" in base.columns:
-        df = stats.vintage_rank(df, "issueDate_dt")
+        df = stats.apply_vintage_rank(df, stats.fit_vintage_rank(base, "issueDate_dt"), "issueDate_dt")
 
     if TARGET in base.columns and "time_key" in base.columns:
         te_cols = [c for c in V3_TE if c in base.columns]

@@ -78,8 +78,9 @@ def q_freq_encode(spark, sf_dir):
 def q_train_count(spark, sf_dir):
     """E2 count of train rows per cross value; unseen → 0."""
     df = feature_base(spark, sf_dir).select("id", "is_train", *CROSSES)
+    counts = encode.fit_train_count(df, CROSSES)
     for c in CROSSES:
-        df = encode.train_count_encode(df, c, f"{c}_freq")
+        df = encode.apply_train_count(df, counts, c, f"{c}_freq")
     return df.select("id", *[f"{c}_freq" for c in CROSSES])
 
 

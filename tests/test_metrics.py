@@ -103,3 +103,18 @@ def test_distributed_quantiles_equal_spark_percentile(spark):
     for c in ("a", "b"):
         for g, e in zip(got[c], ref[c]):
             assert abs(g - e) < 1e-12
+
+
+def test_ranked_quantile_path_equals_percentile(spark, monkeypatch):
+    from riskframe.operators import stats
+
+    monkeypatch.setattr(stats, "EXACT_MAP_LIMIT", 0)  # force the distributed ranking
+    rnd = random.Random(13)
+    rows = [(float(rnd.randint(0, 40)), rnd.gauss(0, 1) if rnd.random() > 0.1 else None) for _ in range(700)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    probs = [0.0, 0.005, 0.05, 0.5, 0.95, 0.995, 1.0]
+    got = stats.quantiles(df, ["a", "b"], probs)
+    ref = df.agg(F.percentile("a", probs).alias("a"), F.percentile("b", probs).alias("b")).first()
+    for c in ("a", "b"):
+        for g, e in zip(got[c], ref[c]):
+            assert abs(g - e) < 1e-12
