@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 1024
+DEFAULT_BUCKETS = 256
 
 
 def _finite(c: Column) -> Column:
