@@ -163,9 +163,9 @@ def build_features_v1(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
         cols["earliesCreditLine_cat"] = parse.category_copy(F.col("earliesCreditLine"))
     if _present(base, "loanAmnt", "annualIncome"):
         cols["loan_income_ratio"] = derive.ratio("loanAmnt", "annualIncome")
-        if "installment" in base.columns:
+        if "installment" in base.columns and cfg.extra.get("install_to_income", True):
             cols["install_to_income"] = derive.ratio("installment", "annualIncome")
-    nst, _ = _n_stats(base, "zero", False)
+    nst, _ = _n_stats(base, cfg.extra.get("row_stats_nulls", "zero"), False)
     cols.update(nst)
     freq_cols = [c for c in ("employmentTitle_cat", "title_cat", "postCode_cat") if c in base.columns]
     table = encode.fit_freq(base, freq_cols) if freq_cols else None
@@ -375,8 +375,16 @@ def build_features_nb(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
     return _finish(df, cfg, _categories(df, []), drop=("issueDate_dt", "earliest_dt"))
 
 
+def build_features_src(loans: DataFrame, cfg: FeatureConfig | None = None) -> FeatureTable:
+    """E15 the single-file trainers' set: version 1 without install_to_income,
+    row statistics skipping nulls."""
+    cfg = cfg or FeatureConfig(version="src", high_card_threshold=200,
+                               extra={"row_stats_nulls": "skip", "install_to_income": False})
+    return build_features_v1(loans, cfg)
+
+
 BUILDERS = {"v1": build_features_v1, "v2": build_features_v2, "v3": build_features_v3,
-            "nb": build_features_nb}
+            "nb": build_features_nb, "src": build_features_src}
 
 
 def build_features(spark: SparkSession, sf_dir: str, version: str = "v3",

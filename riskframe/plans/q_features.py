@@ -26,5 +26,5 @@ def _q(version):
     return run
 
 
-for _v in ("v1", "v2", "v3", "nb"):
+for _v in ("v1", "v2", "v3", "nb", "src"):
     query(f"features_{_v}")(_q(_v))
