@@ -132,7 +132,7 @@ def _finish(df: DataFrame, cfg: FeatureConfig, cat_cols: list[str], drop=()) ->
 def _categories(df: DataFrame, extra: list[str]) -> list[str]:
     base = ["term_bin", "employmentLength_cat", "issueDate_cat", "earliesCreditLine_cat",
             "employmentTitle_cat", "title_cat", "postCode_cat"]
-    return [c for c in base + extra + LOW_CARD_AS_CATEGORY if c in df.columns]
+    return list(dict.fromkeys(c for c in base + extra + LOW_CARD_AS_CATEGORY if c in df.columns))
 
 
 def _n_stats(df: DataFrame, nulls: str, extended: bool) -> tuple[dict, list[str]]:
@@ -372,7 +372,9 @@ def build_features_nb(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
         table = encode.fit_freq(base, freq_cols)
         for c in freq_cols:
             df = encode.apply_freq(df, table, c, c.replace("_cat", "_freq"))
-    return _finish(df, cfg, _categories(df, []), drop=("issueDate_dt", "earliest_dt"))
+    # P15 safety net of the notebook: every remaining text column is a category
+    strings = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+    return _finish(df, cfg, _categories(df, strings), drop=("issueDate_dt", "earliest_dt"))
 
 
 def build_features_src(loans: DataFrame, cfg: FeatureConfig | None = None) -> FeatureTable:

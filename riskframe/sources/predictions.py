@@ -65,3 +65,15 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.parquet(path)
     complete = df.groupBy("run").agg(F.countDistinct("split").alias("n")).filter("n = 2").select("run")
     return df.join(complete, "run", "left_semi")
+
+
+def adapt_run_file(df: DataFrame, run: str, split: str, id_col: str = "id", target: str = "isDefault") -> DataFrame:
+    """P6 bring one run's file to the long layout: the last column that is
+    neither the id nor the target is the prediction; the target (if present)
+    becomes ``y``."""
+    cand = [c for c in df.columns if c not in (id_col, target)]
+    if not cand:
+        raise ValueError("no prediction column")
+    y = F.col(target).cast("int") if target in df.columns else F.lit(None).cast("int")
+    return df.select(F.lit(run).alias("run"), F.lit(split).alias("split"), F.col(id_col).alias("id"),
+                     y.alias("y"), F.col(cand[-1]).cast("double").alias("pred"))
