@@ -182,7 +182,7 @@ def block_ctes(src, n_blocks=5, min_gap=1):
     )
     return f"""
 tb_months AS (SELECT DISTINCT time_key AS month FROM {src} WHERE is_train = 1 AND time_key > 0),
-tb_rn AS (SELECT month, {nt} AS block, row_number() {w} AS rn FROM tb_months),
+tb_rn AS (SELECT month, CAST({nt} AS INTEGER) AS block, row_number() {w} AS rn FROM tb_months),
 tb AS (SELECT month, block, (min(rn) OVER (PARTITION BY block) - 1) >= {min_gap} AS valid FROM tb_rn)"""
 
 

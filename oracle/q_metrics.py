@@ -68,7 +68,7 @@ register(
     "model_auc",
     "WITH " + PREDS + "," + OOF + "," + score_ctes("oof", ["run"])
     + ", a AS (" + auc_select(["run"]) + ")\nSELECT run, " + r("auc")
-    + " AS auc, row_number() OVER (ORDER BY auc DESC NULLS LAST, run) AS position FROM a",
+    + " AS auc, CAST(row_number() OVER (ORDER BY auc DESC NULLS LAST, run) AS INTEGER) AS position FROM a",
 )
 register(
     "best_model",
