@@ -111,8 +111,7 @@ def _finish(df: DataFrame, cfg: FeatureConfig, cat_cols: list[str], drop=()) ->
     med = stats.fit_median(df, need, cfg.quantile_accuracy)
     df = stats.apply_median(df, med)
     cats = [c for c in cat_cols if c in df.columns]
-    card = encode.cardinality(df, cats, approx=False)
-    high = encode.high_cardinality(card, cfg.high_card_threshold)
+    high = encode.high_cardinality_columns(df, cats, cfg.high_card_threshold)
     need = [c for c in high if f"{c}_freq" not in df.columns]
     if need:
         table = encode.fit_freq(df, need)
