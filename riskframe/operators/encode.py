@@ -551,19 +551,20 @@ def high_cardinality(card: DataFrame, threshold: int) -> list[str]:
     return [r["cat_col"] for r in card.filter(F.col("nunique") > threshold).collect()]
 
 
-def high_cardinality_columns(df: DataFrame, cols: list[str], threshold: int, rsd: float = 0.01) -> list[str]:
+def high_cardinality_columns(df: DataFrame, cols: list[str], threshold: int, rsd: float = 0.05) -> list[str]:
     """E10 columns with more than ``threshold`` distinct values (null counted).
 
-    Exact decision at bounded cost: one HyperLogLog pass estimates every
-    column; only columns whose estimate lies within ±10 % of the threshold
-    (far beyond the sketch's error) are counted exactly. Several exact
-    distinct counts in one aggregate would expand every row once per column.
+    Exact decision at bounded cost: one HyperLogLog pass (5 % relative
+    error, small sketches) estimates every column; only columns whose
+    estimate lies within -20 % / +25 % of the threshold (beyond four standard
+    errors) are counted exactly. Several exact distinct counts in one
+    aggregate would expand every row once per column.
     """
     if not cols:
         return []
     est = df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in cols]).first()
-    high = [c for c in cols if est[c] > threshold * 1.1]
-    unsure = [c for c in cols if threshold * 0.9 <= est[c] <= threshold * 1.1]
+    high = [c for c in cols if est[c] > threshold * 1.25]
+    unsure = [c for c in cols if threshold * 0.8 <= est[c] <= threshold * 1.25]
     for c in unsure:
         n = df.agg((F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias("n")).first()["n"]
         if n > threshold:
