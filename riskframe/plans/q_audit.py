@@ -51,7 +51,7 @@ def q_top_missing(spark, sf_dir):
 @query("woe_summary")
 def q_woe_summary(spark, sf_dir):
     """A2 health and single-column AUC of the WOE columns on train rows."""
-    base = feature_base(spark, sf_dir).select("id", "is_train", "isDefault", *WOE_V3_COLS)
+    base = feature_base(spark, sf_dir, crosses=False).select("id", "is_train", "isDefault", *WOE_V3_COLS)
     df = base
     for c in WOE_V3_COLS:
         df = encode.apply_woe(df, encode.fit_woe(base, c, q=10, style="bad_good"), c)

@@ -36,8 +36,8 @@ def q_past_rate(spark, sf_dir):
 # ---------------------------------------------------------------- shared base
 
 
-def feature_base(spark, sf_dir):
-    """Parsed loans with category copies and crosses, written once per query."""
+def feature_base(spark, sf_dir, crosses: bool = True):
+    """Parsed loans with category copies (and crosses), written once per query."""
     from riskframe.plans.q_parse import cross_columns, parsed
 
     loans = supervised_view(load_loans(spark, sf_dir))
@@ -46,7 +46,8 @@ def feature_base(spark, sf_dir):
         f"{c}_cat": parse.category_copy(F.col(c))
         for c in ("employmentTitle", "title", "issueDate", "earliesCreditLine")
     })
-    df = cross_columns(df)
+    if crosses:
+        df = cross_columns(df)
     return materialize(df)
 
 
@@ -67,7 +68,7 @@ CAT_COLS_V1 = ["term_bin", "employmentLength_cat", "issueDate_cat", "earliesCred
 @query("freq_encode")
 def q_freq_encode(spark, sf_dir):
     """E1 share of each value over train + test (null is a value)."""
-    df = feature_base(spark, sf_dir).select("id", *FREQ_COLS)
+    df = feature_base(spark, sf_dir, crosses=False).select("id", *FREQ_COLS)
     table = encode.fit_freq(df, list(FREQ_COLS))
     for c, out in FREQ_COLS.items():
         df = encode.apply_freq(df, table, c, out)
@@ -87,7 +88,7 @@ def q_train_count(spark, sf_dir):
 @query("kfold_target_encode")
 def q_kfold_te(spark, sf_dir):
     """E3 out-of-fold smoothed target mean (k=5, m=50) for the v2 columns."""
-    df = feature_base(spark, sf_dir).select("id", "is_train", "isDefault", *KFOLD_TE_COLS)
+    df = feature_base(spark, sf_dir, crosses=False).select("id", "is_train", "isDefault", *KFOLD_TE_COLS)
     df = encode.kfold_target_encode(df, KFOLD_TE_COLS, k=5, m=50.0)
     return df.select("id", *[rnd(f"te_{c}").alias(f"te_{c}") for c in KFOLD_TE_COLS])
 
@@ -119,7 +120,7 @@ def q_past_rate_test(spark, sf_dir):
 
 
 def _woe_query(spark, sf_dir, cols, style):
-    df = feature_base(spark, sf_dir).select("id", "is_train", "isDefault", *cols)
+    df = feature_base(spark, sf_dir, crosses=False).select("id", "is_train", "isDefault", *cols)
     models = encode.fit_woe_multi(df, cols, q=10, style=style)
     for c in cols:
         df = encode.apply_woe(df, models[c], c)
@@ -141,7 +142,7 @@ def q_woe_bad_good(spark, sf_dir):
 @query("cardinality")
 def q_cardinality(spark, sf_dir):
     """G4 distinct values per category column, null counted as a value."""
-    df = feature_base(spark, sf_dir)
+    df = feature_base(spark, sf_dir, crosses=False)
     return encode.cardinality(df, CAT_COLS_V1)
 
 
