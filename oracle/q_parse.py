@@ -347,3 +347,17 @@ register(
     "cross_features",
     with_parsed("WITH " + QBINS + "," + CROSSES + "\nSELECT id, grade_term, fico_dti, purpose_home, iy_region FROM crossed"),
 )
+
+register(
+    "inf_to_null",
+    with_parsed(
+        "WITH rr AS (SELECT id, "
+        "CAST(loanAmnt AS DOUBLE) / (CAST(annualIncome AS DOUBLE) + 1.0::DOUBLE) AS loan_income_ratio, "
+        "CAST(revolBal AS DOUBLE) / (CAST(annualIncome AS DOUBLE) + 1.0::DOUBLE) AS revol_income, "
+        "CAST(openAcc AS DOUBLE) / (CAST(totalAcc AS DOUBLE) + 1.0::DOUBLE) AS open_ratio, "
+        "interestRate * term_mon AS ir_x_term FROM parsed)\nSELECT id, "
+        + ", ".join(f"{r(f'CASE WHEN isfinite({c}) THEN {c} END')} AS {c}"
+                    for c in ("loan_income_ratio", "revol_income", "open_ratio", "ir_x_term"))
+        + " FROM rr"
+    ),
+)

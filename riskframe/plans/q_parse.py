@@ -303,3 +303,22 @@ def q_cross_features(spark, sf_dir):
     df = cross_columns(parsed(_loans(spark, sf_dir)))
     return df.select("id", *CROSSES)
 
+
+
+INF_COLS = ["loan_income_ratio", "revol_income", "open_ratio", "ir_x_term"]
+
+
+@query("inf_to_null")
+def q_inf_to_null(spark, sf_dir):
+    """P10 NaN/±inf → null on the ratio columns (where a zero divisor would
+    leave an infinity in IEEE arithmetic)."""
+    df = parsed(_loans(spark, sf_dir))
+    ratios = df.select(
+        "id",
+        derive.ratio("loanAmnt", "annualIncome").alias("loan_income_ratio"),
+        derive.ratio("revolBal", "annualIncome").alias("revol_income"),
+        derive.ratio("openAcc", "totalAcc").alias("open_ratio"),
+        derive.ir_x_term().alias("ir_x_term"),
+    )
+    out = stats.inf_to_null(ratios, INF_COLS)
+    return out.select("id", *[rnd(c).alias(c) for c in INF_COLS])
