@@ -149,3 +149,21 @@ def test_high_cardinality_exact_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "a string, b string, c string")
     # a: 201 values, b: 199, c: 200 values + null = 201
     assert encode.high_cardinality_columns(df, ["a", "b", "c"], 200) == ["a", "c"]
+
+
+def test_time_blocks_follow_array_split(spark):
+    import numpy as np
+
+    for n_months, n_blocks, gap in ((13, 5, 1), (3, 5, 1), (10, 4, 3)):
+        rows = [(i, 1, 0, 201500 + 1 + i % n_months, "a") for i in range(5 * n_months)]
+        rows.append((999, 1, 0, 0, "a"))  # an unparsable month never forms a block
+        got = {r["month"]: (r["block"], r["valid"]) for r in encode.fit_time_blocks(
+            _df(spark, rows), n_blocks=n_blocks, min_train_gap=gap).collect()}
+        months = sorted({r[3] for r in rows if r[3] > 0})
+        k = n_blocks if len(months) >= n_blocks else max(2, len(months))
+        seen = 0
+        for b, part in enumerate(np.array_split(np.array(months), k), start=1):
+            for m in part:
+                assert got[int(m)] == (b, seen >= gap)
+            seen += len(part)
+        assert 0 not in got
