@@ -38,7 +38,7 @@ def _digits(s: Column) -> Column:
 
 
 def _num(s: Column) -> Column:
-    return F.coalesce(F.expr("try_cast(NULL as bigint)"), s.try_cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(s.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def _pad(n: Column, width: Column) -> Column:
@@ -127,6 +127,10 @@ def _round(key: str, r: int, s: Column) -> Column:
     return F.struct(s["kind"].alias("kind"), a.alias("a"), s["ma"].alias("ma"), b.alias("b"), s["mb"].alias("mb"), s["keep"].alias("keep"))
 
 
+def _step(key: str, r: int):
+    return lambda s: F.when(s.isNotNull(), _round(key, r, s))
+
+
 def _refill(shape: Column, digits: Column) -> Column:
     """Put the digits, in order, where the shape has digits."""
     taken = F.transform(
@@ -183,7 +187,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     hits = F.regexp_extract_all(text, F.lit(ANY), 0)
     states = F.transform(hits, read)
     for r in range(ROUNDS):
-        states = F.transform(states, lambda s, r=r: F.when(s.isNotNull(), _round(key, r, s)))
+        states = F.transform(states, _step(key, r))
     new = F.zip_with(hits, states, lambda old, s: F.struct(s["kind"].alias("kind"), old.alias("old"), F.coalesce(F.when(s.isNotNull(), write(s, old, key)), old).alias("new")))
     out = docs.withColumn("_pii_text", text).withColumn("_pii", F.when(F.col("_pii_text").rlike("[0-9@]"), new).otherwise(F.expr("array()").cast("array<struct<kind:string,old:string,new:string>>")))
     between = F.split(F.col("_pii_text"), ANY, -1)

@@ -98,11 +98,12 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> D
     return now.groupBy("host").agg(side(0).alias("trust"), side(1).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rounds: int = 6, damping: float = 0.85, ratio: float = 1.0, site_weight: float = 0.1) -> DataFrame:
+def judge_urls(pages: DataFrame, rounds: int = 6, damping: float = 0.85, ratio: float = 1.0, level: float = 2.0, site_weight: float = 0.1) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     ``verdict`` is the fitting rule's; without one, a page is blocked when its
-    host's distrust is over ``ratio`` times its trust, else allowed. A null url or
+    host's distrust is over ``ratio`` times its trust and over ``level`` times the
+    mean share of a host, else allowed. A null url or
     one without ``://`` has empty host and path, and is allowed. Null html has no
     links. Repeated rows are judged alike, one row each; other columns are
     ignored; an empty table gives an empty result.
@@ -118,7 +119,8 @@ def judge_urls(pages: DataFrame, rounds: int = 6, damping: float = 0.85, ratio:
     seeds = hosts.select("host", (F.col("allowed") / F.lit(float(sums[0] or 1))).alias("trust"), (F.col("blocked") / F.lit(float(sums[1] or 1))).alias("distrust"))
     scores = write_table(spread(write_table(host_edges(parsed, site_weight), "host-edges"), seeds, rounds, damping), "host-scores")
     judged = with_rule(parsed.drop("html")).join(scores, "host", "left")
-    bad = F.coalesce(F.col("distrust"), F.lit(0.0)) > F.lit(ratio) * F.coalesce(F.col("trust"), F.lit(0.0))
+    least = level / max(1, hosts.count())
+    bad = (F.col("distrust") > F.lit(ratio) * F.col("trust")) & (F.col("distrust") > F.lit(least))
     return judged.select(
         "page_id",
         "host",
