@@ -7,11 +7,26 @@ from pyspark.sql import functions as F
 
 from riskframe.plans.common import write_table
 
-__all__ = ["ascii_lower", "clean_text", "load", "shuffle_partitions", "write_table"]
+__all__ = ["Shared", "ascii_lower", "clean_text", "load", "shuffle_partitions", "write_table"]
 
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+class Shared:
+    """A broadcast value with its id, which Python workers use as the key of what they build from it."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.box = spark.sparkContext.broadcast(value)
+        self.id = self.box._jbroadcast.id()
+
+    def __getstate__(self):
+        return {"box": self.box, "id": self.id}
+
+    @property
+    def value(self):
+        return self.box.value
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

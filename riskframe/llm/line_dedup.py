@@ -49,18 +49,25 @@ def spread_lines(lines: DataFrame, min_sites: int, band: float = BAND, lg_k: int
 
 
 def drop_spread_lines(
-    docs: DataFrame, min_sites: int = 10, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", keep_first: bool = True
+    docs: DataFrame,
+    min_sites: int = 10,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    site_col: str = "source",
+    length_col: str | None = None,
+    keep_first: bool = True,
+    counts: bool = True,
 ) -> DataFrame:
-    """The input with boilerplate lines removed from ``text``, plus ``n_lines`` and ``n_removed``.
+    """The input with boilerplate lines removed from ``text``; with ``counts`` also ``n_lines`` and ``n_removed``.
 
     A line is what stands between line feeds, compared without leading and
     trailing spaces; blank lines always stay. With ``keep_first`` the smallest (id,
     text hash, position) that holds a boilerplate line keeps it, so no passage
-    leaves the corpus altogether. Null text becomes empty text, a null site is no
-    site, a null id sorts last. Repeated rows (same id and text) are treated alike.
-    Each input row gives one row with all its columns (``n_lines`` and
-    ``n_removed`` are overwritten if they exist); texts without such lines are
-    unchanged.
+    leaves the corpus altogether. ``length_col`` gets the new length of changed
+    texts. A null text stays null (and has one blank line), a null site is no site, a
+    null id sorts last. Repeated rows (same id and text) are treated alike. Each
+    input row gives one row with all its columns (``counts`` overwrites two names);
+    texts without such lines are unchanged; an empty table gives an empty result.
     """
     text = clean_text(text_col)
     pieces = docs.select(
@@ -74,17 +81,19 @@ def drop_spread_lines(
     hit = lines.join(boiler, ["h1", "h2"])
     if keep_first:
         hit = hit.where(~F.col("first").eqNullSafe(F.struct(F.col("id").isNull().alias("z"), "id", "th", "pos")))
-    gone = hit.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set("pos").alias("_gone"))
-    rows = docs.withColumn(text_col, text)
-    joined = rows.join(gone, rows[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(rows[text_col]) == F.col("_th")), "left").drop("_id", "_th")
-    parts = F.split(text_col, "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return (
-        joined.withColumn("n_lines", F.size(parts).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long"))
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left))
-        .drop("_gone")
-    )
+    gone = hit.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
+    at = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__th"))
+    joined = docs.join(gone, at, "left").drop("__id", "__th")
+    changed = F.col("__gone").isNotNull()
+    parts = F.split(text, "\n")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    out = {}
+    if counts:
+        out |= {"n_lines": F.size(parts).cast("long"), "n_removed": F.when(changed, F.size("__gone")).otherwise(0).cast("long")}
+    if length_col:
+        length = F.char_length(left).cast(docs.schema[length_col].dataType)
+        out[length_col] = F.when(changed, length).otherwise(F.col(length_col))
+    return joined.withColumns(out | {text_col: F.when(changed, left).otherwise(F.col(text_col))}).drop("__gone")
 
 
 ORACLE = """

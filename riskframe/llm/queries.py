@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import exact_dedup, license_scan, line_dedup, pii, url_filter
+from riskframe.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, near_dedup, pii, substring_dedup, toxicity, url_filter
 from riskframe.llm.common import load
 
 PII_KEY = "corpus-key-1"
@@ -21,6 +23,14 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(load(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_digests(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, PII_KEY).drop("found")
@@ -31,6 +41,19 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_spread_lines(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.find_repeats(load(spark, sf_dir, "documents")).drop("th")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, load(spark, sf_dir, "labels")))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_components(load(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_dedup(load(spark, sf_dir, "documents"))
 
@@ -39,9 +62,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
         "op2_license_scan": op2_license_scan,
+        "op3_decontamination": op3_decontamination,
+        "op4_bpe": op4_bpe,
         "op5_pii": op5_pii,
         "op6_line_dedup": op6_line_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
+        "op8_toxicity": op8_toxicity,
+        "op9_near_dedup": op9_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
     }
 
 
