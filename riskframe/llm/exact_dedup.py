@@ -1,9 +1,11 @@
 """Exact dedup by content sort.
 
-Rows are range-partitioned on the normalised text by sampled splitters and
-sorted externally, so equal texts are adjacent; a window over the sorted rows
-compares neighbouring texts in full and names the row that stays. No hash
-decides equality inside a partition.
+Rows are range-partitioned on the head of the normalised bytes by sampled
+splitters (a hash of the whole text parts texts with a common head) and sorted
+externally by the whole bytes, so equal texts are adjacent; a window over the
+sorted rows compares neighbouring texts in full and names the row that stays. No
+hash decides equality inside a partition. Splitters are sampled from heads and
+hashes, so what the driver holds of them doesn't grow with the texts' length.
 
 Hot texts: a text that more than a quarter of a partition's share of rows hold
 is dealt over several sub-ranges ``(text, salt)``. Each sub-range is resolved
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 from riskframe.llm.common import ASCII_SPACE, clean_text, shuffle_partitions, write_table
 
+HEAD = 32
+
 
 def normalise(text: Column) -> Column:
     return F.regexp_replace(text, ASCII_SPACE, "")
@@ -55,16 +59,17 @@ def content_sort_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
     hot = _hot_texts(keyed, parts)
     salted = (
-        keyed.withColumn("h", F.xxhash64("norm"))
+        keyed.withColumn("head", F.substring("norm", 1, HEAD))
+        .withColumn("h", F.xxhash64("norm"))
         .join(F.broadcast(hot), "h", "left")  # at most 4 x partitions rows
         .withColumn(
             "salt",
             F.coalesce(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("salts")).cast("int"), F.lit(-1)),
         )
-        .select("id", "chars", "norm", "salt")
+        .select("id", "chars", "head", "h", "norm", "salt")
     )
-    dealt = salted.repartitionByRange(parts, "norm", "salt")
-    order = Window.partitionBy("norm", "salt").orderBy(F.col("chars").desc(), F.col("id").asc_nulls_last())
+    dealt = salted.repartitionByRange(parts, "head", "h", "salt")
+    order = Window.partitionBy("head", "h", "salt", "norm").orderBy(F.col("chars").desc(), F.col("id").asc_nulls_last())
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ranked = dealt.select(
         "id",

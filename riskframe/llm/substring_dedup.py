@@ -159,7 +159,7 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
         .agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
     )
-    cut = F.udf(lambda t, s: _cut(t, [tuple(x) for x in s]), "string", useArrow=True)
+    cut = F.udf(lambda t, s: _cut(t or "", [tuple(x) for x in s or ()]), "string", useArrow=True)
     at = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(clean_text("text")) == F.col("_th"))
     joined = docs.join(spans, at, "left").drop("_id", "_th")
     return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).drop("_spans")
