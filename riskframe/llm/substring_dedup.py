@@ -3,8 +3,8 @@
 A gear hash rolls over the normalised bytes; where its top bits are zero the
 text is cut, after the word. The cut depends on the last 16 bytes alone, so text
 that stands in two documents is cut alike in both, whatever was inserted before
-it. Chunks meet by digest; a passage is a run of neighbouring chunks that other
-documents hold too.
+it. Chunks meet by digest, and neighbouring shared chunks by the digest of the
+pair; a passage is a run of pairs that several documents hold.
 """
 
 from __future__ import annotations
@@ -99,8 +99,8 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage: ``doc_id, th, first_word, n_words, keep_id, kept``.
 
-    A passage is a run of neighbouring chunks each of which stands in two or more
-    documents, and of at least ``0.4 * min_words`` words: the chunks that a passage
+    A passage is a run of neighbouring chunks, each of which stands in two or more
+    documents next to the one before, and of at least ``0.4 * min_words`` words: the chunks that a passage
     of ``min_words`` words or more shares in full. ``first_word`` and ``n_words``
     count white-space separated words of the text, ``th`` is the text's hash.
     ``keep_id`` is the smallest document that holds the run's first chunk; ``kept``
@@ -122,13 +122,17 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     hit = (
         table.join(shared, "digest")
         .repartition("key", "th")  # a document's chunks: bounded by its text
-        .groupBy("key", "th", "first_word", "n_words")
+        .groupBy("key", "th", "first_word", "n_words", "digest")
         .agg(F.min("keep").alias("keep"))
     )
     along = Window.partitionBy("key", "th").orderBy("first_word")
-    fresh = F.coalesce(F.col("first_word") != F.lag(F.col("first_word") + F.col("n_words")).over(along), F.lit(True))
+    touches = F.lead("first_word").over(along) == F.col("first_word") + F.col("n_words")
+    hit = write_table(hit.withColumn("pair", F.when(touches, F.xxhash64("digest", F.lead("digest").over(along)))), "shared-chunks")
+    joint = hit.where("pair is not null").groupBy("pair").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p < q").select("pair", F.lit(1).alias("joint"))
+    fresh = F.coalesce(F.lag("joint").over(along), F.lit(0)) == 0
     runs = (
-        hit.withColumn("fresh", fresh.cast("int"))
+        hit.join(joint, "pair", "left")
+        .withColumn("fresh", fresh.cast("int"))
         .withColumn("run", F.sum("fresh").over(along))
         .groupBy("key", "th", "run")
         .agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.min_by("keep", "first_word").alias("keep"))
