@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.functions import parse
@@ -29,14 +31,26 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str | None = None) -> DataFrame:
-    import uuid
-
+    """Write ``df`` as Parquet under this application's folder in the shared checkpoint folder and read it back."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name or 't'}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
+    path = f"{_tables_dir(spark)}/{name or 't'}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _tables_dir(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete every intermediate table this application has written.
+
+    For the caller to use once no DataFrame built from them is needed any more.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_time_columns(df: DataFrame, time_col: str = "issueDate") -> DataFrame:
     """Parsed issue date plus its month key (R4, R8)."""
     d = parse.parse_date(F.col(time_col))

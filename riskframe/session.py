@@ -9,6 +9,7 @@ splitting, and a shared checkpoint folder for cutting lineage.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -33,33 +34,30 @@ def get_session(
 ) -> SparkSession:
     """Return a session configured for the library.
 
-    ``master`` and ``shuffle_partitions`` default to ``local[$BENCH_CPUS or *]``
-    and 8 — test/bench settings. On a cluster pass nothing: the active session
-    (and its cluster-provided configuration) is reused.
+    Without arguments the active session, or one built from the environment's own
+    configuration (``spark-submit``, ``spark-defaults.conf``), is used as it is: no
+    master, memory or partition count is set here. ``master`` asks for a local test
+    or bench session, which gets small-machine settings; there ``shuffle_partitions``
+    defaults to the number of its cores.
     """
-    active = SparkSession.getActiveSession()
-    if active is not None and master is None:
-        configure(active)
-        return active
-    cpus = os.environ.get("BENCH_CPUS", "*")
+    if master is None:
+        spark = SparkSession.getActiveSession() or SparkSession.builder.appName(app_name).getOrCreate()
+        return configure(spark)
+    if not master.startswith("local"):
+        raise ValueError("only local test sessions name their master here")
     builder = (
-        SparkSession.builder.master(master or f"local[{cpus}]")
+        SparkSession.builder.master(master)
         .appName(app_name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("RISKFRAME_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))
-        .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
-        # A session created here is a local one (tests, bench): it gets a private
-        # scratch checkpoint folder. Cluster sessions come with their own.
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="riskframe-ckpt-", dir="/tmp"))
+        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or os.cpu_count() or 8))
     )
     for k, v in RUNTIME_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    configure(spark)
-    return spark
+    return configure(spark)
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -74,7 +72,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``; that value is always used.
-    Only when it is unset (local tests) a private scratch folder is created.
+    Where it is unset, a local session (one process, one disk) gets a scratch
+    folder; any other one is refused, since its machines share no local folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -82,6 +81,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     path = sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="riskframe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     return sc._jsc.sc().getCheckpointDir().get()
