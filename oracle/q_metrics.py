@@ -73,7 +73,13 @@ register(
 register(
     "best_model",
     "WITH " + PREDS + "," + OOF + "," + score_ctes("oof", ["run"])
-    + ", a AS (" + auc_select(["run"]) + ")\nSELECT arg_max(run, auc) AS run, " + r("max(auc)") + " AS auc FROM a",
+    + ", a AS (" + auc_select(["run"]) + ")\nSELECT run, " + r("auc") + " AS auc FROM a ORDER BY auc DESC NULLS LAST, run LIMIT 1",
+)
+
+register(
+    "null_group_auc",
+    "WITH " + PREDS + "," + OOF + ", og AS (SELECT * REPLACE (CASE WHEN run <> 'hist_grade' THEN run END AS run) FROM oof),"
+    + score_ctes("og", ["run"]) + ", a AS (" + auc_select(["run"]) + ")\nSELECT run, " + r("auc") + " AS auc, n FROM a",
 )
 
 STRAT = """

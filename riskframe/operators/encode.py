@@ -101,17 +101,7 @@ def apply_train_count(df: DataFrame, table: DataFrame, col: str, out: str | None
 
 def train_count_encode(df: DataFrame, col: str, out: str | None = None, split: str = SPLIT) -> DataFrame:
     """E2 number of train rows holding the value; unseen values → 0."""
-    out = out or f"{col}_freq"
-    counts = (
-        df.filter(_is_train(split))
-        .groupBy(F.col(col).alias("__ck"))
-        .agg(F.count(F.lit(1)).cast("double").alias(out))
-    )
-    return (
-        df.join(counts, F.col(col).eqNullSafe(F.col("__ck")), "left")
-        .drop("__ck")
-        .withColumn(out, F.coalesce(F.col(out), F.lit(0.0)))
-    )
+    return apply_train_count(df, fit_train_count(df, [col], split), col, out)
 
 
 # --------------------------------------------------------------------------
@@ -532,41 +522,27 @@ def fit_woe_multi(df: DataFrame, cols: list[str], target: str = TARGET, q: int =
 # --------------------------------------------------------------------------
 
 
-def cardinality(df: DataFrame, cols: list[str], approx: bool = False) -> DataFrame:
-    """G4 distinct values per column, a null counting as one value.
+def cardinality(df: DataFrame, cols: list[str]) -> DataFrame:
+    """G4 distinct values per column, a null counting as one value: (cat_col, nunique).
 
-    Returns (cat_col, nunique). One aggregation for all columns.
+    One exact aggregation for all columns: values are unpivoted as text and
+    counted per (column, value), combined before the shuffle, so no row is
+    expanded by the shuffle and no task holds a column's values.
     """
     if not cols:
         raise ValueError("no columns")
-    aggs = []
-    for c in cols:
-        d = F.approx_count_distinct(c) if approx else F.count_distinct(c)
-        aggs.append((d + F.max(F.col(c).isNull().cast("int"))).cast("bigint").alias(c))
-    wide = df.agg(*aggs)
-    return wide.unpivot([], cols, "cat_col", "nunique")
+    rows = df.select(*[F.struct(F.col(c).cast("string").alias("key")).alias(c) for c in cols]).unpivot([], cols, "cat_col", "s")
+    values = rows.groupBy("cat_col", F.col("s.key").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return values.groupBy("cat_col").agg(F.count(F.lit(1)).cast("bigint").alias("nunique"))
 
 
 def high_cardinality(card: DataFrame, threshold: int) -> list[str]:
     return [r["cat_col"] for r in card.filter(F.col("nunique") > threshold).collect()]
 
 
-def high_cardinality_columns(df: DataFrame, cols: list[str], threshold: int, rsd: float = 0.05) -> list[str]:
-    """E10 columns with more than ``threshold`` distinct values (null counted).
-
-    Exact decision at bounded cost: one HyperLogLog pass (5 % relative
-    error, small sketches) estimates every column; only columns whose
-    estimate lies within -20 % / +25 % of the threshold (beyond four standard
-    errors) are counted exactly. Several exact distinct counts in one
-    aggregate would expand every row once per column.
-    """
+def high_cardinality_columns(df: DataFrame, cols: list[str], threshold: int) -> list[str]:
+    """E10 columns with more than ``threshold`` distinct values (null counted), by exact count."""
     if not cols:
         return []
-    est = df.agg(*[F.approx_count_distinct(c, rsd).alias(c) for c in cols]).first()
-    high = [c for c in cols if est[c] > threshold * 1.25]
-    unsure = [c for c in cols if threshold * 0.8 <= est[c] <= threshold * 1.25]
-    for c in unsure:
-        n = df.agg((F.count_distinct(c) + F.max(F.col(c).isNull().cast("int"))).alias("n")).first()["n"]
-        if n > threshold:
-            high.append(c)
+    high = set(high_cardinality(cardinality(df, cols), threshold))
     return [c for c in cols if c in high]

@@ -14,9 +14,8 @@ from riskframe.operators.encode import hash_fold
 
 __all__ = ["hash_fold", "kfold_assign", "stratified_folds", "hash_sample", "stratified_sample"]
 
-# Leading hex digits of md5(id) that define the hash buckets of the exact
-# stratified split (16^3 = 4096 contiguous ranges of the md5 order).
-BUCKET_HEX = 3
+# Rows of a class that one hash range of the stratified split holds on average.
+RANGE_ROWS = 100_000
 
 
 def _md5(id_col: str) -> Column:
@@ -40,13 +39,15 @@ def stratified_folds(
     (md5(id), id) are dealt round-robin into k folds.
 
     The per-class row number is computed without a per-class global sort: the
-    md5 order is cut into 4096 contiguous hash buckets, rows are numbered
-    inside (class, bucket), and the counts of earlier buckets of the same
-    class (a 4096-row table per class) give the offset. A class holding most
-    rows is thus spread over thousands of tasks.
+    md5 order is cut into contiguous hash ranges, as many as the row count asks
+    for, rows are numbered inside (class, range), and the counts of the class's
+    earlier ranges give the offset. The folds don't depend on the number.
     """
     h = _md5(id_col)
-    rows = df.withColumn("__h", h).withColumn("__hb", F.substring("__h", 1, BUCKET_HEX))
+    n, digits = df.count(), 1
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
+    rows = df.withColumn("__h", h).withColumn("__hb", F.substring("__h", 1, digits))
     counts = rows.groupBy(label, "__hb").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(label).orderBy("__hb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(

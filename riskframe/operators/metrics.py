@@ -1,12 +1,11 @@
 """Rank metrics without a row-level global sort.
 
-Everything rank-based goes through :func:`score_table`: rows are first
-aggregated per distinct score (map-side combined), distinct scores are cut
-into ``buckets`` contiguous ranges by approximate quantile edges of the
-distinct scores, running sums run inside each (group, bucket) and over the
-small per-bucket totals. The result is exact — a score lies in exactly one
-bucket — and no task ever sorts more than one bucket of one group, so a group
-holding a third of all rows is still spread over ``buckets`` tasks.
+Everything rank-based goes through :func:`score_table`: rows are aggregated per
+distinct score (combined before the shuffle), the distinct scores are
+range-partitioned by value and written, running sums run inside each range and
+over the small table of range totals. The number of ranges follows the size of
+the data (adaptive partition sizes), not a constant, and the result is exact
+for any number. A group holding a third of all rows spreads over many ranges.
 """
 
 from __future__ import annotations
@@ -14,34 +13,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
-
-
 def _finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))
 
 
-def count_below(edges, x, n: int):
-    """Number of entries of the sorted array ``edges`` that are < ``x``, by
-    binary search: ceil(log2 n) steps of one ``aggregate`` higher-order
-    function, O(log n) per row instead of a scan over all edges."""
-    bits = max(1, (max(n, 2) - 1).bit_length())
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(bits))])
-    return F.aggregate(
-        steps, F.lit(0),
-        lambda acc, st: F.when((acc + st <= F.size(edges)) & (F.element_at(edges, acc + st) < x), acc + st)
-        .otherwise(acc),
-    )
+def in_ranges(counts: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """The table written in ranges of ``order``, with the range's number as ``__part``.
+
+    The rows are written first, so that sampling the range bounds doesn't run the
+    plan behind them again, and the numbered ranges are written too, so that all
+    readers see the same ones. ``parts`` fixes the number of ranges (for tests).
+    """
+    from riskframe.plans.common import write_table
 
+    rows = write_table(counts, "counts")
+    dealt = rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)
+    return write_table(dealt.withColumn("__part", F.spark_partition_id()), "ranges")
 
-def score_table(
-    df: DataFrame, score: str, label: str | None, by: list[str] | tuple = (),
-    buckets: int = DEFAULT_BUCKETS,
-) -> DataFrame:
+
+def _same(left: DataFrame, right: DataFrame, cols: list[str], prefix: str = "__r_") -> DataFrame:
+    """Inner join on ``cols`` where a null equals a null; the right side's copies are dropped."""
+    renamed = right.select(*[F.col(c).alias(prefix + c) for c in cols], *[c for c in right.columns if c not in cols])
+    cond = F.lit(True)
+    for c in cols:
+        cond = cond & F.col(c).eqNullSafe(F.col(prefix + c))
+    return left.join(renamed, cond).drop(*[prefix + c for c in cols])
+
+
+def score_table(df: DataFrame, score: str, label: str | None, by: list[str] | tuple = (), parts: int | None = None) -> DataFrame:
     """Per (by…, distinct score): pos, neg, cnt and the sums strictly below.
 
     Columns: by…, __s, pos, neg, cnt, pos_below, neg_below, cnt_below.
-    Rows with a non-finite score (or null label) are ignored (P9).
+    Rows with a non-finite score (or null label) are ignored (P9). A null in
+    ``by`` is a group of its own.
     """
     by = list(by)
     s = F.col(score).cast("double")
@@ -49,36 +53,28 @@ def score_table(
     y = F.lit(0.0)
     if label is not None:
         y = F.col(label).cast("double")
-        cond = cond & y.isNotNull()
+        cond = cond & _finite(y)
     rows = df.select(*by, s.alias("__s"), y.alias("__y")).filter(cond)
     g = rows.groupBy(*by, "__s").agg(
         F.sum("__y").alias("pos"), F.count(F.lit(1)).alias("cnt")
     ).withColumn("neg", F.col("cnt") - F.col("pos"))
-    probs = [i / buckets for i in range(1, buckets)]
-    edges = g.groupBy(*by).agg(F.percentile_approx("__s", probs, max(100, 10 * buckets)).alias("__e"))
-    if by:
-        gb = g.join(edges, by)
-    else:
-        e = edges.first()
-        lit_edges = F.array(*[F.lit(float(v)) for v in (e["__e"] if e else [])]) if e else F.array()
-        gb = g.withColumn("__e", lit_edges.cast("array<double>"))
-    gb = gb.withColumn("__b", count_below(F.col("__e"), F.col("__s"), buckets)).drop("__e")
-    inner = Window.partitionBy(*by, "__b").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    within = gb.select(
-        *by, "__b", "__s", "pos", "neg", "cnt",
+    g = in_ranges(g, [*by, "__s"], parts)
+    inner = Window.partitionBy(*by, "__part").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    within = g.select(
+        *by, "__part", "__s", "pos", "neg", "cnt",
         F.coalesce(F.sum("pos").over(inner), F.lit(0.0)).alias("pb"),
         F.coalesce(F.sum("neg").over(inner), F.lit(0.0)).alias("nb"),
         F.coalesce(F.sum("cnt").over(inner), F.lit(0)).alias("cb"),
     )
-    tot = gb.groupBy(*by, "__b").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"), F.sum("cnt").alias("tc"))
-    outer = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    tot = g.groupBy(*by, "__part").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"), F.sum("cnt").alias("tc"))
+    outer = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offs = tot.select(
-        *by, "__b",
+        *by, "__part",
         F.coalesce(F.sum("tp").over(outer), F.lit(0.0)).alias("po"),
         F.coalesce(F.sum("tn").over(outer), F.lit(0.0)).alias("no"),
         F.coalesce(F.sum("tc").over(outer), F.lit(0)).alias("co"),
     )
-    return within.join(offs, [*by, "__b"]).select(
+    return _same(within, offs, [*by, "__part"]).select(
         *by, "__s", "pos", "neg", "cnt",
         (F.col("pb") + F.col("po")).alias("pos_below"),
         (F.col("nb") + F.col("no")).alias("neg_below"),
@@ -86,13 +82,13 @@ def score_table(
     )
 
 
-def auc(df: DataFrame, score: str, label: str, by=(), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def auc(df: DataFrame, score: str, label: str, by=(), parts: int | None = None) -> DataFrame:
     """M1/M2 tie-aware ROC AUC per group: Σ pos·(neg_below + neg/2) / (P·N).
 
     One class only (or no finite score) → null (safe AUC). Columns: by…, auc, n.
     """
     by = list(by)
-    t = score_table(df, score, label, by, buckets)
+    t = score_table(df, score, label, by, parts)
     agg = t.groupBy(*by).agg(
         F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("__num"),
         F.sum("pos").alias("__p"), F.sum("neg").alias("__n"), F.sum("cnt").alias("n"),
@@ -101,13 +97,13 @@ def auc(df: DataFrame, score: str, label: str, by=(), buckets: int = DEFAULT_BUC
     return agg.select(*by, value.alias("auc"), F.col("n").cast("bigint").alias("n"))
 
 
-def ks(df: DataFrame, score: str, label: str, by=(), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def ks(df: DataFrame, score: str, label: str, by=(), parts: int | None = None) -> DataFrame:
     """M5 KS = max over thresholds t of TPR(≥t) − FPR(≥t)."""
     by = list(by)
-    t = score_table(df, score, label, by, buckets)
+    t = score_table(df, score, label, by, parts)
     totals = t.groupBy(*by).agg(F.sum("pos").alias("__P"), F.sum("neg").alias("__N"))
     if by:
-        t = t.join(totals, by)
+        t = _same(t, totals, by)
     else:  # ungrouped: two scalars
         r = totals.first()
         t = t.withColumn("__P", F.lit(r["__P"])).withColumn("__N", F.lit(r["__N"]))
@@ -117,17 +113,17 @@ def ks(df: DataFrame, score: str, label: str, by=(), buckets: int = DEFAULT_BUCK
     )
 
 
-def avg_rank(df: DataFrame, score: str, by=(), out: str = "rank", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def avg_rank(df: DataFrame, score: str, by=(), out: str = "rank", parts: int | None = None) -> DataFrame:
     """W2 average rank (ties share the mean of their positions, 1-based);
     non-finite scores get null."""
     by = list(by)
-    t = score_table(df, score, None, by, buckets).select(
+    t = score_table(df, score, None, by, parts).select(
         *[F.col(b).alias(f"__by_{b}") for b in by], F.col("__s").alias("__rs"),
         (F.col("cnt_below") + (F.col("cnt") + 1) / 2.0).alias(out),
     )
     cond = F.col(score).cast("double") == F.col("__rs")
     for b in by:
-        cond = cond & (F.col(b) == F.col(f"__by_{b}"))
+        cond = cond & F.col(b).eqNullSafe(F.col(f"__by_{b}"))
     return df.join(t, cond, "left").drop("__rs", *[f"__by_{b}" for b in by])
 
 
@@ -138,7 +134,7 @@ def minmax_normalize(df: DataFrame, col: str, by=(), out: str | None = None) ->
     x = F.col(col).cast("double")
     if by:
         mm = df.groupBy(*by).agg(F.min(x).alias("__mn"), F.max(x).alias("__mx"))
-        j = df.join(mm, by)
+        j = _same(df, mm, by)
         return j.withColumn(out, (x - F.col("__mn")) / (F.col("__mx") - F.col("__mn") + 1e-12)).drop("__mn", "__mx")
     r = df.agg(F.min(x), F.max(x)).first()
     mn, mx = r[0], r[1]

@@ -2,9 +2,8 @@
 
 Every fit is ONE aggregate job over all requested columns (never a loop of
 actions); its result is a handful of scalars per column, applied as literals.
-Exact quantiles (``percentile``) keep a value→count map per column — fine for
-columns with up to ~10^7 distinct values; pass ``accuracy`` to switch to
-``percentile_approx`` beyond that.
+Quantiles are exact at every size: values are counted per distinct value, the
+counts are range-partitioned, and only the rows at the needed ranks are read.
 """
 
 from __future__ import annotations
@@ -29,13 +28,6 @@ from riskframe.functions.derive import clip
 from riskframe.functions.parse import finite_or_null
 
 FLOATS = (DoubleType, FloatType)
-# Value ranges per column used to spread the exact quantile ranking over tasks.
-QUANTILE_BUCKETS = 128
-# Up to this many distinct values, Spark's exact ``percentile`` (a value→count
-# map merged in one task) is bounded in memory and used directly; above it the
-# distributed ranking takes over. The distinct count is measured first with a
-# HyperLogLog sketch (``approx_count_distinct``, 5 % relative error).
-EXACT_MAP_LIMIT = 1_000_000
 INTS = (ByteType, ShortType, IntegerType, LongType)
 
 
@@ -57,82 +49,56 @@ def inf_to_null(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float],
-              accuracy: int | None = None) -> dict[str, list[float] | None]:
+              accuracy: int | None = None, parts: int | None = None) -> dict[str, list[float] | None]:
     """Linear-interpolated quantiles of the finite values of several columns.
 
-    Exact by default. Columns whose distinct-value count is proven small use
-    Spark's ``percentile`` directly (its map is bounded by that count). The
-    others are unpivoted into one (col, value) table, counted per distinct
-    value and ranked with the bucketed running counts of
-    ``metrics.score_table`` — no task ever holds a whole column; only the rows
-    at the needed ranks reach the driver, where ``percentile``'s
-    interpolation is applied. Both paths give identical values.
-    ``accuracy`` switches to ``percentile_approx``.
+    The columns are unpivoted into one (col, value) table and counted per
+    distinct value, combined before the shuffle. The counts are written in value
+    ranges (``metrics.in_ranges``); the totals per range, a few rows for each,
+    say in which range a wanted rank lies, and a running count inside that range
+    finds its value. No task holds more than a range, and only the values at the
+    wanted ranks reach the driver. Values equal Spark's ``percentile``.
+    ``accuracy`` asks for ``percentile_approx`` instead.
     """
+    from riskframe.operators.metrics import in_ranges
+
     if not cols:
         return {}
     if accuracy is not None:
         row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), list(probs), accuracy).alias(c)
                        for c in cols]).first()
         return {c: (list(row[c]) if row[c] else None) for c in cols}
-
-    def fin(c):
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
-
-    nd = df.agg(*[F.approx_count_distinct(fin(c), 0.05).alias(c) for c in cols]).first()
-    small = [c for c in cols if nd[c] <= EXACT_MAP_LIMIT]
-    out = {}
-    if small:
-        row = df.agg(*[F.percentile(fin(c), F.array(*[F.lit(float(p)) for p in probs])).alias(c)
-                       for c in small]).first()
-        out = {c: (list(row[c]) if row[c] else None) for c in small}
-    big = [c for c in cols if c not in out]
-    if big:
-        out.update(_ranked_quantiles(df, big, probs))
-    return out
-
-
-def _ranked_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    """Exact quantiles by distributed ranking (see :func:`quantiles`)."""
-    from riskframe.operators.metrics import score_table
-    from riskframe.plans.common import write_table
-
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], cols, "col", "v")
-    t = write_table(score_table(long, "v", None, by=["col"], buckets=QUANTILE_BUCKETS)
-                    .select("col", "__s", "cnt", "cnt_below"), "q")
-    sizes = {r["col"]: int(r["n"]) for r in t.groupBy("col").agg(F.sum("cnt").alias("n")).collect()}
-    want = {}
-    for c, n in sizes.items():
-        for p in probs:
-            pos = p * (n - 1)
-            want.setdefault(c, set()).update({math.floor(pos), math.ceil(pos)})
-    if not want:
+    finite = F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(math.inf))
+    t = in_ranges(long.filter(finite).groupBy("col", "v").agg(F.count(F.lit(1)).alias("n")), ["col", "v"], parts)
+    ranges: dict[str, list[tuple[int, int]]] = {}
+    for r in t.groupBy("col", "__part").agg(F.sum("n").alias("n")).orderBy("col", "__part").collect():
+        ranges.setdefault(r["col"], []).append((r["__part"], int(r["n"])))
+    wanted, where = {}, []  # (col, rank) pairs as (col, range, rank in the range)
+    for c, held in ranges.items():
+        size = sum(n for _, n in held)
+        wanted[c] = [(math.floor(p * (size - 1)), math.ceil(p * (size - 1)), p * (size - 1)) for p in probs]
+        for rank in sorted({k for lo, hi, _ in wanted[c] for k in (lo, hi)}):
+            before = 0
+            for part, n in held:
+                if rank < before + n:
+                    where.append((c, part, rank - before, rank))
+                    break
+                before += n
+    if not where:
         return {c: None for c in cols}
-    cond = F.lit(False)
-    for c, ranks in want.items():
-        rk = F.lit(False)
-        for r in sorted(ranks):
-            rk = rk | ((F.col("cnt_below") <= r) & (F.col("cnt_below") + F.col("cnt") > r))
-        cond = cond | ((F.col("col") == c) & rk)
-    found = {}
-    for r in t.filter(cond).collect():
-        for rank in want[r["col"]]:
-            if r["cnt_below"] <= rank < r["cnt_below"] + r["cnt"]:
-                found[(r["col"], rank)] = r["__s"]
-    out = {}
-    for c in cols:
-        if c not in sizes:
-            out[c] = None
-            continue
-        vals = []
-        for p in probs:
-            pos = p * (sizes[c] - 1)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            a, b = found[(c, lo)], found[(c, hi)]
-            vals.append(a if lo == hi or a == b else (hi - pos) * a + (pos - lo) * b)
-        out[c] = vals
-    return out
+    targets = df.sparkSession.createDataFrame(where, "col string, __part int, local long, rank long")
+    along = Window.partitionBy("col", "__part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    inside = t.join(targets.select("col", "__part").distinct(), ["col", "__part"], "left_semi").withColumn(
+        "below", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    hit = (F.col("below") <= F.col("local")) & (F.col("below") + F.col("n") > F.col("local"))
+    found = {(r["col"], r["rank"]): r["v"] for r in inside.join(targets, ["col", "__part"]).filter(hit).collect()}
+
+    def between(c, lo, hi, at):
+        a, b = found[(c, lo)], found[(c, hi)]
+        return a if lo == hi or a == b else (hi - at) * a + (at - lo) * b
+
+    return {c: [between(c, *w) for w in wanted[c]] if c in wanted else None for c in cols}
 
 
 def fit_winsor(df: DataFrame, cols: list[str], p: float = 0.005,
@@ -160,9 +126,16 @@ def apply_median(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
     return df.withColumns(repl)
 
 
+def is_missing(df: DataFrame, col: str):
+    """Null, and for floating columns NaN and ±inf too."""
+    if isinstance(df.schema[col].dataType, FLOATS):
+        return finite_or_null(F.col(col)).isNull()
+    return F.col(col).isNull()
+
+
 def columns_with_nulls(df: DataFrame, cols: list[str]) -> list[str]:
-    """Which of ``cols`` hold at least one null (one job)."""
-    row = df.agg(*[F.max(F.col(c).isNull().cast("int")).alias(c) for c in cols]).first()
+    """Which of ``cols`` hold at least one null, NaN or infinity (one job)."""
+    row = df.agg(*[F.max(is_missing(df, c).cast("int")).alias(c) for c in cols]).first()
     return [c for c in cols if row[c]]
 
 
@@ -172,7 +145,7 @@ def add_missing_indicator(df: DataFrame, cols: list[str]) -> DataFrame:
     if not present:
         return df
     hit = columns_with_nulls(df, present)
-    return df.withColumns({f"{c}_isna": F.col(c).isNull().cast("int") for c in hit})
+    return df.withColumns({f"{c}_isna": is_missing(df, c).cast("int") for c in hit})
 
 
 def fit_minmax(df: DataFrame, cols: list[str], fill_zero: bool = True) -> tuple[dict, dict]:
@@ -203,29 +176,8 @@ def apply_vintage_rank(df: DataFrame, ranks: DataFrame, date_col: str, out: str
 
 
 def vintage_rank(df: DataFrame, date_col: str, out: str = "vintage_rank") -> DataFrame:
-    """N20 average rank of the date among non-null dates / their count; null → 0.
-
-    Not a global row-level window: rows are counted per distinct date (a small
-    table: one row per month of history), the running count runs over that
-    table, and the result is joined back (AQE broadcasts it).
-    """
-    counts = df.filter(F.col(date_col).isNotNull()).groupBy(F.col(date_col).alias("__d")).agg(
-        F.count(F.lit(1)).alias("__c")
-    )
-    w = Window.orderBy("__d").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy()
-    ranks = counts.select(
-        "__d",
-        (
-            (F.coalesce(F.sum("__c").over(w), F.lit(0)) + (F.col("__c") + 1) / F.lit(2.0))
-            / F.sum("__c").over(total)
-        ).alias("__vr"),
-    )
-    return (
-        df.join(ranks, F.col(date_col) == F.col("__d"), "left")
-        .withColumn(out, F.coalesce(F.col("__vr"), F.lit(0.0)))
-        .drop("__d", "__vr")
-    )
+    """N20 average rank of the date among non-null dates / their count; null → 0."""
+    return apply_vintage_rank(df, fit_vintage_rank(df, date_col), date_col, out)
 
 
 def _np_type(kind, mn, mx, strict: bool = True):

@@ -16,12 +16,12 @@ def _pairwise_auc(ys, ss):
     return tot / (len(pos) * len(neg))
 
 
-def test_auc_matches_pairwise_with_ties_and_tiny_buckets(spark):
+def test_auc_matches_pairwise_for_any_number_of_ranges(spark):
     rnd = random.Random(3)
     rows = [(g, rnd.randint(0, 1), round(rnd.random(), 2)) for g in ("a", "b") for _ in range(300)]
     df = spark.createDataFrame(rows, "g string, y int, s double")
-    for buckets in (2, 7, 1024):
-        got = {r["g"]: r["auc"] for r in metrics.auc(df, "s", "y", by=["g"], buckets=buckets).collect()}
+    for parts in (None, 2, 7, 2000):
+        got = {r["g"]: r["auc"] for r in metrics.auc(df, "s", "y", by=["g"], parts=parts).collect()}
         for g in ("a", "b"):
             ys = [y for gg, y, s in rows if gg == g]
             ss = [s for gg, y, s in rows if gg == g]
@@ -105,16 +105,28 @@ def test_distributed_quantiles_equal_spark_percentile(spark):
             assert abs(g - e) < 1e-12
 
 
-def test_ranked_quantile_path_equals_percentile(spark, monkeypatch):
+def test_quantiles_are_the_same_for_any_number_of_ranges(spark):
     from riskframe.operators import stats
 
-    monkeypatch.setattr(stats, "EXACT_MAP_LIMIT", 0)  # force the distributed ranking
     rnd = random.Random(13)
     rows = [(float(rnd.randint(0, 40)), rnd.gauss(0, 1) if rnd.random() > 0.1 else None) for _ in range(700)]
+    rows += [(float("nan"), float("inf")), (float("-inf"), None)]
     df = spark.createDataFrame(rows, "a double, b double")
     probs = [0.0, 0.005, 0.05, 0.5, 0.95, 0.995, 1.0]
-    got = stats.quantiles(df, ["a", "b"], probs)
-    ref = df.agg(F.percentile("a", probs).alias("a"), F.percentile("b", probs).alias("b")).first()
-    for c in ("a", "b"):
-        for g, e in zip(got[c], ref[c]):
-            assert abs(g - e) < 1e-12
+    clean = stats.inf_to_null(df)
+    ref = clean.agg(F.percentile("a", probs).alias("a"), F.percentile("b", probs).alias("b")).first()
+    for parts in (None, 2, 2000):
+        got = stats.quantiles(df, ["a", "b"], probs, parts=parts)
+        for c in ("a", "b"):
+            for g, e in zip(got[c], ref[c]):
+                assert abs(g - e) < 1e-12
+
+
+def test_null_groups_and_nan_labels(spark):
+    nan = float("nan")
+    rows = [(None, 1, 0.9), (None, 0, 0.1), ("a", 1, 0.2), ("a", 0, 0.4), ("a", 1, nan), (None, None, 0.5)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    got = {r["g"]: (r["auc"], r["n"]) for r in metrics.auc(df, "s", "y", by=["g"]).collect()}
+    assert got == {None: (1.0, 2), "a": (0.0, 2)}
+    assert {r["g"]: r["ks"] for r in metrics.ks(df, "s", "y", by=["g"]).collect()}[None] == 1.0
+    assert metrics.avg_rank(df, "s", by=["g"]).filter("g is null and rank is null").count() == 0
