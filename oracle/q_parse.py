@@ -361,3 +361,10 @@ register(
         + " FROM rr"
     ),
 )
+
+register(
+    "parse_dates_any",
+    "SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS compact, CAST(o_orderdate AS DATE) AS timed, "
+    "CAST(o_orderdate AS DATE) AS american, CAST(date_trunc('month', o_orderdate) AS DATE) AS long_month, "
+    "CAST(o_orderdate AS DATE) AS named FROM orders",
+)

@@ -62,8 +62,8 @@ def log1p_clip(x) -> Column:
 
 
 def clip(x, lo: float | None, hi: float | None) -> Column:
-    """Clip to [lo, hi]; null stays null (N13 winsorise applies fitted bounds)."""
-    c = col(x).cast("double")
+    """Clip to [lo, hi]; null stays null and NaN becomes null (N13 winsorise applies fitted bounds)."""
+    c = F.nullif(col(x).cast("double"), F.lit(float("nan")))
     if lo is not None:
         c = F.when(c < F.lit(lo), F.lit(lo)).otherwise(c)
     if hi is not None:
@@ -77,8 +77,8 @@ def clip(x, lo: float | None, hi: float | None) -> Column:
 
 
 def n_array(cols: list[str], nulls: str = "zero") -> Column:
-    """The n-columns as one array; ``nulls='zero'`` fills, ``'skip'`` drops them."""
-    arr = F.array(*[col(c).cast("double") for c in cols])
+    """The n-columns as one array, NaN as null; ``nulls='zero'`` fills, ``'skip'`` drops them."""
+    arr = F.array(*[F.nullif(col(c).cast("double"), F.lit(float("nan"))) for c in cols])
     if nulls == "zero":
         return F.transform(arr, lambda x: F.coalesce(x, F.lit(0.0)))
     if nulls == "skip":

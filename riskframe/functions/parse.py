@@ -31,6 +31,23 @@ DATE_SHAPES = {
     "MMM-yy": r"^[A-Za-z]{3}-\d{2}$",
     "MMM-yyyy": r"^[A-Za-z]{3}-\d{4}$",
 }
+# Other spellings of a date: the text that holds it, and its format.
+_TIME = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
+OTHER_DATES = (
+    (r"^(\d{8})$", "yyyyMMdd"),
+    (r"^(\d{4}-\d{1,2}-\d{1,2})" + _TIME, "yyyy-M-d"),
+    (r"^(\d{4}/\d{1,2}/\d{1,2})" + _TIME, "yyyy/M/d"),
+    (r"^(\d{4}\.\d{1,2}\.\d{1,2})" + _TIME, "yyyy.M.d"),
+    (r"^(\d{1,2}/\d{1,2}/\d{4})" + _TIME, "M/d/yyyy"),
+    (r"^([A-Za-z]{3} \d{4})$", "MMM yyyy"),
+    (r"^([A-Za-z]{4,9} \d{4})$", "MMMM yyyy"),
+    (r"^([A-Za-z]{4,9}-\d{4})$", "MMMM-yyyy"),
+    (r"^([A-Za-z]{3} \d{1,2},? \d{4})$", "MMM d[','] yyyy"),
+    (r"^([A-Za-z]{4,9} \d{1,2},? \d{4})$", "MMMM d[','] yyyy"),
+    (r"^(\d{1,2} [A-Za-z]{3} \d{4})$", "d MMM yyyy"),
+    (r"^(\d{1,2} [A-Za-z]{4,9} \d{4})$", "d MMMM yyyy"),
+    (r"^(\d{4})$", "yyyy"),
+)
 
 
 def _first_int(s: Column) -> Column:
@@ -91,14 +108,24 @@ def parse_date(c: Column) -> Column:
                 yy >= TWO_DIGIT_YEAR_PIVOT, F.add_months(ts.cast("date"), -1200)
             ).otherwise(ts.cast("date"))
         attempts.append(ts.cast("date"))
-    return F.coalesce(*attempts)
+    return F.coalesce(*attempts, _any_date(s))
+
+
+def _any_date(s: Column) -> Column:
+    """The general fallback, for texts that none of the listed formats fits: further
+    common spellings, with or without a time of day, the listed order deciding."""
+    out = []
+    for shape, fmt in OTHER_DATES:
+        head = F.regexp_extract(s, shape, 1)
+        out.append(F.when(head != "", F.try_to_timestamp(head, F.lit(fmt))).cast("date"))
+    return F.coalesce(*out)
 
 
 def postcode3(c: Column, dtype: DataType) -> Column:
     """R5 post code → text before the first '.', null → '', zero-padded to 3
     characters; longer codes are kept whole (never truncated)."""
     if isinstance(dtype, NumericType):
-        s = c.cast("bigint").cast("string")
+        s = c.try_cast("bigint").cast("string")  # NaN and ±inf have no code
     else:
         s = F.split(c.cast("string"), r"\.").getItem(0)
         s = F.when(s.isin("nan", "None", "none", "NaN"), F.lit("")).otherwise(s)
@@ -141,8 +168,9 @@ def term_bin(months: Column) -> Column:
 
 
 def category_copy(c: Column) -> Column:
-    """R11 the value as text, null as 'nan' (keeps the raw value as a category)."""
-    return F.coalesce(c.cast("string"), F.lit("nan"))
+    """R11 the value as text; null and NaN are the one category 'nan'."""
+    s = c.cast("string")
+    return F.when(s.isNull() | (s == "NaN"), F.lit("nan")).otherwise(s)
 
 
 def coerce_numeric(c: Column, dtype: DataType) -> Column:

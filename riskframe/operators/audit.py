@@ -25,6 +25,11 @@ def list_by_prefix(cols: list[str], prefix: str) -> list[str]:
     return list(dict.fromkeys(c for c in cols if c.startswith(prefix)))
 
 
+def list_by_text(cols: list[str], text: str) -> list[str]:
+    """P5 columns whose name contains ``text``, order kept, duplicates dropped."""
+    return list(dict.fromkeys(c for c in cols if text in c))
+
+
 def basic_profile(df: DataFrame, target: str) -> DataFrame:
     """A1/X1 shape, column-type counts and positive rate (one job)."""
     n_num = len(numeric_cols(df))
@@ -103,15 +108,14 @@ def audit_time_aware_te(df: DataFrame, target: str, time_key: str = "time_key",
     n_months = df.select(time_key).distinct().count()
     if max_months:
         n_months = min(n_months, max_months)
-    parts = [df.select(F.lit(c).alias("te_col"), F.col(c[3:]).cast("string").alias("key"),
-                       F.col(time_key).alias("m"), F.col(target).cast("double").alias("y"),
-                       F.col(c).cast("double").alias("real")) for c in present]
-    if not parts:
+    if not present:
         return df.sparkSession.createDataFrame(
             [], "te_col string, mae double, rmse double, check_months int, rows_compared bigint")
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+    # one scan: a struct per encoded column, unpivoted
+    long = df.select(*[
+        F.struct(F.lit(c).alias("te_col"), F.col(c[3:]).cast("string").alias("key"), F.col(time_key).alias("m"),
+                 F.col(target).cast("double").alias("y"), F.col(c).cast("double").alias("real")).alias(c)
+        for c in present]).unpivot([], present, "c", "s").select("s.*")
     by_key = long.filter(F.col("key").isNotNull()).groupBy("te_col", "key", "m").agg(
         F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
     wk = Window.partitionBy("te_col", "key").orderBy("m").rowsBetween(Window.unboundedPreceding, -1)
@@ -142,26 +146,28 @@ def audit_past_rate(df: DataFrame, target: str, time_key: str = "time_key",
     earlier months, global rate when none) over the full history, then
     compare on the checked months. Output (hist_col, key_col, mae, rmse,
     rows_compared). A correct build gives 0."""
-    from riskframe.operators.encode import fit_past_rate, apply_past_rate
-
     hist_cols = hist_cols or list_by_prefix(df.columns, "hist_rate_")
     keys = [h[len("hist_rate_"):] for h in hist_cols if h[len("hist_rate_"):] in df.columns]
-    rows = df.withColumn("__train", F.lit(1))
-    model = fit_past_rate(rows, keys, target, time_key, "__train")
-    out = rows
-    for k in keys:
-        out = apply_past_rate(out, model, k, f"__re_{k}", time_key, "__train")
-    mf = _month_filter(df, time_key, max_months)
+    # Own arithmetic, not the encoder's: running totals up to and including the
+    # month, less the month itself.
+    long = df.select(*[
+        F.struct(F.lit(k).alias("key_col"), F.col(k).cast("string").alias("key"), F.col(time_key).alias("m"),
+                 F.col(target).cast("double").alias("y"), F.col(f"hist_rate_{k}").cast("double").alias("real")).alias(k)
+        for k in keys]).unpivot([], keys, "k", "s").select("s.*")
+    month = long.filter(F.col("key").isNotNull()).groupBy("key_col", "key", "m").agg(
+        F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("key_col", "key").orderBy("m")
+    bad, n = F.sum("bad").over(upto) - F.col("bad"), F.sum("n").over(upto) - F.col("n")
+    past = month.select("key_col", "key", "m", F.when(n > 0, bad / n).alias("past"))
+    overall = month.groupBy("key_col").agg((F.sum("bad") / F.sum("n")).alias("overall"))  # one row per column
+    out = long.join(past, ["key_col", "key", "m"], "left").join(overall, "key_col", "left")
+    mf = _month_filter(df, time_key, max_months, "m")
     if mf is not None:
         out = out.filter(mf)
-    long = out.select(*[
-        F.struct(F.lit(f"hist_rate_{k}").alias("hist_col"), F.lit(k).alias("key_col"),
-                 F.col(f"__re_{k}").alias("mapped"), F.col(f"hist_rate_{k}").cast("double").alias("real")).alias(k)
-        for k in keys
-    ]).unpivot([], keys, "k", "s").select("s.*")
+    out = out.select(F.concat(F.lit("hist_rate_"), "key_col").alias("hist_col"), "key_col", F.coalesce("past", "overall").alias("mapped"), "real")
     d = F.col("mapped") - F.col("real")
     fin = F.col("real").isNotNull() & ~F.isnan("real") & (F.abs("real") < F.lit(float("inf")))
-    return long.filter(fin & F.col("mapped").isNotNull()).groupBy("hist_col", "key_col").agg(
+    return out.filter(fin & F.col("mapped").isNotNull()).groupBy("hist_col", "key_col").agg(
         F.avg(F.abs(d)).alias("mae"), F.sqrt(F.avg(d * d)).alias("rmse"), F.count(F.lit(1)).alias("rows_compared"))
 
 
@@ -172,9 +178,12 @@ def monthly_auc(df: DataFrame, target: str, score_cols: list[str], time_key: str
     mf = _month_filter(df, time_key, max_months)
     if mf is not None:
         long = long.filter(mf)
-    n = long.groupBy(time_key, "col").agg(F.count(F.lit(1)).alias("n"))
-    a = metrics.auc(long, "v", target, by=[time_key, "col"]).drop("n")
-    return n.join(a, [time_key, "col"], "left").select(time_key, "col", "auc", "n")
+    rows = df if mf is None else df.filter(mf)
+    n = rows.groupBy(F.col(time_key).alias("m")).agg(F.count(F.lit(1)).alias("n"))  # one row per month
+    n = n.select("m", "n", F.explode(F.array(*[F.lit(c) for c in score_cols])).alias("c"))
+    a = metrics.auc(long, "v", target, by=[time_key, "col"]).select(F.col(time_key).alias("am"), F.col("col").alias("ac"), "auc")
+    same = F.col("m").eqNullSafe(F.col("am")) & (F.col("c") == F.col("ac"))
+    return n.join(a, same, "left").select(F.col("m").alias(time_key), F.col("c").alias("col"), "auc", "n")
 
 
 def audit_flags(report: DataFrame, col: str = "te_col", threshold: float = 1e-6, top: int = 5) -> DataFrame:

@@ -61,7 +61,8 @@ def _present(df: DataFrame, *cols: str) -> bool:
 
 def _base(loans: DataFrame) -> DataFrame:
     """Row-level parsing shared by all versions (P2: each step only when its
-    inputs are present)."""
+    inputs are present). NaN and ±inf become null before anything reads them (P10)."""
+    loans = stats.inf_to_null(loans)
     t = loans.schema
     cols = {}
     if "term" in loans.columns:
@@ -103,11 +104,11 @@ def _finish(df: DataFrame, cfg: FeatureConfig, cat_cols: list[str], drop=()) ->
     # read that table instead of re-running them.
     df = materialize(df.drop(*[c for c in drop if c in df.columns]))
     protected = {ID, TARGET, SPLIT}
-    fl = _floating(df, protected | set(LOW_CARD_AS_CATEGORY))
-    df = stats.inf_to_null(df, fl)
-    # only columns holding a null/NaN/inf need their median (filling the
-    # others is a no-op), so the ranking pass covers just those
-    need = stats.columns_with_nulls(df, fl)
+    kept = protected | set(LOW_CARD_AS_CATEGORY) | set(cat_cols)  # D18: never filled
+    df = stats.inf_to_null(df, _floating(df, kept))
+    # only columns holding a null need their median (filling the others is a
+    # no-op), so the ranking pass covers just those; integers become doubles
+    need = stats.columns_with_nulls(df, stats.numeric_columns(df, kept))
     med = stats.fit_median(df, need, cfg.quantile_accuracy)
     df = stats.apply_median(df, med)
     cats = [c for c in cat_cols if c in df.columns]

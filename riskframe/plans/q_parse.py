@@ -11,6 +11,7 @@ from riskframe.functions import derive, parse
 from riskframe.operators import encode, stats
 from riskframe.plans.catalog import query
 from riskframe.plans.common import rnd
+from riskframe.sources.tables import read_table
 from riskframe.sources.loans import load_loans, split_train_test, supervised_view
 from riskframe.sources.loans import union_train_test as _union
 
@@ -109,6 +110,15 @@ def q_parse_dates(spark, sf_dir):
     return parsed(_loans(spark, sf_dir)).select("id", "issueDate_dt", "earliest_dt")
 
 
+@query("parse_dates_any")
+def q_parse_dates_any(spark, sf_dir):
+    """R4 the general fallback: order dates in spellings that no listed format fits."""
+    orders = read_table(spark, sf_dir, "orders")
+    d = F.col("o_orderdate").cast("date")
+    spelled = {"compact": "yyyyMMdd", "timed": "yyyy-MM-dd 00:00:00", "american": "M/d/yyyy", "long_month": "MMMM yyyy", "named": "d MMM yyyy"}
+    return orders.select(F.col("o_orderkey").alias("id"), *[parse.parse_date(F.date_format(d, f)).alias(n) for n, f in spelled.items()])
+
+
 @query("date_parts")
 def q_date_parts(spark, sf_dir):
     """R6 year, month, quarter, year*100+month of the issue date."""

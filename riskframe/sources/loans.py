@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from riskframe.sources.tables import read_table
 
@@ -35,6 +36,72 @@ LOAN_COLUMNS = [
 ]
 
 
+# The raw table's 47 columns and their types, in file order, and
+# the integer codes that are categories.
+RAW_SCHEMA = (
+    "id long, loanAmnt double, term int, interestRate double, installment double, grade string, subGrade string, "
+    "employmentTitle double, employmentLength string, homeOwnership int, annualIncome double, verificationStatus int, "
+    "issueDate string, isDefault int, purpose int, postCode double, regionCode int, dti double, delinquency_2years double, "
+    "ficoRangeLow double, ficoRangeHigh double, openAcc double, pubRec double, pubRecBankruptcies double, revolBal double, "
+    "revolUtil double, totalAcc double, initialListStatus int, applicationType int, earliesCreditLine string, title double, "
+    "policyCode double, " + ", ".join(f"n{i} double" for i in range(15))
+)
+CODE_COLUMNS = ["grade", "subGrade", "homeOwnership", "verificationStatus", "purpose", "regionCode",
+                "initialListStatus", "applicationType", "policyCode"]
+
+
+def raw_schema() -> StructType:
+    """S1 the raw loan table (train: 47 columns; test files lack the target)."""
+    return StructType.fromDDL(RAW_SCHEMA)
+
+
+def read_raw(spark: SparkSession, path: str, categories: bool = True) -> DataFrame:
+    """S1 one raw file or folder, CSV with a header or Parquet, in the raw schema.
+
+    CSV columns are matched by header name and read as text, then cast, so order
+    and absent columns (the target in test files) don't matter and an unparsable
+    number becomes null. ``categories`` casts the codes to text (P14).
+    """
+    schema = {f.name: f.dataType for f in raw_schema().fields}
+    csv = path.rstrip("/").lower().endswith((".csv", ".csv.gz"))
+    df = spark.read.csv(path, header=True) if csv else spark.read.parquet(path)
+    known = [c for c in schema if c in df.columns]
+
+    def typed(c: str) -> Column:
+        kind = schema[c].simpleString()
+        x = F.col(c)
+        if csv and kind in ("int", "bigint"):
+            x = x.try_cast("double")  # codes may be written as 3.0
+        return x.try_cast(kind).alias(c)
+
+    out = df.select(*[typed(c) for c in known])
+    return codes_as_text(out) if categories else out
+
+
+def codes_as_text(df: DataFrame) -> DataFrame:
+    """P14 the integer codes that name a category, as text (a whole double loses its ".0")."""
+    def text(c: str) -> Column:
+        kind = df.schema[c].dataType.typeName()
+        whole = F.col(c).try_cast("bigint").cast("string") if kind in ("double", "float") else F.col(c).cast("string")
+        return whole
+
+    return df.withColumns({c: text(c) for c in CODE_COLUMNS if c in df.columns})
+
+
+def require_unique(df: DataFrame, key: str = ID) -> DataFrame:
+    """D19 the same rows; raises if a key is null or held by two rows."""
+    bad = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull()).limit(5).collect()
+    if bad:
+        raise ValueError(f"{key} is not unique: {[r[key] for r in bad]}")
+    return df
+
+
+def read_train_test(spark: SparkSession, train_path: str, test_path: str) -> DataFrame:
+    """S1, U1 both raw files as one table with ``is_train``; ids are unique in each (D19)."""
+    train, test = (require_unique(read_raw(spark, p)) for p in (train_path, test_path))
+    return union_train_test(train, test.drop(TARGET))
+
+
 def _count_if(cond: Column) -> Column:
     return F.sum(F.when(cond, 1).otherwise(0)).cast("bigint")
 
