@@ -9,7 +9,6 @@ types, and the metadata restores the feature lists.
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +19,33 @@ META = "meta.json"
 DATA = "data"
 
 
-def _local(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def _join(*parts: str) -> str:
+    return "/".join([parts[0].rstrip("/"), *parts[1:]])
+
+
+def _file(spark: SparkSession, path: str):
+    """The Hadoop file system that holds ``path``, and the path in it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file beside the data, in whatever store the data is."""
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
 
 def apply_types(df: DataFrame, profile: DataFrame) -> DataFrame:
@@ -32,27 +56,28 @@ def apply_types(df: DataFrame, profile: DataFrame) -> DataFrame:
 
 def write_feature_table(df: DataFrame, path: str, features: list[str], cat_features: list[str],
                         meta_extra: dict | None = None) -> dict:
-    """S5 data partitioned by the split flag + meta.json; returns the metadata."""
-    counts = {r[SPLIT]: r["n"] for r in df.groupBy(SPLIT).agg(F.count(F.lit(1)).alias("n")).collect()}
-    df.write.mode("overwrite").partitionBy(SPLIT).parquet(os.path.join(path, DATA))
+    """S5 data partitioned by the split flag, then meta.json; returns the metadata.
+
+    Rows are counted from the written files; the metadata comes last, so a table
+    that has it is complete."""
+    spark = df.sparkSession
+    data = _join(path, DATA)
+    df.write.mode("overwrite").partitionBy(SPLIT).parquet(data)
+    counts = {r[SPLIT]: r["n"] for r in spark.read.parquet(data).groupBy(SPLIT).agg(F.count(F.lit(1)).alias("n")).collect()}
     meta = {"format": "parquet", "features": features, "cat_features": cat_features,
             "n_train": int(counts.get(1, 0)), "n_test": int(counts.get(0, 0)),
             "id_col": ID, "target": TARGET}
     meta.update(meta_extra or {})
-    os.makedirs(_local(path), exist_ok=True)
-    with open(os.path.join(_local(path), META), "w", encoding="utf-8") as f:
-        json.dump(meta, f, ensure_ascii=False, indent=2, default=str)
+    write_text(spark, _join(path, META), json.dumps(meta, ensure_ascii=False, indent=2, default=str))
     return meta
 
 
 def load_feature_table(spark: SparkSession, path: str):
-    """S4 (train, test, features, cat_features, meta); raises when incomplete."""
-    meta_path = os.path.join(_local(path), META)
-    data = os.path.join(path, DATA)
-    if not os.path.exists(meta_path) or not os.path.exists(_local(data)):
+    """S4 (train, test, features, cat_features, meta); FileNotFoundError when a part is missing."""
+    meta_path, data = _join(path, META), _join(path, DATA)
+    if not path_exists(spark, meta_path) or not path_exists(spark, data):
         raise FileNotFoundError(f"incomplete feature table at {path}")
-    with open(meta_path, encoding="utf-8") as f:
-        meta = json.load(f)
+    meta = json.loads(read_text(spark, meta_path))
     df = spark.read.parquet(data)
     train = df.filter(F.col(SPLIT) == 1).drop(SPLIT)
     test = df.filter(F.col(SPLIT) == 0).drop(SPLIT, meta.get("target", TARGET))
@@ -71,11 +96,12 @@ def typed_reload(df: DataFrame, meta: dict) -> DataFrame:
 
 
 def cache_or_build(spark: SparkSession, path: str, build):
-    """S6/S7 read the feature table if complete and readable, else build and
-    write it. ``build()`` returns a ``FeatureTable``. Returns (status, tuple)."""
+    """S6/S7 read the feature table, or build and write it if it is missing or
+    incomplete; any other failure is raised, not overwritten. ``build()`` returns a
+    ``FeatureTable``. Returns (status, tuple)."""
     try:
         return {"ok": True, "built": False}, load_feature_table(spark, path)
-    except Exception:  # noqa: BLE001 — missing or unreadable cache → rebuild
+    except FileNotFoundError:
         ft = build()
         write_feature_table(ft.df, path, ft.features, ft.cat_features, ft.meta)
         return {"ok": True, "built": True}, load_feature_table(spark, path)
@@ -89,27 +115,26 @@ def require_columns(df: DataFrame, cols: list[str]) -> None:
         raise KeyError(f"missing feature columns: {missing[:10]}{more}")
 
 
-def write_reports(reports: dict[str, DataFrame], out_dir: str, top: int = 5) -> str:
+def write_reports(reports: dict[str, DataFrame], out_dir: str, top: int = 5, order: dict[str, list] | None = None) -> str:
     """S10 one Parquet table per report plus a markdown summary of the first
-    rows of each (only ``top`` rows per report reach the driver)."""
+    ``top`` rows of each, in the report's ``order`` (else by all its columns)."""
     lines = ["# Audit summary", ""]
+    spark = None
     for name, df in reports.items():
-        df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
-        rows = df.limit(top).collect()
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(_join(out_dir, name))
+        rows = spark.read.parquet(_join(out_dir, name)).orderBy(*(order or {}).get(name, df.columns)).limit(top).collect()
         lines += [f"## {name}", "", "| " + " | ".join(df.columns) + " |",
                   "|" + "---|" * len(df.columns)]
         lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in rows]
         lines.append("")
     text = "\n".join(lines)
-    os.makedirs(_local(out_dir), exist_ok=True)
-    with open(os.path.join(_local(out_dir), "summary.md"), "w", encoding="utf-8") as f:
-        f.write(text)
+    if spark is not None:
+        write_text(spark, _join(out_dir, "summary.md"), text)
     return text
 
 
-def write_sidecar_lists(out_dir: str, **lists: list[str]) -> None:
+def write_sidecar_lists(spark: SparkSession, out_dir: str, **lists: list[str]) -> None:
     """S11 plain-text lists (features.txt, cat_features.txt, kept/dropped runs)."""
-    os.makedirs(_local(out_dir), exist_ok=True)
     for name, items in lists.items():
-        with open(os.path.join(_local(out_dir), f"{name}.txt"), "w", encoding="utf-8") as f:
-            f.write("\n".join(items) + ("\n" if items else ""))
+        write_text(spark, _join(out_dir, f"{name}.txt"), "\n".join(items) + ("\n" if items else ""))

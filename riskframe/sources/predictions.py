@@ -71,9 +71,56 @@ def adapt_run_file(df: DataFrame, run: str, split: str, id_col: str = "id", targ
     """P6 bring one run's file to the long layout: the last column that is
     neither the id nor the target is the prediction; the target (if present)
     becomes ``y``."""
-    cand = [c for c in df.columns if c not in (id_col, target)]
-    if not cand:
+    scores = df.drop(id_col, target).columns
+    if not scores:
         raise ValueError("no prediction column")
-    y = F.col(target).cast("int") if target in df.columns else F.lit(None).cast("int")
+    has_y = target in df.columns
     return df.select(F.lit(run).alias("run"), F.lit(split).alias("split"), F.col(id_col).alias("id"),
-                     y.alias("y"), F.col(cand[-1]).cast("double").alias("pred"))
+                     (F.col(target) if has_y else F.lit(None)).cast("int").alias("y"),
+                     F.col(scores[-1]).cast("double").alias("pred"))
+
+
+def discover_run_files(spark: SparkSession, root: str, target: str = "isDefault") -> DataFrame:
+    """S9 the long prediction table from per-run files under ``root``.
+
+    A run is a folder with a file ``oof_*`` (out-of-fold) and one ``submission*``
+    (test rows), CSV or Parquet; folders directly under ``root`` are looked at
+    first, and if none is a run, those at any depth. Runs lacking either are
+    skipped. The listing is the driver's; the rows are read by Spark.
+    """
+    from riskframe.sources.io import _file
+
+    fs, base = _file(spark, root)
+
+    def files_in(folder) -> dict[str, str]:
+        found: dict[str, str] = {}
+        for st in fs.listStatus(folder):
+            name = st.getPath().getName()
+            for kind, prefix in (("oof", "oof_"), ("sub", "submission")):
+                if name.startswith(prefix) and (name.endswith(".csv") or name.endswith(".parquet")):
+                    found[kind] = min(found.get(kind, st.getPath().toString()), st.getPath().toString())
+        return found
+
+    def folders_in(folder) -> list:
+        return [st.getPath() for st in fs.listStatus(folder) if st.isDirectory() and not st.getPath().getName().endswith(".parquet")]
+
+    def runs_of(folders) -> dict[str, dict[str, str]]:
+        held = {f.getName(): files_in(f) for f in folders}
+        return {n: f for n, f in sorted(held.items()) if len(f) == 2}
+
+    level = folders_in(base)
+    runs = runs_of(level)
+    while not runs and level:
+        level = [g for f in level for g in folders_in(f)]
+        runs = runs_of(level)
+    parts = []
+    for run, held in runs.items():
+        for split, path in held.items():
+            df = spark.read.parquet(path) if path.endswith(".parquet") else spark.read.csv(path, header=True, inferSchema=True)
+            parts.append(adapt_run_file(df, run, split, target=target))
+    if not parts:
+        raise FileNotFoundError(f"no run with oof_* and submission* files under {root}")
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

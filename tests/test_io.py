@@ -63,9 +63,9 @@ def test_reports_and_sidecars(spark):
     out = _tmp(spark)
     rep = {"missing": spark.createDataFrame([("a", 0.5)], "col string, nan_ratio double")}
     text = io.write_reports(rep, out)
-    assert "missing" in text and os.path.exists(os.path.join(io._local(out), "summary.md"))
-    io.write_sidecar_lists(out, features=["a", "b"], cat_features=[])
-    assert open(os.path.join(io._local(out), "features.txt")).read() == "a\nb\n"
+    assert "missing" in text and io.path_exists(spark, out + "/summary.md")
+    io.write_sidecar_lists(spark, out, features=["a", "b"], cat_features=[])
+    assert io.read_text(spark, out + "/features.txt") == "a\nb\n"
 
 
 def test_saved_fold_models_rescore(spark):
@@ -75,7 +75,43 @@ def test_saved_fold_models_rescore(spark):
     df = spark.createDataFrame(rows, "id long, isDefault int, a double, b double")
     test = spark.createDataFrame([(1000 + i, float(i % 7), float(i % 5)) for i in range(10)], "id long, a double, b double")
     path = _tmp(spark)
-    res = tr.train_cv(df, test, ["a", "b"], [], tr.with_overrides(tr.CONFIGS["lr_small"], n_folds=3), model_dir=path)
+    res = tr.train_cv(df, test, ["a", "b"], [], tr.with_overrides(tr.CONFIGS["LR"], n_folds=3), model_dir=path)
     again = {r["id"]: r["pred"] for r in tr.rescore(test, path, "lr", 3).collect()}
     first = {r["id"]: r["pred"] for r in res.predictions.filter(F.col("split") == "sub").collect()}
     assert all(abs(again[i] - first[i]) < 1e-9 for i in first)
+
+
+def test_cache_rebuilds_only_what_is_missing(spark):
+    path = _tmp(spark)
+    io.write_text(spark, path + "/meta.json", "{broken")
+    spark.createDataFrame([(1, 1)], "a int, is_train int").write.partitionBy("is_train").parquet(path + "/data")
+    with pytest.raises(ValueError):  # an unreadable table is an error, not a reason to overwrite it
+        io.cache_or_build(spark, path, lambda: None)
+
+
+def test_file_uri_roots(spark):
+    path = "file:" + _tmp(spark).removeprefix("file:")
+    df = spark.createDataFrame([(1, 1, 0, 2.0), (2, 0, None, 3.0)], "id long, is_train int, isDefault int, x double")
+    meta = io.write_feature_table(df, path, ["x"], [])
+    train, test, features, cats, again = io.load_feature_table(spark, path)
+    assert (meta["n_train"], meta["n_test"]) == (1, 1) and features == ["x"] and cats == [] and again == meta
+    assert train.count() == 1 and test.columns == ["id", "x"]
+
+
+def test_reports_list_rows_in_order(spark):
+    rep = {"r": spark.createDataFrame([("a", 0.1), ("b", 0.9), ("c", 0.5)], "col string, v double")}
+    text = io.write_reports(rep, _tmp(spark), top=2, order={"r": [F.desc("v")]})
+    assert "| b | 0.9 |" in text and "| c | 0.5 |" in text and "| a |" not in text
+
+
+def test_shared_folder_is_required_off_local_machines():
+    from types import SimpleNamespace as N
+
+    from riskframe import session
+
+    conf = N(get=lambda *a: None)
+    sc = N(master="spark://host:7077", getConf=lambda: conf, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(N(sparkContext=sc))
+    with pytest.raises(ValueError):
+        session.get_session(master="yarn")
