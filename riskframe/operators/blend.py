@@ -14,7 +14,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators import metrics
@@ -27,17 +27,26 @@ def align(preds: DataFrame, runs: list[str]) -> DataFrame:
     """J1 wide table (split, id, y, <run>...) with ids present in every run.
 
     Rows whose target differs between runs raise at evaluation time (D14:
-    the target must agree; it is not silently taken from the first run).
+    the target must agree; it is not silently taken from the first run), and so
+    do ids that a run holds twice (D19).
     """
-    g = preds.groupBy("split", "id").agg(
-        *[F.max(F.when(F.col("run") == r, F.col("pred"))).alias(r) for r in runs],
-        F.count_distinct("run").alias("__nr"),
+    rows = preds.filter(F.col("run").isin(runs))
+    held = [F.sum((F.col("run") == r).cast("int")).alias(f"__n_{r}") for r in runs]
+    g = rows.groupBy("split", "id").agg(
+        *[F.max(F.when(F.col("run") == r, F.col("pred"))).alias(r) for r in runs], *held,
         F.min("y").alias("y"), F.max("y").alias("__ymax"),
     )
+    twice = F.lit(False)
+    for r in runs:
+        twice = twice | (F.col(f"__n_{r}") > 1)
+    differs = ~F.col("y").eqNullSafe(F.col("__ymax"))
     checked = g.withColumn(
-        "y", F.when(F.col("y").eqNullSafe(F.col("__ymax")), F.col("y"))
-        .otherwise(F.raise_error(F.lit("target differs between runs")).cast("int")))
-    return checked.filter(F.col("__nr") == len(runs)).select("split", "id", "y", *runs)
+        "y", F.when(twice, F.raise_error(F.lit("an id is repeated in a run")).cast("int"))
+        .when(differs, F.raise_error(F.lit("target differs between runs")).cast("int")).otherwise(F.col("y")))
+    complete = F.lit(True)
+    for r in runs:
+        complete = complete & (F.col(f"__n_{r}") > 0)
+    return checked.filter(complete).select("split", "id", "y", *runs)
 
 
 def align_report(preds: DataFrame, runs: list[str]) -> DataFrame:
@@ -78,8 +87,11 @@ def ranks_long(wide: DataFrame, runs: list[str], by=("split",)) -> DataFrame:
 
 def blend_rank_mean(wide: DataFrame, runs: list[str]) -> DataFrame:
     """B3 mean of per-run average ranks, min-max scaled within each split."""
+    from riskframe.plans.common import materialize
+
     r = ranks_long(wide, runs)
-    m = r.groupBy("split", "id").agg(F.avg("rank").alias("pred"))
+    # written once: the bounds and the scaled scores both read it
+    m = materialize(r.groupBy("split", "id").agg(F.avg("rank").alias("pred")))
     m = metrics.minmax_normalize(m, "pred", by=["split"])
     return m.join(wide.select("split", "id", "y"), ["split", "id"])
 
@@ -103,52 +115,102 @@ def spearman_matrix(wide: DataFrame, runs: list[str], split: str = "oof") -> Dat
     return one_row.unpivot([], one_row.columns, "pair", "c").select("c.run_a", "c.run_b", "c.rho")
 
 
-def drop_high_corr(rho: dict, aucs: dict, runs: list[str], thr: float = 0.985, min_models: int = 3):
-    """B8 walk the runs in order; each unvisited run forms a group with the
-    unvisited runs correlated >= thr; the group's best AUC is kept. Fewer
-    than ``min_models`` kept → keep all. Runs on the M×M matrix (M small)."""
-    kept, dropped, used = [], [], set()
-    for a in runs:
-        if a in used:
-            continue
-        group = [a] + [b for b in runs if b != a and b not in used and rho.get((a, b), 0.0) >= thr]
-        best = max(group, key=lambda x: aucs.get(x) if aucs.get(x) is not None else 0.0)
-        kept.append(best)
-        used.update(group)
-        dropped += [g for g in group if g != best]
-    if len(kept) < min_models:
+def redundancy(rho: dict, aucs: dict, runs: list[str], threshold: float = 0.985, least: int = 3) -> tuple[list[str], list[str]]:
+    """B8 (kept, dropped): of every set of near-identical runs the best one stays.
+
+    ``rho``: (run, run) → rank correlation. The first run not yet assigned draws
+    in all later unassigned ones it correlates with at ``threshold`` or more; of
+    such a set the run with the best AUC stays (no AUC counts as 0, the earlier
+    run wins ties). If fewer than ``least`` would stay, all do.
+    """
+    waiting, winners = list(runs), []
+    while waiting:
+        head = waiting[0]
+        drawn = [r for r in waiting if r == head or (rho.get((head, r)) or 0.0) >= threshold]
+        waiting = [r for r in waiting if r not in drawn]
+        winners.append(min(drawn, key=lambda r: -(aucs.get(r) or 0.0)))
+    if len(winners) < least:
         return list(runs), []
-    return kept, dropped
+    return winners, [r for r in runs if r not in winners]
 
 
 # ------------------------------------------------------------------ B6 weight search
 
+BOUND_BINS = 2048
+
 
 def simplex_grid(m: int, steps: int) -> list[tuple[float, ...]]:
-    """All weight vectors with entries k/steps summing to 1 (lexicographic)."""
+    """All weight vectors with entries k/steps summing to 1 (lexicographic),
+    each made directly: a vector is a choice of m - 1 dividers among
+    steps + m - 1 places."""
     out = []
-    for c in itertools.product(range(steps + 1), repeat=m):
-        if sum(c) == steps:
-            out.append(tuple(x / steps for x in c))
+    for dividers in itertools.combinations(range(steps + m - 1), m - 1):
+        ends = (-1, *dividers, steps + m - 1)
+        out.append(tuple((ends[i + 1] - ends[i] - 1) / steps for i in range(m)))
     return out
 
 
 def grid_auc(wide: DataFrame, runs: list[str], weights: list[tuple[float, ...]], split: str = "oof") -> DataFrame:
-    """AUC of Σ w_i·score_i for every weight vector, in one job: the vectors
-    ride along each row as an exploded literal array, then AUC groups by
-    vector id. Returns (vec, auc)."""
-    vecs = F.array(*[
-        F.struct(F.lit(i).alias("vec"), *[F.lit(float(w)).alias(f"w{j}") for j, w in enumerate(ws)])
-        for i, ws in enumerate(weights)
-    ])
-    rows = wide.filter(F.col("split") == split).select("y", *runs, F.explode(vecs).alias("v"))
-    pred = F.col("v.w0") * F.col(runs[0])
-    for j, r in enumerate(runs[1:], start=1):
-        pred = pred + F.col(f"v.w{j}") * F.col(r)
-    scored = rows.select(F.col("v.vec").alias("vec"), "y", pred.alias("p"))
-    a = metrics.auc(scored, "p", "y", by=["vec"])
-    w = F.element_at(vecs, F.col("vec") + 1)
-    return a.select("vec", *[w[f"w{j}"].alias(f"w_{r}") for j, r in enumerate(runs)], "auc")
+    """Best weight vectors by AUC of Σ w_i·score_i: (vec, w_<run>..., auc) of the finalists.
+
+    First every vector's scores are counted in ``BOUND_BINS`` bins, combined before
+    the shuffle, so vectors x bins rows move, not vectors x rows. Pairs in
+    different bins are ordered for sure, pairs in one bin either way: that bounds
+    each AUC from both sides. Only vectors whose upper bound reaches the best
+    lower bound can win; their AUC is computed exactly.
+    """
+    spark = wide.sparkSession
+    vectors = spark.createDataFrame(
+        [(i, [float(w) for w in ws]) for i, ws in enumerate(weights)], "vec int, w array<double>")
+    rows = wide.filter(F.col("split") == split).select("y", F.array(*[F.col(r).cast("double") for r in runs]).alias("x"))
+
+    def scored(ids: list[int]) -> DataFrame:
+        vs = F.array(*[F.struct(F.lit(i).alias("vec"), F.array(*[F.lit(float(w)) for w in weights[i]]).alias("w")) for i in ids])
+        each = rows.select("y", "x", F.explode(vs).alias("v"))
+        p = F.lit(0.0)
+        for j in range(len(runs)):
+            p = p + F.col("v.w")[j] * F.col("x")[j]
+        return each.select(F.col("v.vec").alias("vec"), "y", p.alias("p"))
+
+    if len(weights) > 1:
+        lo, hi = rows.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
+        width = (hi - lo) / BOUND_BINS if lo is not None and hi > lo else 1.0
+        bins = F.greatest(F.lit(0), F.least(F.lit(BOUND_BINS), F.floor((F.col("p") - F.lit(lo or 0.0)) / F.lit(width)))).alias("bin")
+        counts = scored(list(range(len(weights)))).filter("y is not null and p is not null").groupBy("vec", bins).agg(
+            F.sum(F.col("y").cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
+        below = Window.partitionBy("vec").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row per bin
+        neg = F.col("n") - F.col("pos")
+        bounds = counts.withColumn("neg", neg).withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy("vec").agg(
+            F.sum(F.col("pos") * F.col("nb")).alias("low"), F.sum(F.col("pos") * (F.col("nb") + F.col("neg"))).alias("high")).collect()
+        best = max((r["low"] for r in bounds), default=0.0)
+        finalists = sorted(r["vec"] for r in bounds if r["high"] >= best)
+    else:
+        finalists = [0]
+    a = metrics.auc(scored(finalists), "p", "y", by=["vec"])
+    return a.join(vectors, "vec").select("vec", *[F.col("w")[j].alias(f"w_{r}") for j, r in enumerate(runs)], "auc")
+
+
+def refine_weights(wide: DataFrame, runs: list[str], start: tuple[float, ...], steps=(8, 16), split: str = "oof") -> list[tuple[int, tuple[float, ...], float]]:
+    """B6 further rounds on finer grids: at each step 1/s the vectors that move s-th
+    parts of the weight from one run to another around the best so far, until none
+    gains. M (M - 1) vectors a round, whatever M. Returns [(s, weights, auc)]."""
+    def best_of(points):
+        r = grid_auc(wide, runs, points, split).orderBy(F.desc_nulls_last("auc"), "vec").first()
+        return points[r["vec"]], float(r["auc"] or 0.0)
+
+    now, auc = best_of([tuple(start)])
+    out = []
+    for s in steps:
+        while True:
+            moves = [now] + [
+                tuple(round(w + (j == b) / s - (j == a) / s, 12) for j, w in enumerate(now))
+                for a in range(len(runs)) for b in range(len(runs)) if a != b and now[a] >= 1 / s - 1e-9]
+            found, value = best_of(moves)
+            if value <= auc:
+                break
+            now, auc = found, value
+        out.append((s, now, auc))
+    return out
 
 
 # ------------------------------------------------------------------ B5 ridge stacking
@@ -224,26 +286,24 @@ def stack_lr(wide: DataFrame, runs: list[str], folds: DataFrame, C: float = 1.0,
     from riskframe.plans.common import materialize
 
     asm = VectorAssembler(inputCols=runs, outputCol="features")
-    oof = asm.transform(wide.filter(F.col("split") == "oof").join(folds, "id"))
+    oof = asm.transform(materialize(wide.filter(F.col("split") == "oof").join(folds, "id")))
     sub = asm.transform(wide.filter(F.col("split") == "sub"))
-    oof_parts, sub_parts = [], []
+    p1 = vector_to_array("probability")[1]
+    extra = ("rawPrediction", "probability", "prediction")
+    oof_parts = []
     for f in range(k):
         tr = oof.filter(F.col("fold") != f)
         n = tr.count()
         lr = LogisticRegression(labelCol="y", featuresCol="features", regParam=1.0 / (C * max(n, 1)),
                                 elasticNetParam=0.0, standardization=False, maxIter=500)
         model = lr.fit(tr.withColumn("y", F.col("y").cast("double")))
-        p1 = vector_to_array("probability")[1]
         oof_parts.append(model.transform(oof.filter(F.col("fold") == f)).select("split", "id", "y", p1.alias("pred")))
-        sub_parts.append(model.transform(sub).select("id", p1.alias(f"p{f}")))
+        sub = model.transform(sub).withColumn(f"p{f}", p1).drop(*extra)  # one scan scores all folds
     o = oof_parts[0]
     for p in oof_parts[1:]:
         o = o.unionByName(p)
-    t = sub.select("split", "id", "y")
-    for p in sub_parts:
-        t = t.join(p, "id")
-    t = t.select("split", "id", "y", (sum((F.col(f"p{f}") for f in range(1, k)), F.col("p0")) / k).alias("pred"))
-    return materialize(o.unionByName(t))
+    mean = sum((F.col(f"p{f}") for f in range(1, k)), F.col("p0")) / k
+    return materialize(o.unionByName(sub.select("split", "id", "y", mean.alias("pred"))))
 
 
 # ------------------------------------------------------------------ B7 greedy
@@ -253,30 +313,26 @@ def greedy_selection(wide: DataFrame, runs: list[str], aucs: dict, top_k: int =
                      patience: int = 2, min_gain: float = 5e-5) -> list[tuple[int, str, float]]:
     """B7 forward selection of a mean blend: start from the best run; each
     round scores every candidate addition in one job (candidates ride along
-    each row as an exploded array); accept the best when it gains at least
-    ``min_gain``; stop after ``patience`` rounds without gain or at
-    ``max_models``. Candidates may repeat (weighting by repetition).
-    Returns [(step, run, auc)]."""
+    each row as an exploded array) and adds the best one. Up to ``patience``
+    additions in a row may gain less than ``min_gain`` over the best blend so
+    far; then, or at ``max_models``, the best prefix is returned. Candidates may
+    repeat (weighting by repetition). Returns [(step, run, auc)]."""
     pool = [r for r in sorted(runs, key=lambda r: -(aucs.get(r) or 0.0))][:top_k]
-    selected = [pool[0]]
-    best = aucs.get(pool[0]) or 0.0
-    steps = [(0, pool[0], best)]
-    misses = 0
+    steps = [(0, pool[0], aucs.get(pool[0]) or 0.0)]
+    best, misses = 0, 0  # index of the best prefix's last step
     oof = wide.filter(F.col("split") == "oof")
-    while len(selected) < max_models and misses < patience:
-        base = sum((F.col(r) for r in selected[1:]), F.col(selected[0]))
+    while len(steps) < max_models and misses < patience:
+        chosen = [r for _, r, _ in steps]
+        base = sum((F.col(r) for r in chosen[1:]), F.col(chosen[0]))
         cand = F.array(*[F.struct(F.lit(i).alias("c"), F.col(r).alias("x")) for i, r in enumerate(pool)])
         rows = oof.select("y", base.alias("__b"), F.explode(cand).alias("v"))
         scored = rows.select(F.col("v.c").alias("c"), "y",
-                             ((F.col("__b") + F.col("v.x")) / F.lit(len(selected) + 1.0)).alias("p"))
+                             ((F.col("__b") + F.col("v.x")) / F.lit(len(chosen) + 1.0)).alias("p"))
         res = metrics.auc(scored, "p", "y", by=["c"]).collect()
         top = max(res, key=lambda r: (r["auc"] if r["auc"] is not None else -1.0, -r["c"]))
-        gain = (top["auc"] or 0.0) - best
-        if gain >= min_gain:
-            selected.append(pool[top["c"]])
-            best = top["auc"]
-            steps.append((len(steps), pool[top["c"]], best))
-            misses = 0
+        steps.append((len(steps), pool[top["c"]], top["auc"] or 0.0))
+        if steps[-1][2] - steps[best][2] >= min_gain:
+            best, misses = len(steps) - 1, 0
         else:
             misses += 1
-    return steps
+    return steps[: best + 1]

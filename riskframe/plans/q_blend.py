@@ -79,9 +79,8 @@ def q_dedupe(spark, sf_dir):
     """B8 redundancy filter: per correlated group (rho >= 0.985) keep the best AUC."""
     w = aligned(spark, sf_dir)
     rho = {(r["run_a"], r["run_b"]): r["rho"] for r in blend.spearman_matrix(w, RUNS).collect()}
-    kept, dropped = blend.drop_high_corr(rho, _aucs(w), RUNS)
-    runs = w.select(F.explode(F.array(*[F.lit(r) for r in RUNS])).alias("run")).distinct()
-    return runs.withColumn("kept", F.col("run").isin(kept))
+    kept, _ = blend.redundancy(rho, _aucs(w), RUNS)
+    return spark.createDataFrame([(r, r in kept) for r in RUNS], "run string, kept boolean")
 
 
 @query("blend_weight_search")
@@ -93,6 +92,17 @@ def q_weight_search(spark, sf_dir):
     return best.select("vec", *[f"w_{r}" for r in RUNS], rnd("auc").alias("auc"))
 
 
+@query("blend_weight_refined")
+def q_weight_refined(spark, sf_dir):
+    """B6 the same search carried on at steps of 1/8 and 1/16 around the best vector."""
+    w = aligned(spark, sf_dir)
+    best = blend.grid_auc(w, RUNS, blend.simplex_grid(len(RUNS), GRID_STEPS)).orderBy(F.desc_nulls_last("auc"), "vec").first()
+    rounds = blend.refine_weights(w, RUNS, tuple(best[f"w_{r}"] for r in RUNS))
+    rows = [(s, *ws, a) for s, ws, a in rounds]
+    out = spark.createDataFrame(rows, "steps int, " + ", ".join(f"w_{r} double" for r in RUNS) + ", auc double")
+    return out.withColumn("auc", rnd("auc"))
+
+
 @query("stack_ridge")
 def q_stack_ridge(spark, sf_dir):
     """B5 ridge stacking (alpha 2) out-of-fold over stratified folds."""
@@ -112,31 +122,51 @@ def q_blend_greedy(spark, sf_dir):
     """B7 greedy forward selection of a mean blend."""
     w = aligned(spark, sf_dir)
     steps = blend.greedy_selection(w, RUNS, _aucs(w))
-    arr = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(r).alias("run"), F.lit(float(a)).alias("auc"))
-                    for i, r, a in steps])
-    return w.limit(1).select(F.explode(arr).alias("s")).select("s.step", "s.run", rnd("s.auc").alias("auc"))
+    return spark.createDataFrame([(i, r, float(a)) for i, r, a in steps], "step int, run string, auc double").withColumn("auc", rnd("auc"))
+
+
+def strategies(w, runs, fo, aucs):
+    """Y3 name → blend of the runs. Weight search and greedy selection blend with what they found on the oof rows."""
+    def weighted(weights):
+        p = sum((F.lit(float(x)) * F.col(r) for x, r in zip(weights[1:], runs[1:])), F.lit(float(weights[0])) * F.col(runs[0]))
+        return w.select("split", "id", "y", p.alias("pred"))
+
+    def searched():
+        best = blend.grid_auc(w, runs, blend.simplex_grid(len(runs), GRID_STEPS)).orderBy(F.desc_nulls_last("auc"), "vec").first()
+        return weighted([best[f"w_{r}"] for r in runs])
+
+    def greedy():
+        chosen = [r for _, r, _ in blend.greedy_selection(w, runs, aucs)]
+        return weighted([chosen.count(r) / len(chosen) for r in runs])
+
+    return {
+        "mean": lambda: blend.blend_mean(w, runs),
+        "logit_mean": lambda: blend.blend_logit_mean(w, runs),
+        "rank_mean": lambda: blend.blend_rank_mean(w, runs),
+        "stack_ridge": lambda: blend.stack_ridge(w, runs, fo),
+        "stack_lr": lambda: blend.stack_lr(w, runs, fo),
+        "weight_search": searched,
+        "greedy": greedy,
+    }
+
+
+def summarise(spark, table: dict):
+    """B9 (strategy, oof_auc, error): each strategy is run here, so one that fails
+    when it is planned or when it runs scores 0.0 and says why."""
+    rows = []
+    for name, build in table.items():
+        try:
+            rows.append((name, float(metrics.auc(build().filter(F.col("split") == "oof"), "pred", "y").first()["auc"] or 0.0), None))
+        except Exception as e:  # noqa: BLE001 — B9: a failed strategy scores 0
+            rows.append((name, 0.0, f"{type(e).__name__}: {e}"[:200]))
+    return spark.createDataFrame(rows, "strategy string, oof_auc double, error string")
 
 
 @query("blend_summary")
 def q_blend_summary(spark, sf_dir):
-    """B9 oof AUC of every strategy; a failing strategy scores 0.0."""
+    """B9 oof AUC of every strategy on the runs that the redundancy filter keeps."""
     w = aligned(spark, sf_dir)
-    fo = _oof_folds(w)
-    strategies = {
-        "mean": lambda: blend.blend_mean(w, RUNS),
-        "logit_mean": lambda: blend.blend_logit_mean(w, RUNS),
-        "rank_mean": lambda: blend.blend_rank_mean(w, RUNS),
-        "stack_ridge": lambda: blend.stack_ridge(w, RUNS, fo),
-        "stack_lr": lambda: blend.stack_lr(w, RUNS, fo),
-    }
-    parts = []
-    for name, fn in strategies.items():
-        try:
-            r = metrics.auc(fn().filter(F.col("split") == "oof"), "pred", "y")
-            parts.append(r.select(F.lit(name).alias("strategy"), F.coalesce("auc", F.lit(0.0)).alias("oof_auc")))
-        except Exception:  # noqa: BLE001 — reference semantics: a failed strategy scores 0
-            parts.append(w.limit(1).select(F.lit(name).alias("strategy"), F.lit(0.0).alias("oof_auc")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("strategy", rnd("oof_auc").alias("oof_auc"))
+    aucs = _aucs(w)
+    rho = {(r["run_a"], r["run_b"]): r["rho"] for r in blend.spearman_matrix(w, RUNS).collect()}
+    kept, _ = blend.redundancy(rho, aucs, RUNS)
+    return summarise(spark, strategies(w, kept, materialize(_oof_folds(w)), aucs)).select("strategy", rnd("oof_auc").alias("oof_auc"), "error")
