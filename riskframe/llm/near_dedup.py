@@ -146,25 +146,37 @@ def index_keys() -> Column:
     )
 
 
-def _close(p: str, q: str, percent: int) -> Column:
-    """Whether two rows' signatures are within the distance and their odd sketches allow the similarity."""
+def _unlike(p: str, q: str, chunk: str) -> Column:
+    """The top bit of each lane in which two rows' chunks differ."""
     low, top = F.lit(LOW).cast("long"), F.lit(TOP).cast("long")
+    x = F.col(f"{p}.{chunk}").bitwiseXOR(F.col(f"{q}.{chunk}"))
+    return (x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(top)
 
-    def lanes(c: str) -> Column:
-        x = F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))
-        return F.bit_count((x.bitwiseAND(low) + low).bitwiseOR(x).bitwiseAND(top))
 
-    apart = sum((lanes(c) for c in SIG[1:]), lanes(SIG[0]))
+def _close(p: str, q: str, percent: int) -> Column:
+    """Whether two rows' signatures are within the distance and their odd sketches allow the similarity."""
+    lanes = [F.bit_count(_unlike(p, q, c)) for c in SIG]
     flips = [F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in ODD]
     total = F.col(f"{p}.n") + F.col(f"{q}.n")
     slack = 100 - percent  # similarity >= percent <=> (100 + percent) * |A xor B| <= slack * (|A| + |B|)
     return (
         (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) * (100 + percent) <= total * slack)
         & (sum(flips[1:], flips[0]) * (100 + percent) <= total * slack)
-        & (apart <= DISTANCE)
+        & (sum(lanes[1:], lanes[0]) <= DISTANCE)
     )
 
 
+def _first_slot(p: str, q: str) -> Column:
+    """The first of the index keys that two rows share: the first chunk that differs in
+    one lane at most, and in it the lane left out (any, so the first, if none differs)."""
+    slot = F.lit(None).cast("int")
+    for k in reversed(range(CHUNKS)):
+        bits = _unlike(p, q, SIG[k])
+        lane = F.when(bits == 0, 0).otherwise((F.bit_count(bits - 1) / LANE_BITS).cast("int"))
+        slot = F.when(F.bit_count(bits) <= 1, k * LANES + lane).otherwise(slot)
+    return slot
+
+
 class _Corpus:
     """The tables of one run."""
 
@@ -178,8 +190,8 @@ class _Corpus:
         self.classes = write_table(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
 
     def buckets(self) -> DataFrame:
-        """``bucket, cid, lead`` of the index buckets with several classes; lead is the smallest."""
-        keys = self.classes.select("cid", F.explode(index_keys()).alias("bucket"))
+        """``bucket, slot, cid, lead`` of the index buckets with several classes; slot is the key's number, lead the smallest class."""
+        keys = self.classes.select("cid", F.posexplode(index_keys()).alias("slot", "bucket"))
         several = keys.groupBy("bucket").agg(F.min("cid").alias("lead"), F.max("cid").alias("most")).where("lead < most").select("bucket", "lead")
         return write_table(keys.join(several, "bucket"), "buckets")
 
@@ -204,9 +216,9 @@ class _Corpus:
     def cross_candidates(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
         """Candidates between different components within a bucket."""
         labelled = (
-            buckets.select("bucket", "cid")
+            buckets.select("bucket", "slot", "cid")
             .join(roots.withColumnRenamed("v", "cid"), "cid", "left")
-            .select("bucket", "cid", F.coalesce("root", "cid").alias("root"))
+            .select("bucket", "slot", "cid", F.coalesce("root", "cid").alias("root"))
         )
         labelled = write_table(labelled, "labelled")
         main = (
@@ -221,7 +233,9 @@ class _Corpus:
         rows = write_table(mixed.join(self.classes.select("cid", "n", *SIG, *ODD), "cid"), "mixed")
         p, q = rows.where("root <> main").alias("p"), rows.alias("q")
         once = (F.col("q.root") == F.col("q.main")) | (F.col("p.cid") < F.col("q.cid"))
-        on = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.root") != F.col("q.root")) & once & _close("p", "q", self.percent)
+        # A pair may share many buckets; only the first one makes a row of it.
+        first = _first_slot("p", "q") == F.col("p.slot")
+        on = (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.root") != F.col("q.root")) & once & _close("p", "q", self.percent) & first
         return p.join(q, on).select(F.col("p.cid").alias("a"), F.col("q.cid").alias("b")).distinct()
 
 

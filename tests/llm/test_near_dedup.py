@@ -129,3 +129,26 @@ def test_components_of_chains_and_stars(spark):
 def test_empty_table(spark):
     empty = frame(spark, [])
     assert nd.near_components(empty).collect() == [] and nd.drop_near_duplicates(empty).collect() == []
+
+
+def test_pairs_share_the_first_slot(spark):
+    rng = random.Random(8)
+    full = (1 << 60) - 1
+    rows = []
+    for k in range(200):
+        a = [rng.getrandbits(60) for _ in range(nd.CHUNKS)]
+        b = []
+        for v in a:
+            for lane in rng.sample(range(5), rng.choice([0, 1] + [2, 3, 5] * 6)):
+                v ^= rng.randint(1, nd.LANE) << (12 * lane)
+            b.append(v & full)
+        rows.append((k, *a, *b))
+    cols = [f"{side}{c}" for side in "ab" for c in nd.SIG]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} long" for c in cols))
+    a = df.select("k", *[df[f"a{c}"].alias(c) for c in nd.SIG]).withColumn("keys", nd.index_keys()).alias("p")
+    b = df.select("k", *[df[f"b{c}"].alias(c) for c in nd.SIG]).withColumn("keys", nd.index_keys()).alias("q")
+    got = a.join(b, a.k == b.k).select(nd._first_slot("p", "q").alias("slot"), "p.keys", "q.keys").collect()
+    assert any(r[0] is None for r in got) and any(r[0] for r in got)
+    for r in got:
+        same = [i for i, (x, y) in enumerate(zip(r[1], r[2], strict=True)) if x == y]
+        assert r[0] == (same[0] if same else None)
