@@ -305,3 +305,28 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         each = F.when(F.col("__key").isNull(), F.monotonically_increasing_id())  # blank texts are no copies
         kept = kept.withColumn("__each", each).dropDuplicates(["__key", "__th", "__each"]).drop("__each")
     return kept.drop("__key", "__th")
+
+
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), x -> x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS sh
+  FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS shared
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+ll AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (
+  SELECT doc_id AS v, doc_id AS u FROM s
+  UNION
+  SELECT reach.v, ll.b FROM reach JOIN ll ON ll.a = reach.u),
+c AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM s JOIN c ON c.v = s.doc_id
+"""

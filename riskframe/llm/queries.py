@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {"op6_line_dedup": line_dedup.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
