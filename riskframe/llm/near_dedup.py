@@ -6,7 +6,8 @@ The 13 longs are the chunks of the index. If two signatures differ in at most 25
 values, some chunk differs in at most one (13 * 2 > 25); leaving out one value of
 a chunk enumerates all such errors, so each document has 65 index keys and every
 pair within distance 25 shares one. At similarity 0.85 a distance over 25 has
-probability under 1e-6.
+probability under 1e-6. Pairs somewhat further apart nearly always share a key too
+and are looked at up to six standard deviations over the mean distance.
 
 Documents with equal shingle sets are one class; only classes are joined. In each
 bucket, members are first held against the bucket's smallest class (one row
@@ -24,6 +25,7 @@ confirmed on their full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,6 +148,13 @@ def index_keys() -> Column:
     )
 
 
+def reach(percent: int) -> int:
+    """The signature distance up to which pairs that share a key are looked at: the
+    guaranteed one, or six standard deviations over the mean at the similarity."""
+    apart = 1 - percent / 100
+    return max(DISTANCE, math.ceil(VALUES * apart + 6 * math.sqrt(VALUES * apart * (1 - apart))))
+
+
 def _unlike(p: str, q: str, chunk: str) -> Column:
     """The top bit of each lane in which two rows' chunks differ."""
     low, top = F.lit(LOW).cast("long"), F.lit(TOP).cast("long")
@@ -162,7 +171,7 @@ def _close(p: str, q: str, percent: int) -> Column:
     return (
         (F.abs(F.col(f"{p}.n") - F.col(f"{q}.n")) * (100 + percent) <= total * slack)
         & (sum(flips[1:], flips[0]) * (100 + percent) <= total * slack)
-        & (sum(lanes[1:], lanes[0]) <= DISTANCE)
+        & (sum(lanes[1:], lanes[0]) <= reach(percent))
     )
 
 
