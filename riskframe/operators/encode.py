@@ -191,12 +191,18 @@ def apply_kfold_te(
     id_col: str = "id", split: str = SPLIT,
 ) -> DataFrame:
     out = out or f"te_{key}"
-    fold = F.when(_is_train(split), hash_fold(F.col(id_col), model.k)).otherwise(F.lit(-1))
-    joined = _lookup(df, model.table, key, fold, "fold")
+    joined = _lookup(df, model.table, key, _fold_slot(model, id_col, split), "fold")
+    return joined.withColumn(out, _kfold_value(model, key, F.col("__s"), F.col("__n"))).drop("__key", "__fold", "__s", "__n")
+
+
+def _fold_slot(model: KFoldTE, id_col: str, split: str) -> Column:
+    return F.when(_is_train(split), hash_fold(F.col(id_col), model.k)).otherwise(F.lit(-1))
+
+
+def _kfold_value(model: KFoldTE, key: str, s: Column, n: Column) -> Column:
     prior, m = F.lit(model.prior), F.lit(model.m)
-    enc = (F.coalesce(F.col("__s"), F.lit(0.0)) + prior * m) / (F.coalesce(F.col("__n"), F.lit(0)) + m)
-    value = F.when(F.col(key).isNull(), prior).otherwise(enc)
-    return joined.withColumn(out, value).drop("__key", "__fold", "__s", "__n")
+    enc = (F.coalesce(s, F.lit(0.0)) + prior * m) / (F.coalesce(n, F.lit(0)) + m)
+    return F.when(F.col(key).isNull(), prior).otherwise(enc)
 
 
 def kfold_target_encode(df, keys, target=TARGET, k=5, m=50.0, id_col="id", split=SPLIT):
@@ -297,14 +303,18 @@ def apply_block_te(
     out = out or f"te_{key}"
     blk = F.when(_is_train(split), F.col("__blk")).otherwise(F.lit(-1))
     joined = _lookup(df, model.table, key, blk, "block")
+    value = _block_value(model, F.col("__s"), F.col("__n"), split)
+    return joined.withColumn(out, value).drop("__key", "__block", "__s", "__n")
+
+
+def _block_value(model: BlockTE, s: Column, n: Column, split: str) -> Column:
     prior = F.lit(model.prior)
-    mean = F.coalesce(F.col("__s") / F.col("__n"), prior)
+    mean = F.coalesce(s / n, prior)
     if model.any_valid:
         train_value = F.when(F.col("__valid"), mean)
     else:  # no block has any past: every train row gets the prior
         train_value = prior
-    value = F.when(_is_train(split), train_value).otherwise(mean)
-    return joined.withColumn(out, value.cast("double")).drop("__key", "__block", "__s", "__n")
+    return F.when(_is_train(split), train_value).otherwise(mean).cast("double")
 
 
 def block_target_encode(df, keys, target=TARGET, month="time_key", n_blocks=5,
@@ -385,6 +395,70 @@ def past_rate(df, keys, target=TARGET, month="time_key", split=SPLIT):
     return df
 
 
+# --------------------------------------------------------------------------
+# One lookup for all encoders of a key column
+# --------------------------------------------------------------------------
+
+
+def combine_fits(freq: DataFrame | None = None, counts: DataFrame | None = None,
+                 te: KFoldTE | BlockTE | None = None, past: PastRate | None = None) -> DataFrame:
+    """All fitted tables as one: (col, key, freq, cnt, te, past).
+
+    Means per fold or block and rates per month become maps of a key's few slots,
+    so that a key column needs one join for everything that is known of its values.
+    """
+    def rows(table, kind, slot, a, b=None):
+        return table.select("col", "key", F.lit(kind).alias("kind"), slot.cast("int").alias("slot"),
+                            F.col(a).cast("double").alias("a"), (F.col(b) if b else F.lit(None)).cast("double").alias("b"))
+
+    none = F.lit(None)
+    parts = []
+    if freq is not None:
+        parts.append(rows(freq, "freq", none, "freq"))
+    if counts is not None:
+        parts.append(rows(counts, "cnt", none, "n"))
+    if te is not None:
+        parts.append(rows(te.table, "te", F.col("fold" if isinstance(te, KFoldTE) else "block"), "s", "n"))
+    if past is not None:
+        parts.append(rows(past.table, "past", F.col("month"), "rate"))
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
+
+    def only(kind, value):
+        return F.when(F.col("kind") == kind, value)
+
+    def slots(kind):
+        return F.map_from_entries(F.collect_list(only(kind, F.struct("slot", F.struct("a", "b").alias("v"))))).alias(kind)
+
+    return _written(long.groupBy("col", "key").agg(
+        F.max(only("freq", F.col("a"))).alias("freq"), F.max(only("cnt", F.col("a"))).alias("cnt"), slots("te"), slots("past")))
+
+
+def apply_fits(df: DataFrame, table: DataFrame, col: str, freq: str | None = None, cnt: str | None = None,
+               te: KFoldTE | BlockTE | None = None, past: PastRate | None = None,
+               id_col: str = "id", month: str = "time_key", split: str = SPLIT) -> DataFrame:
+    """The encoded columns of one key column by one join: ``freq`` and ``cnt`` name the
+    outputs of E1 and E2, ``te`` and ``past`` are the models of E3/E5 and E6. Block means
+    need the ``__blk``/``__valid`` columns of :func:`with_blocks`."""
+    t = table.filter(F.col("col") == col).select(*[F.col(c).alias(f"__{c}") for c in ("key", "freq", "cnt", "te", "past")])
+    out = df.join(t, F.col(col).cast("string").eqNullSafe(F.col("__key")), "left")
+    cols = {}
+    if freq:
+        cols[freq] = F.col("__freq")
+    if cnt:
+        cols[cnt] = F.coalesce(F.col("__cnt"), F.lit(0.0))
+    if te is not None:
+        kfold = isinstance(te, KFoldTE)
+        slot = _fold_slot(te, id_col, split) if kfold else F.when(_is_train(split), F.col("__blk")).otherwise(F.lit(-1))
+        e = F.try_element_at("__te", slot.cast("int"))
+        cols[f"te_{col}"] = _kfold_value(te, col, e["a"], e["b"]) if kfold else _block_value(te, e["a"], e["b"], split)
+    if past is not None:
+        slot = F.when(_is_train(split), F.col(month)).otherwise(F.lit(-1))
+        cols[f"hist_rate_{col}"] = F.coalesce(F.try_element_at("__past", slot.cast("int"))["a"], F.lit(past.global_rate[col]))
+    return out.withColumns(cols).drop("__key", "__freq", "__cnt", "__te", "__past")
+
+
 # --------------------------------------------------------------------------
 # E7 quantile bins, E8/E9 weight of evidence
 # --------------------------------------------------------------------------

@@ -177,6 +177,10 @@ def build_features_v1(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
 
 # ------------------------------------------------------------------ version 2
 
+# Fixed settings of the modelled pipeline.
+FREQ_COLS = ["employmentTitle_cat", "title_cat", "postCode_cat"]
+V2_TE = ["employmentTitle_cat", "title_cat", "postCode_cat", "subGrade", "issueDate_cat", "earliesCreditLine_cat"]
+
 
 def build_features_v2(loans: DataFrame, cfg: FeatureConfig | None = None) -> FeatureTable:
     """E12: version 1 plus fico range, three more ratios, log1p and winsor of
@@ -217,17 +221,14 @@ def build_features_v2(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
     cols.update(nst)
     df = base.withColumns(cols)
 
-    freq_cols = [c for c in ("employmentTitle_cat", "title_cat", "postCode_cat") if c in base.columns]
-    if freq_cols:
-        table = encode.fit_freq(base, freq_cols)
-        for c in freq_cols:
-            df = encode.apply_freq(df, table, c, c.replace("_cat", "_freq"))
-    te_cols = [c for c in ("employmentTitle_cat", "title_cat", "postCode_cat", "subGrade",
-                           "issueDate_cat", "earliesCreditLine_cat") if c in base.columns]
-    if te_cols and TARGET in base.columns:
-        model = encode.fit_kfold_te(base, te_cols, k=cfg.te_folds, m=cfg.te_m)
-        for c in te_cols:
-            df = encode.apply_kfold_te(df, model, c)
+    freq_cols = [c for c in FREQ_COLS if c in base.columns]
+    te_cols = [c for c in V2_TE if c in base.columns and TARGET in base.columns]
+    if freq_cols or te_cols:
+        te = encode.fit_kfold_te(base, te_cols, k=cfg.te_folds, m=cfg.te_m) if te_cols else None
+        table = encode.combine_fits(freq=encode.fit_freq(base, freq_cols) if freq_cols else None, te=te)
+        for c in dict.fromkeys(freq_cols + te_cols):  # one join per key column
+            df = encode.apply_fits(df, table, c, freq=c.replace("_cat", "_freq") if c in freq_cols else None,
+                                   te=te if c in te_cols else None)
     woe_cols = [c for c in ("fico_mean", "credit_hist_mon", "interestRate", "dti", "revolUtil") if c in base.columns]
     if woe_cols and TARGET in base.columns:
         models = encode.fit_woe_multi(base, woe_cols, q=cfg.woe_bins, style="good_bad",
@@ -240,6 +241,7 @@ def build_features_v2(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
 # ------------------------------------------------------------------ version 3
 
 
+# Fixed settings of the modelled pipeline.
 V3_TE = ["grade_term", "fico_dti", "purpose_home", "iy_region", "subGrade", "employmentLength_cat", "postCode_cat"]
 V3_PAST = ["regionCode", "grade", "purpose", "postCode_cat"]
 V3_WOE = ["credit_hist_mon", "revolUtil", "dti"]
@@ -251,9 +253,9 @@ def build_features_v3(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
     winsor, frequencies, extended row stats with entropy, four crosses with
     train counts, time-aware target means, past default rates, bad/good WOE."""
     cfg = cfg or FeatureConfig(version="v3", high_card_threshold=300)
-    b0 = _base(loans)
-    # crosses need quantile bins of fico_mean / dti: fit them on the parsed rows
-    b0 = materialize(b0)
+    # written once; crosses need quantile bins of fico_mean / dti, fitted on the
+    # written rows, and stay expressions over them
+    b0 = materialize(_base(loans))
     acc = cfg.quantile_accuracy
     cross_cols = {}
     bins = {}
@@ -274,7 +276,7 @@ def build_features_v3(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
     if _present(b1, "regionCode", "issueDate_dt"):
         cx["iy_region"] = F.concat_ws(
             "_", F.coalesce(F.year("issueDate_dt"), F.lit(0)).cast("string"), cc(F.col("regionCode")))
-    base = materialize(b1.withColumns(cx))
+    base = b1.withColumns(cx)
 
     # ---- fits: each one aggregate job over the written base
     cols = {}
@@ -298,32 +300,29 @@ def build_features_v3(loans: DataFrame, cfg: FeatureConfig | None = None) -> Fea
         cols["n_entropy"] = derive.row_entropy(n_cols, mins, maxs)
     df = base.withColumns(cols)
 
-    freq_cols = [c for c in ("employmentTitle_cat", "title_cat", "postCode_cat") if c in base.columns]
-    if freq_cols:
-        table = encode.fit_freq(base, freq_cols)
-        for c in freq_cols:
-            df = encode.apply_freq(df, table, c, c.replace("_cat", "_freq"))
+    freq_cols = [c for c in FREQ_COLS if c in base.columns]
     crosses = [c for c in ("grade_term", "fico_dti", "purpose_home", "iy_region") if c in base.columns]
-    if crosses:
-        counts = encode.fit_train_count(base, crosses)
-        for c in crosses:
-            df = encode.apply_train_count(df, counts, c, f"{c}_freq")
     if "issueDate_dt" in base.columns:
         df = stats.apply_vintage_rank(df, stats.fit_vintage_rank(base, "issueDate_dt"), "issueDate_dt")
-
-    if TARGET in base.columns and "time_key" in base.columns:
-        te_cols = [c for c in V3_TE if c in base.columns]
+    timed = TARGET in base.columns and "time_key" in base.columns
+    te_cols = [c for c in V3_TE if timed and c in base.columns]
+    past_cols = [c for c in V3_PAST if timed and c in base.columns]
+    te = pr = None
+    if timed:
         blocks = materialize(encode.fit_time_blocks(base, n_blocks=cfg.time_folds,
                                                     min_train_gap=cfg.min_train_months))
-        te = encode.fit_block_te(base, te_cols, blocks=blocks)
+        te = encode.fit_block_te(base, te_cols, blocks=blocks) if te_cols else None
+        pr = encode.fit_past_rate(base, past_cols) if past_cols else None
         df = encode.with_blocks(df, blocks)
-        for c in te_cols:
-            df = encode.apply_block_te(df, te, c)
-        df = df.drop("__blk", "__valid")
-        past = [c for c in V3_PAST if c in base.columns]
-        pr = encode.fit_past_rate(base, past)
-        for c in past:
-            df = encode.apply_past_rate(df, pr, c)
+    keys = list(dict.fromkeys(freq_cols + crosses + te_cols + past_cols))
+    if keys:
+        table = encode.combine_fits(freq=encode.fit_freq(base, freq_cols) if freq_cols else None,
+                                    counts=encode.fit_train_count(base, crosses) if crosses else None, te=te, past=pr)
+        for c in keys:  # one join per key column
+            df = encode.apply_fits(
+                df, table, c, freq=c.replace("_cat", "_freq") if c in freq_cols else None,
+                cnt=f"{c}_freq" if c in crosses else None, te=te if c in te_cols else None, past=pr if c in past_cols else None)
+    df = df.drop("__blk", "__valid")
     woe_cols = [c for c in V3_WOE if c in base.columns]
     if woe_cols and TARGET in base.columns:
         models = encode.fit_woe_multi(base, woe_cols, q=cfg.woe_bins, style="bad_good", accuracy=acc)

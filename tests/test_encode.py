@@ -167,3 +167,31 @@ def test_time_blocks_follow_array_split(spark):
                 assert got[int(m)] == (b, seen >= gap)
             seen += len(part)
         assert 0 not in got
+
+
+def test_one_lookup_per_key_column_equals_separate_lookups(spark):
+    import random
+
+    rng = random.Random(11)
+    rows = [(i, int(rng.random() < 0.8), rng.randint(0, 1), 202000 + rng.randint(1, 9), rng.choice(["a", "b", "c", None]), rng.choice([1, 2, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, is_train int, isDefault int, time_key int, k string, c int")
+    df = df.withColumn("isDefault", F.when(F.col("is_train") == 1, F.col("isDefault")))
+    keys = ["k", "c"]
+    freq, counts, past = encode.fit_freq(df, keys), encode.fit_train_count(df, keys), encode.fit_past_rate(df, keys)
+    blocks = encode.fit_time_blocks(df)
+    kfold, block = encode.fit_kfold_te(df, keys), encode.fit_block_te(df, keys, blocks=blocks)
+    base = encode.with_blocks(df, blocks)
+    for te, apart in ((kfold, encode.apply_kfold_te), (block, encode.apply_block_te)):
+        table = encode.combine_fits(counts=counts, te=te, past=past)
+        one, many = base, base
+        for c in keys:
+            one = encode.apply_fits(one, table, c, cnt=f"{c}_n", te=te, past=past)
+            many = encode.apply_past_rate(apart(encode.apply_train_count(many, counts, c, f"{c}_n"), te, c), past, c)
+        plan = one._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join LeftOuter") == len(keys) + 1  # a join per key column, and the months' blocks
+        cols = ["id", *[f for c in keys for f in (f"{c}_n", f"te_{c}", f"hist_rate_{c}")]]
+        left, right = ([tuple(r) for r in d.select(*cols).orderBy("id").collect()] for d in (one, many))
+        assert left == right
+    only = encode.combine_fits(freq=freq)
+    got = encode.apply_fits(df.filter("k is not null"), only, "k", freq="k_freq").select("id", "k_freq").orderBy("id").collect()
+    assert got == encode.apply_freq(df.filter("k is not null"), freq, "k").select("id", "k_freq").orderBy("id").collect()
