@@ -126,7 +126,7 @@ class Grammar:
         """The lexicon transducer: a word's own entry or that of its best stem, else its cue."""
         found = [e for t in (word, *(word[:n] + "*" for n in STEM_LENGTHS if n <= len(word))) if (e := self.lexicon.get(t))]
         s = INSULT + max(found, key=lambda e: e[1])[0] if found else self.cues.get(word, OTHER)
-        if len(self.known) > 1 << 19:
+        if len(self.known) > 1 << 18:
             self.known = dict(self.symbols)
         self.known[word] = s
         return s
@@ -156,15 +156,20 @@ class Grammar:
         return out
 
 
+def _stems(words: str, n: int):
+    """The first ``n`` letters of each word that has so many, with a star."""
+    return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+
 def learn_lexicon(train: DataFrame) -> dict[str, tuple[int, float]]:
     """Terms and stems that mark toxic rows, from ``text, toxic``; at most ``LEXICON``, those with most evidence."""
     rows = train.groupBy(F.xxhash64("text").alias("row")).agg(F.first("text").alias("text"), F.max("toxic").alias("toxic"))
-    stems = [F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in STEM_LENGTHS]
+    words = F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))
+    stems = [_stems("words", n) for n in STEM_LENGTHS]
     terms = (
-        rows.select("row", "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), "[^\\p{L}]+"))).alias("w"))
-        .select("row", "toxic", F.explode(F.array("w", *stems)).alias("term"))
+        rows.select("toxic", words.alias("words"))
+        .select("toxic", F.explode(F.array_distinct(F.concat("words", *stems))).alias("term"))
         .where(F.length("term") > 1)
-        .distinct()
     )
     total, toxic = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not toxic or toxic == total:

@@ -65,3 +65,16 @@ def test_no_labels_and_no_rows(spark):
 
 def test_stems_that_a_longer_term_replaces_go():
     assert t._most_specific({"lowei*": (3, 100.0), "lowe*": (3, 100.0), "low*": (1, 40.0), "moron": (3, 50.0), "moron*": (3, 50.0)}) == {"lowei*": (3, 100.0), "moron": (3, 50.0)}
+
+
+def test_lexicon_counts_each_term_once_per_text(spark):
+    texts = [(f"badstem{chr(97 + k % 20)}x other{k} badstem{chr(98 + k % 20)} same words", 1) for k in range(60)] + [(f"clean{k} same words other", 0) for k in range(300)]
+    df = spark.createDataFrame([*texts, *texts[:30]], "text string, toxic int")  # copies of a text count once
+    lexicon = t.learn_lexicon(df)
+    assert "badstem*" in lexicon and not any(x.startswith(("clean", "same", "words")) for x in lexicon)
+    p = 60 / 360
+    import math
+
+    assert abs(lexicon["badstem*"][1] - 2 * 60 * math.log(1 / p)) < 1e-6
+    words = spark.createDataFrame([(["abcd", "abc", "ab"],)], "words array<string>")
+    assert words.select(t._stems("words", 3)).first()[0] == ["abc*", "abc*"]
