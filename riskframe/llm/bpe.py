@@ -24,12 +24,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from riskframe.llm.common import Shared
+from riskframe.llm.common import Shared, latest, small_batches
 
 # Fixed value: the pattern that splits text before merging.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_CHARS = 1 << 15
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 17
 SHORT = 48
 _BYTES = [bytes([b]) for b in range(256)]
 
@@ -219,15 +219,6 @@ class Codec:
 
 
 SCHEMA = "{id} {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-_CODECS: dict[int, Codec] = {}
-
-
-def _codec(shared) -> Codec:
-    """One codec for each Python worker and vocabulary."""
-    if shared.id not in _CODECS:
-        _CODECS[shared.id] = Codec(shared.value)
-    return _CODECS[shared.id]
-
 
 def digests(codec: Codec, text: str | None) -> tuple[int, str, str]:
     """Token count, digest of the decimal ids joined by commas, digest of the decoded text."""
@@ -255,11 +246,12 @@ def encode_digests(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id"
     shuffle, and a lost task only repeats its own rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = Shared(spark, load_vocabulary(vocabulary_path))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared)
+        codec = latest(shared, Codec)
         for batch in batches:
             rows = [digests(codec, t.as_py()) for t in batch.column(1)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())

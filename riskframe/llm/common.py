@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.plans.common import write_table
 
-__all__ = ["Shared", "ascii_lower", "clean_text", "load", "shuffle_partitions", "write_table"]
+__all__ = ["Shared", "ascii_lower", "clean_text", "latest", "load", "shuffle_partitions", "small_batches", "write_table"]
 
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -27,6 +27,25 @@ class Shared:
         return self.box.value
 
 
+_LATEST: list = [None, None]
+
+
+def latest(shared: Shared, build):
+    """What a Python worker has built from a broadcast value; only the last one is
+    kept, since a worker that goes on to another operator is the same process."""
+    if _LATEST[0] != shared.id:
+        _LATEST[:] = [None, None]  # the old one goes before the new one is built
+        _LATEST[:] = [shared.id, build(shared.value)]
+    return _LATEST[1]
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Bound the rows of an Arrow batch: texts are long, and a batch is held on both sides of the worker's pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

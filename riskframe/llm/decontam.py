@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from riskframe.llm.common import Shared
+from riskframe.llm.common import Shared, latest, small_batches
 
 ERROR_RATE = 0.05
 MIN_LETTERS = 40
@@ -120,19 +120,10 @@ class Matcher:
         return [(self.items[n][0], d, self.items[n][2], e) for n, (d, e) in sorted(best.items())]
 
 
-_MATCHERS: dict[int, Matcher] = {}
-
-
-def _matcher(shared) -> Matcher:
-    if shared.id not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[shared.id] = Matcher(*shared.value)
-    return _MATCHERS[shared.id]
-
-
 def _blocks(benchmark: DataFrame, error_rate: float, min_letters: int, block_letters: int) -> Iterator[Shared]:
     """The normalised items in broadcast blocks of about ``block_letters``, one at a time on the driver."""
     spark = benchmark.sparkSession
+    small_batches(spark)
     items = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).distinct()
     letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-letters // block_letters))
@@ -165,7 +156,7 @@ def find_leaks(
 
 def _pairs(shared, item_type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared)
+        matcher = latest(shared, lambda v: Matcher(*v))
         for batch in batches:
             found, take = [], []
             for k, t in enumerate(batch.column(1)):
@@ -198,7 +189,7 @@ def drop_leaked(
 
 def _without(shared, text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matcher(shared)
+        matcher = latest(shared, lambda v: Matcher(*v))
         for batch in batches:
             yield batch.filter(pa.array([not matcher.find(t.as_py() or "") for t in batch.column(text_at)], pa.bool_()))
 

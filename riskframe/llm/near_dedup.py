@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text, write_table
+from riskframe.llm.common import clean_text, small_batches, write_table
 from riskframe.llm.components import components
 
 SHINGLE = 5
@@ -47,7 +47,7 @@ LOW = sum(((1 << (LANE_BITS - 1)) - 1) << (LANE_BITS * i) for i in range(LANES))
 TOP = sum(1 << (LANE_BITS * i + LANE_BITS - 1) for i in range(LANES))
 NO_ID = (1 << 63) - 1
 BLOCK = 4096
-KNOWN_WORDS = 1 << 19
+KNOWN_WORDS = 1 << 17
 
 _rng = np.random.Generator(np.random.PCG64(20240601))
 _TIMES = _rng.integers(0, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,15 +65,12 @@ class _Words(dict):
         return h
 
 
-_WORDS = _Words()
-
-
-def shingles(text: str) -> np.ndarray:
+def shingles(text: str, known: dict) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the 5-word shingles; of the whole sequence if it is shorter."""
     words = text.encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
     if not words:
         return np.empty(0, np.uint64)
-    ids = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    ids = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = len(ids) - SHINGLE + 1
     if n < 1:
         return np.array([xxhash.xxh64_intdigest(ids.tobytes(), seed=len(ids))], np.uint64)
@@ -109,10 +106,11 @@ SIGNED = "key long, th long, n long, d1 long, d2 long, " + ", ".join(f"{c} long"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()  # a task's own, so that it goes with the task
     for batch in batches:
         out = np.zeros((batch.num_rows, 3 + CHUNKS + ODD_LONGS), np.int64)
         for k, t in enumerate(batch.column(2)):
-            s = shingles(t.as_py() or "")
+            s = shingles(t.as_py() or "", known)
             if len(s):
                 packed, odd = signature(s)
                 digest = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
@@ -122,10 +120,11 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Words()
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py() or "").tobytes() for t in part.column(1)], pa.binary())], names=["cid", "elements"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py() or "", known).tobytes() for t in part.column(1)], pa.binary())], names=["cid", "elements"])
 
 
 def _confirm(percent: int):
@@ -191,6 +190,7 @@ class _Corpus:
 
     def __init__(self, docs: DataFrame, percent: int):
         self.percent = percent
+        small_batches(docs.sparkSession)
         text = clean_text("text")
         self.texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("th"), text.alias("text"))
         self.signed = write_table(self.texts.mapInArrow(_sign, SIGNED), "signatures")

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text, write_table
+from riskframe.llm.common import clean_text, small_batches, write_table
 
 CUT_BITS = 5
 WINDOW = 16
@@ -109,6 +109,7 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first); equal rows give one result. Null and empty texts have no passages; other
     columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     null_key = F.lit(-(1 << 63)).cast("long")
     text = clean_text("text")
     rows = docs.select(F.xxhash64(text).alias("th"), F.coalesce(F.col("doc_id").cast("long"), null_key).alias("key"), text.alias("text"))

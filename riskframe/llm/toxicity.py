@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import Shared, clean_text, write_table
+from riskframe.llm.common import Shared, clean_text, latest, small_batches, write_table
 
 # Bounds of what is learned and broadcast.
 TRAIN_ROWS = 20_000
@@ -126,7 +126,7 @@ class Grammar:
         """The lexicon transducer: a word's own entry or that of its best stem, else its cue."""
         found = [e for t in (word, *(word[:n] + "*" for n in STEM_LENGTHS if n <= len(word))) if (e := self.lexicon.get(t))]
         s = INSULT + max(found, key=lambda e: e[1])[0] if found else self.cues.get(word, OTHER)
-        if len(self.known) > 1 << 18:
+        if len(self.known) > 1 << 17:
             self.known = dict(self.symbols)
         self.known[word] = s
         return s
@@ -220,6 +220,7 @@ def held_out(id_col: str = "doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     """Lexicon and pattern weights from at most ``rows`` labelled rows that aren't held out, those with the least id hash."""
+    small_batches(docs.sparkSession)
     marked = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = write_table(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows), "label-sample")
     train = write_table(docs.select("doc_id", clean_text("text").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "toxic"), "labelled")
@@ -233,14 +234,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     return model
 
 
-_GRAMMARS: dict[int, tuple[Grammar, list[float], float]] = {}
-
-
 def _scorer(shared):
-    if shared.id not in _GRAMMARS:
-        m = shared.value
-        _GRAMMARS[shared.id] = (Grammar(m["lexicon"]), m["weights"], m["bias"])
-    return _GRAMMARS[shared.id]
+    return latest(shared, lambda m: (Grammar(m["lexicon"]), m["weights"], m["bias"]))
 
 
 def _score(scorer, text: str) -> float:
