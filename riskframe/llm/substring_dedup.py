@@ -1,20 +1,24 @@
-"""Substring dedup by content-defined chunks.
-
-A gear hash rolls over the normalised bytes; where its top bits are zero the
-text is cut, after the word. The cut depends on the last 16 bytes alone, so text
-that stands in two documents is cut alike in both, whatever was inserted before
-it. Chunks meet by digest, and neighbouring shared chunks by the digest of the
-pair; a passage is a run of pairs that several documents hold.
+"""Substring dedup by content-defined seeds and exact word grams.
+
+A passage of ``min_words`` words holds a run of seeds, stretches of about half as
+many words. In each passage-long window the seed is taken at whose end a gear hash
+rolling over the normalised bytes is least. That choice depends on the window's
+text alone, so a passage that stands in two documents has the same seed in both,
+whatever surrounds it. Only windows whose seed stands in several documents can be
+repeated. Where a seed stands amid the same words everywhere, its windows are
+repeated as a whole; the word grams of the other windows meet by a 128-bit digest. A
+passage is a run of windows that follow each other in the document that keeps them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,10 +28,8 @@ CUT_BITS = 5
 WINDOW = 16
 MAX_BYTES = 1024
 MIN_WORDS = 50
-# Of a repeated passage, the chunks at its two ends are cut off by what surrounds it.
-CORE = 0.4
 _GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 32, 256, dtype=np.uint32)
-_WORD = regex.compile(r"\S+")
+_WORD = re.compile(r"\S+")  # the words of str.split
 
 
 def gear(raw: np.ndarray) -> np.ndarray:
@@ -79,32 +81,92 @@ def _split_long(space: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            part = batch.slice(lo, 512)
-            rows: tuple[list, list, list, list] = ([], [], [], [])
-            for k, t in enumerate(part.column(2)):
-                first, words, digest = chunks(t.as_py() or "")
-                rows[0].extend([k] * len(first))
-                for have, new in zip(rows[1:], (first, words, digest), strict=True):
-                    have.extend(new)
-            at = pa.array(rows[0], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(at), part.column(1).take(at), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32()), pa.array(rows[3], pa.int64())],
-                names=["th", "key", "first_word", "n_words", "digest"],
-            )
+def _words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-case words with single spaces, a space at the end; the same as numbers; where each word begins and ends."""
+    joined = b"".join(w.encode("utf-8", "replace") + b" " for w in text.lower().split())
+    raw = np.frombuffer(joined, np.uint8)
+    stop = np.flatnonzero(raw == 0x20)
+    return joined, raw, np.append(0, stop[:-1] + 1), stop
+
+
+def seed_words(min_words: int) -> int:
+    """Words of a seed: half a passage, but enough that the gear hash at its end doesn't reach out of it."""
+    return max((min_words + 1) // 2, min(min_words, WINDOW // 2 + 1))
+
+
+def seeds(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[int], list[int]]:
+    """First and last window of ``min_words`` words that each seed stands for, and 64-bit digests of the seed and of all its windows."""
+    joined, raw, begin, stop = _words(text)
+    n = seed_words(min_words)
+    if len(stop) < min_words:
+        return [], [], [], []
+    order = gear(raw)[stop[n - 1 :] - 1]
+    choices = sliding_window_view(order, min_words - n + 1)[:, ::-1]  # of equal ones, the last
+    at = np.arange(len(choices)) + (min_words - n) - choices.argmin(axis=1)
+    at, first = np.unique(at, return_index=True)
+    last = np.append(first[1:], len(choices)) - 1
+    number = lambda raw: int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    seed = [number(joined[a:b]) for a, b in zip(begin[at].tolist(), stop[at + n - 1].tolist(), strict=True)]
+    spans = zip(begin[first].tolist(), stop[last + min_words - 1].tolist(), (at - first).tolist(), (last - first).tolist(), strict=True)
+    return first.tolist(), last.tolist(), seed, [number(b"%d %d " % (c, d) + joined[a:b]) for a, b, c, d in spans]
+
+
+def grams(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The windows (first word) within the spans, and the 128-bit digest of each one's words as two numbers."""
+    joined, _, begin, stop = _words(text)
+    at = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in spans]))
+    places = zip(begin[at].tolist(), stop[at + min_words - 1].tolist(), strict=True)
+    digest = b"".join(hashlib.blake2b(joined[a:b], digest_size=16).digest() for a, b in places)
+    return at, np.frombuffer(digest, np.int64).reshape(-1, 2)
+
+
+def _seed_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
+                for k, t in enumerate(part.column(2)):
+                    found = seeds(t.as_py() or "", min_words)
+                    rows[0].extend([k] * len(found[0]))
+                    for have, new in zip(rows[1:], found, strict=True):
+                        have.extend(new)
+                at = pa.array(rows[0], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c).take(at) for c in (0, 1)), *(pa.array(x, pa.int32()) for x in rows[1:3]), *(pa.array(x, pa.int64()) for x in rows[3:])],
+                    names=["th", "key", "lo", "hi", "seed", "span"],
+                )
+
+    return run
+
+
+def _gram_rows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
+                found = [grams(t.as_py(), [(x["lo"], x["hi"]) for x in s.as_py()], min_words) for t, s in zip(part.column(2), part.column(3), strict=True)]
+                doc = pa.array(np.repeat(np.arange(len(found)), [len(at) for at, _ in found]))
+                at, digest = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(doc), part.column(1).take(doc), pa.array(at.astype(np.int32)), pa.array(digest[:, 0].copy()), pa.array(digest[:, 1].copy())],
+                    names=["th", "key", "lo", "g1", "g2"],
+                )
+
+    return run
 
 
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage: ``doc_id, th, first_word, n_words, keep_id, kept``.
 
-    A passage is a run of neighbouring chunks, each of which stands in two or more
-    documents next to the one before, and of at least ``0.4 * min_words`` words: the chunks that a passage
-    of ``min_words`` words or more shares in full. ``first_word`` and ``n_words``
-    count white-space separated words of the text, ``th`` is the text's hash.
-    ``keep_id`` is the smallest document that holds the run's first chunk; ``kept``
-    marks that document's own row. Case and white space don't matter. Rows with the
+    A stretch of ``min_words`` words is repeated if two or more documents hold it, and
+    the smallest of them keeps it. A passage is a longest run of such stretches, each
+    a word after the one before, that also follow each other in the keeping
+    document: ``keep_id`` holds the whole passage. ``first_word`` and ``n_words``
+    count white-space separated words of the text, ``th`` is the text's hash;
+    ``kept`` marks the keeping document's own rows. Where the keeper changes, one
+    passage ends and the next begins, and the two share up to ``min_words - 1``
+    words. Case and white space don't matter. Rows with the
     same ``doc_id`` are one document, and so are rows with a null one (it sorts
     first); equal rows give one result. Null and empty texts have no passages; other
     columns are ignored; an empty table gives an empty result.
@@ -113,31 +175,37 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     null_key = F.lit(-(1 << 63)).cast("long")
     text = clean_text("text")
     rows = docs.select(F.xxhash64(text).alias("th"), F.coalesce(F.col("doc_id").cast("long"), null_key).alias("key"), text.alias("text"))
-    table = write_table(rows.mapInArrow(_chunk_rows, "th long, key long, first_word int, n_words int, digest long"), "chunks")
+    table = write_table(rows.mapInArrow(_seed_rows(min_words), "th long, key long, lo int, hi int, seed long, span long"), "seeds")
     shared = (
-        table.groupBy("digest")
-        .agg(F.min("key").alias("keep"), F.max("key").alias("most"))
-        .where(F.col("keep") < F.col("most"))
-        .select("digest", "keep")
+        table.groupBy("seed")
+        .agg(F.min("key").alias("keep"), F.max("key").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"))
+        .where("keep < most")
+        .select("seed", "keep", F.expr("a = b").alias("alike"))
     )
-    hit = (
-        table.join(shared, "digest")
-        .repartition("key", "th")  # a document's chunks: bounded by its text
-        .groupBy("key", "th", "first_word", "n_words", "digest")
-        .agg(F.min("keep").alias("keep"))
+    hit = write_table(table.join(shared, "seed").select("th", "key", "lo", "hi", "seed", "keep", "alike"), "shared-seeds")
+    # Where a window stands, as one number in the order of the documents: a struct would be sorted, not hashed.
+    place = F.expr("cast(key as decimal(20,0)) * 4611686018427387904BD + cast((th & 2147483647) * 2147483648 + lo as decimal(20,0))").cast("decimal(38,0)")
+    alike = hit.where("alike")
+    whole = alike.join(alike.groupBy("seed").agg(F.min(place).alias("place")), "seed").select("key", "th", "lo", "hi", "keep", "place")
+    spans = hit.where("not alike").groupBy("key", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by a text
+    texts = rows.join(spans, ["key", "th"]).select("th", "key", "text", "spans")
+    table = write_table(texts.mapInArrow(_gram_rows(min_words), "th long, key long, lo int, g1 long, g2 long"), "grams")
+    held = (
+        table.groupBy("g1", "g2")
+        .agg(F.min("key").alias("keep"), F.max("key").alias("most"), F.min(place).alias("place"))
+        .where("keep < most")
+        .drop("most")
     )
-    along = Window.partitionBy("key", "th").orderBy("first_word")
-    touches = F.lead("first_word").over(along) == F.col("first_word") + F.col("n_words")
-    hit = write_table(hit.withColumn("pair", F.when(touches, F.xxhash64("digest", F.lead("digest").over(along)))), "shared-chunks")
-    joint = hit.where("pair is not null").groupBy("pair").agg(F.min("key").alias("p"), F.max("key").alias("q")).where("p < q").select("pair", F.lit(1).alias("joint"))
-    fresh = F.coalesce(F.lag("joint").over(along), F.lit(0)) == 0
+    single = table.join(held, ["g1", "g2"]).select("key", "th", "lo", F.col("lo").alias("hi"), "keep", "place")
+    windows = whole.union(single).groupBy("key", "th", "lo", "hi").agg(F.min("keep").alias("keep"), F.min("place").alias("place"))
+    along = Window.partitionBy("key", "th").orderBy("lo")  # bounded by a text
+    before = lambda c: F.lag(c).over(along)
+    follows = (F.col("lo") == before("hi") + 1) & (F.col("place") == before("place") + before("hi") - before("lo") + 1)
     runs = (
-        hit.join(joint, "pair", "left")
-        .withColumn("fresh", fresh.cast("int"))
+        windows.withColumn("fresh", F.when(follows, 0).otherwise(1))
         .withColumn("run", F.sum("fresh").over(along))
         .groupBy("key", "th", "run")
-        .agg(F.min("first_word").alias("first_word"), F.sum("n_words").alias("n_words"), F.min_by("keep", "first_word").alias("keep"))
-        .where(F.col("n_words") >= CORE * min_words)
+        .agg(F.min("lo").alias("first_word"), (F.max("hi") - F.min("lo") + min_words).cast("long").alias("n_words"), F.min("keep").alias("keep"))
     )
     id_of = lambda c: F.when(F.col(c) != null_key, F.col(c)).cast(docs.schema["doc_id"].dataType)
     return runs.select(
@@ -145,9 +213,10 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
 
 
-def _cut(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the words of the spans (first word, number of words)."""
-    gone = {w for first, n in spans for w in range(first, first + n)}
+def _cut(text: str, spans: list[tuple[int, int, bool]]) -> str:
+    """The text without the words of the spans (first word, number of words, kept) that are in no kept one."""
+    of = lambda kept: {w for first, n, k in spans if k == kept for w in range(first, first + n)}
+    gone = of(False) - of(True)
     out, at = [], 0
     for k, m in enumerate(_WORD.finditer(text)):
         if k in gone:
@@ -157,12 +226,16 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The input with every repeated passage cut from ``text`` but for the document that keeps it."""
+    """The input with every repeated passage cut from ``text`` but for the document that keeps it.
+
+    Words that a document shares between a passage it keeps and another one stay.
+    """
     spans = (
         find_repeats(docs, min_words)
-        .where(~F.col("kept"))
         .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-        .agg(F.collect_list(F.struct("first_word", "n_words")).alias("_spans"))
+        .agg(F.collect_list(F.struct("first_word", "n_words", "kept")).alias("_spans"), F.bool_and("kept").alias("_all"))
+        .where(~F.col("_all"))
+        .drop("_all")
     )
     cut = F.udf(lambda t, s: _cut(t or "", [tuple(x) for x in s or ()]), "string", useArrow=True)
     at = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(clean_text("text")) == F.col("_th"))

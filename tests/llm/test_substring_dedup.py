@@ -78,3 +78,27 @@ def test_matches_brute_force_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     got = {r.doc_id for r in find_repeats(docs).collect()}
     assert shared_runs(rows, 60) <= got <= shared_runs(rows, 16)
+
+
+def real_rows(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    return docs, {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_keeper_holds_the_passage_and_each_passage_survives_the_cut(spark):
+    docs, texts = real_rows(spark)
+    flat = lambda t: " " + " ".join(t.lower().split()) + " "
+    found = find_repeats(docs).collect()
+    held = {k: flat(t) for k, t in texts.items()}
+    runs = [(r, flat(" ".join(texts[r.doc_id].split()[r.first_word : r.first_word + r.n_words]))) for r in found]
+    assert runs and all(run in held[r.keep_id] and r.keep_id <= r.doc_id for r, run in runs)
+    after = {r.doc_id: flat(r.text or "") for r in drop_repeats(docs).collect()}
+    assert all(run in after[r.keep_id] for r, run in runs)
+
+
+def test_overlapping_passages_of_two_keepers_survive(spark):
+    rng = random.Random(11)
+    a, b, c = words(rng, 40), words(rng, 40), words(rng, 40)
+    rows = [(1, " ".join(b + c), "", ""), (2, " ".join(a + b + c), "", ""), (3, " ".join(words(rng, 9) + a + b), "", "")]
+    after = {r.doc_id: r.text for r in drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert after[1] == rows[0][1] and " ".join(a + b) in after[2] and len(after[3].split()) == 9
