@@ -102,3 +102,18 @@ def test_overlapping_passages_of_two_keepers_survive(spark):
     rows = [(1, " ".join(b + c), "", ""), (2, " ".join(a + b + c), "", ""), (3, " ".join(words(rng, 9) + a + b), "", "")]
     after = {r.doc_id: r.text for r in drop_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert after[1] == rows[0][1] and " ".join(a + b) in after[2] and len(after[3].split()) == 9
+
+
+def test_fifty_words_are_found_exactly_and_fewer_are_not(spark):
+    docs, texts = real_rows(spark)
+    assert {r.doc_id for r in find_repeats(docs).collect()} == shared_runs(texts.items(), 50)
+    rng = random.Random(13)
+    common = [w for t in texts.values() for w in t.lower().split()][:50_000]
+    rows, want = [], {}
+    for k in range(150):
+        n = (49, 50, 51)[k % 3]
+        p = rng.choices(common, k=n)
+        rows += [(2 * k, " ".join([f"a{k}", *p, f"b{k}"]), "", ""), (2 * k + 1, " ".join([f"c{k}", f"d{k}", *p, f"e{k}"]), "", "")]
+        if n > 49:
+            want |= {2 * k: (1, n), 2 * k + 1: (2, n)}
+    assert {r.doc_id: (r.first_word, r.n_words) for r in find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == want
