@@ -5,7 +5,7 @@ positions of the phrase and notice templates (a fixed table, broadcast). A hit
 votes for the diagonal ``word position - template position``. Votes are summed
 per (document, template, diagonal); neighbouring diagonals are merged, which
 bridges inserted or missing words; and merged spans are verified against the
-template's length and coverage. 3-gram words are compared themselves in the
+template's length, coverage and deciding words. 3-gram words are compared themselves in the
 join, so a hash collision cannot vote.
 """
 
@@ -23,20 +23,41 @@ BASE_PHRASES = (
     ("apache-2", "apache license version 2"),
     ("cc-by-nc", "cc by nc"),
 )
-# Notices of well-known licences, lower case, words only.
+# Notices of well-known licences, lower case, words only. Words joined
+# by "_" decide between licences: they must stand side by side in the text.
 NOTICES = (
-    ("apache-2", "licensed under the apache license version 2 0"),
+    ("agpl", "gnu_affero_general public license"),
+    ("apache-2", "licensed under the apache_license version_2_0"),
     ("apache-2", "you may not use this file except in compliance with the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by", "licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "creative commons attribution sharealike license"),
-    ("gpl-2", "under the terms of the gnu general public license version 2"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("lgpl", "gnu lesser general public license"),
-    ("mit", "released under the mit license"),
+    ("cc-by", "licensed under a creative commons_attribution_4_0 international license"),
+    ("cc-by", "licensed under a creative commons_attribution_3_0 unported license"),
+    ("cc-by", "licensed under cc_by_4_0"),
+    ("cc-by-nc", "licensed under a creative commons_attribution_noncommercial_4_0 international license"),
+    ("cc-by-nc", "licensed under a creative commons_attribution_noncommercial_3_0 unported license"),
+    ("cc-by-nc", "licensed under cc_by_nc_4_0"),
+    ("cc-by-nc-nd", "creative commons_attribution_noncommercial_noderivatives license"),
+    ("cc-by-nc-nd", "creative commons_attribution_noncommercial_noderivs license"),
+    ("cc-by-nc-nd", "licensed under cc_by_nc_nd_4_0"),
+    ("cc-by-nc-sa", "creative commons_attribution_noncommercial_sharealike license"),
+    ("cc-by-nc-sa", "licensed under cc_by_nc_sa_4_0"),
+    ("cc-by-nd", "creative commons_attribution_noderivatives license"),
+    ("cc-by-nd", "creative commons_attribution_noderivs license"),
+    ("cc-by-nd", "licensed under cc_by_nd_4_0"),
+    ("cc-by-sa", "creative commons_attribution_sharealike license"),
+    ("cc-by-sa", "licensed under cc_by_sa_4_0"),
+    ("gpl-2", "under the terms of the gnu_general_public license version_2"),
+    ("gpl-2", "licensed under the gnu_general_public license version_2"),
+    ("gpl-2", "under the terms of version_2 of the gnu_general_public license"),
+    ("gpl-2", "under the terms of the gnu_general_public license as published by the free software foundation either version_2 of the license"),
+    ("gpl-3", "under the terms of the gnu_general_public license version_3"),
+    ("gpl-3", "licensed under the gnu_general_public license version_3"),
+    ("gpl-3", "under the terms of version_3 of the gnu_general_public license"),
+    ("gpl-3", "under the terms of the gnu_general_public license as published by the free software foundation either version_3 of the license"),
+    ("lgpl", "gnu_lesser_general public license"),
+    ("mit", "released under the_mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", "subject to the terms of the mozilla_public license v_2_0"),
     ("reserved", "all rights reserved"),
 )
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -46,20 +67,33 @@ def template_grams(spark) -> DataFrame:
     """``tid, exact, label, t_grams, tpos, a, b, c, th``: a row per template 3-gram."""
     rows = []
     for tid, (label, phrase) in enumerate(BASE_PHRASES + NOTICES):
-        w = phrase.split()
+        w = phrase.replace("_", " ").split()
         for p in range(len(w) - GRAM + 1):
             rows.append((tid, tid < len(BASE_PHRASES), label, len(w) - GRAM + 1, p, *w[p : p + GRAM]))
     t = spark.createDataFrame(rows, "tid int, exact boolean, label string, t_grams int, tpos int, a string, b string, c string")
     return t.withColumn("th", F.xxhash64("a", "b", "c"))
 
 
+def deciding(phrase: str) -> list[int]:
+    """For each two words joined by "_": a bit for each 3-gram (by its place in the template) that holds both."""
+    grams = len(phrase.replace("_", " ").split()) - GRAM + 1
+    out, q = [], 0
+    for block in phrase.split():
+        n = block.count("_")
+        out.extend(sum(1 << p for p in range(max(0, k + 2 - GRAM), k + 1) if p < grams) for k in range(q, q + n))
+        q += n + 1
+    return out
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", merge_gap: int = 2, coverage: float = 0.6) -> DataFrame:
     """One row per input row: ``id, n_words, n_base, first_word, last_word, base_labels, labels, score``.
 
     ``n_base`` counts places where a base phrase's words stand consecutively;
     ``labels`` adds the notices found by voting: a merged span counts when it
     holds at least ``coverage`` of the template's 3-grams within the template's
-    length plus ``merge_gap`` words per merge. ``score`` is the best coverage (1 for
+    length plus ``merge_gap`` words per merge, and among them one over each two
+    neighbouring words that decide between licences (a version, "noncommercial"), so
+    that no other word stands there or between them. ``score`` is the best coverage (1 for
     a base phrase, 0 for none). Null and empty texts have no words. Repeated
     rows and null ids are scanned one by one; other columns are ignored.
     """
@@ -74,7 +108,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col("tid").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True))  # a row for each document at least
     )
     diagonals = votes.groupBy("rid", "id", "n_words", "tid", "exact", "label", "t_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi")
+        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen")
     )
     along = Window.partitionBy("rid", "tid").orderBy("diag")
     # A new span begins where a diagonal is no neighbour of the one before, or lies elsewhere in the text.
@@ -87,11 +121,15 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         diagonals.withColumn("starts", step.cast("int"))
         .withColumn("span", F.sum("starts").over(along))
         .groupBy("rid", "id", "n_words", "tid", "exact", "label", "t_grams", "span")
-        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diag").alias("d0"), F.max("diag").alias("d1"))
+        .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diag").alias("d0"), F.max("diag").alias("d1"), F.bit_or("seen").alias("seen"))
     )
     share = F.least(F.col("votes") / F.col("t_grams"), F.lit(1.0))
     fits = (F.col("hi") - F.col("lo") + 1) <= F.col("t_grams") + F.abs(F.col("d1") - F.col("d0"))
-    found = F.when(F.col("exact"), F.col("votes") == F.col("t_grams")).otherwise((share >= coverage) & fits)
+    decided = F.lit(True)
+    for tid, (_, phrase) in enumerate(NOTICES, len(BASE_PHRASES)):
+        for bits in deciding(phrase):
+            decided &= (F.col("tid") != tid) | (F.col("seen").bitwiseAND(F.lit(bits).cast("long")) != 0)
+    found = F.when(F.col("exact"), F.col("votes") == F.col("t_grams")).otherwise((share >= coverage) & fits & decided)
     base = F.col("exact") & found
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")
     return (

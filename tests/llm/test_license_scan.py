@@ -41,3 +41,32 @@ def test_votes_bridge_inserted_words_and_label_notices(spark):
 
 def test_empty_table(spark):
     assert scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_near_misses_get_their_own_licence_or_none(spark):
+    gpl = "you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or any later version"
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    texts = {
+        "This file is licensed under the GNU General Public License version 2": "gpl-2",
+        "This file is licensed under the GNU General Public License version 3": "gpl-3",
+        "licensed under the GNU Lesser General Public License version 3": "lgpl",
+        "licensed under the GNU Affero General Public License version 3": "agpl",
+        "under the terms of version 2 of the GNU General Public License": "gpl-2",
+        gpl.format("", 3): "gpl-3",
+        gpl.format("", 2): "gpl-2",
+        gpl.format("Lesser ", 3): "lgpl",
+        cc.format(""): "cc-by",
+        cc.format("-NonCommercial"): "cc-by-nc",
+        cc.format("-NonCommercial-NoDerivatives"): "cc-by-nc-nd",
+        cc.format("-NonCommercial-ShareAlike"): "cc-by-nc-sa",
+        cc.format("-NoDerivatives"): "cc-by-nd",
+        cc.format("-ShareAlike"): "cc-by-sa",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        "Licensed under the Apache License, Version 1.1": "",
+        "Licensed under the Apache License, Version 2.0": "apache-2",
+        "subject to the terms of the Mozilla Public License, v. 1.1": "",
+        "subject to the terms of the Mozilla Public License, v. 2.0": "mpl-2",
+    }
+    rows = [(k, t, "", "") for k, t in enumerate(texts)]
+    got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[k] for k, t in enumerate(texts)} == texts
