@@ -3,7 +3,8 @@
 Hosts named by allow rules are trusted seeds, hosts named by block rules are
 blocked seeds. Personalised PageRank carries trust along host edges and distrust
 against them (a page that links to a blocked host becomes suspect). A host is
-blocked when its distrust outweighs its trust by ``ratio``.
+blocked when its distrust outweighs its trust by ``ratio`` and by a small part of what
+a blocked seed gets.
 
 Host edges are the absolute links in the page bodies, and optionally the ties
 between a host and the site it belongs to (``a.b.example.com`` and
@@ -12,6 +13,8 @@ between a host and the site it belongs to (``a.b.example.com`` and
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,13 +69,15 @@ def host_edges(pages: DataFrame, site_weight: float) -> DataFrame:
     return links.union(ties).where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != ""))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, rounds: int | None, damping: float, tol: float = 1e-3) -> DataFrame:
     """Personalised PageRank of both kinds at once: ``host, trust, distrust``.
 
     ``edges``: src, dst, weight. ``seeds``: host, trust, distrust (each sums to
     one, or is zero everywhere). Trust follows edges, distrust runs against them.
     Each round is one join on the sending host and one sum on the receiving host;
     the sum combines before it shuffles, and the join's edge side is splittable.
+    Without ``rounds``, rounds go on until four of them move less than ``tol`` of
+    either kind's mass; what is still to move is then of that size.
     """
     both = edges.select(F.lit(0).alias("kind"), F.col("src").alias("frm"), F.col("dst").alias("to"), "weight").union(
         edges.select(F.lit(1), F.col("dst"), F.col("src"), "weight")
@@ -88,22 +93,29 @@ def spread(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float) -> D
         "host-seeds",
     )
     base = start.withColumn("mass", F.col("mass") * (1 - damping))
-    now = start
-    for k in range(rounds):
+    now = last = start
+    for k in itertools.count() if rounds is None else range(rounds):
         moved = now.withColumnRenamed("host", "frm").join(steps, ["kind", "frm"]).select("kind", F.col("to").alias("host"), (F.col("mass") * F.col("p")).alias("mass"))
         now = moved.union(base.select("kind", "host", "mass")).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if k % 2:
+        if rounds is not None and k % 2:
+            now = write_table(now, "host-mass")
+        if rounds is None and k % 4 == 3:
             now = write_table(now, "host-mass")
+            change = now.union(last.select("kind", "host", -F.col("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+            if all(r[1] < tol for r in change.groupBy("kind").agg(F.sum(F.abs("mass"))).collect()):  # two rows
+                break
+            last = now
     side = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0))
     return now.groupBy("host").agg(side(0).alias("trust"), side(1).alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, rounds: int = 6, damping: float = 0.85, ratio: float = 1.0, level: float = 2.0, site_weight: float = 0.1) -> DataFrame:
+def judge_urls(pages: DataFrame, rounds: int | None = None, damping: float = 0.85, ratio: float = 1.0, level: float = 2.0, site_weight: float = 0.1) -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, trust, distrust``.
 
     ``verdict`` is the fitting rule's; without one, a page is blocked when its
-    host's distrust is over ``ratio`` times its trust and over ``level`` times the
-    mean share of a host, else allowed. A null url or
+    host's distrust is over ``ratio`` times its trust plus ``level`` hundredths of the
+    mean share that a blocked seed gets from its own start, else allowed: neither the number
+    of hosts nor that of seeds decides. A null url or
     one without ``://`` has empty host and path, and is allowed. Null html has no
     links. Repeated rows are judged alike, one row each; other columns are
     ignored; an empty table gives an empty result.
@@ -115,12 +127,12 @@ def judge_urls(pages: DataFrame, rounds: int = 6, damping: float = 0.85, ratio:
         .agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("allowed"), F.count(F.when(F.col("ruled") == "block", 1)).alias("blocked")),
         "hosts",
     ).where(F.col("host") != "")
-    sums = hosts.agg(F.sum("allowed"), F.sum("blocked")).first()  # one row
+    sums = hosts.agg(F.sum("allowed"), F.sum("blocked"), F.count_if(F.col("blocked") > 0)).first()  # one row
     seeds = hosts.select("host", (F.col("allowed") / F.lit(float(sums[0] or 1))).alias("trust"), (F.col("blocked") / F.lit(float(sums[1] or 1))).alias("distrust"))
     scores = write_table(spread(write_table(host_edges(parsed, site_weight), "host-edges"), seeds, rounds, damping), "host-scores")
     judged = with_rule(parsed.drop("html")).join(scores, "host", "left")
-    least = level / max(1, hosts.count())
-    bad = (F.col("distrust") > F.lit(ratio) * F.col("trust")) & (F.col("distrust") > F.lit(least))
+    least = level / 100 * (1 - damping) / max(1, sums[2])
+    bad = F.col("distrust") > F.lit(ratio) * F.col("trust") + F.lit(least)
     return judged.select(
         "page_id",
         "host",

@@ -68,3 +68,22 @@ def test_distrust_runs_against_links_and_trust_along(spark):
 
 def test_empty_table(spark):
     assert judge_urls(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_production_settings_block_direct_linkers_whatever_the_number_of_seeds(spark):
+    link = lambda h: f'<a href="https://{h}/x">'
+    for n_seeds, n_plain in ((1, 40), (30, 10)):
+        rows = [(k, f"http://bad{k}.net/", "", "") for k in range(n_seeds)]
+        rows += [(100 + k, f"http://spam{k}.site/", link(f"bad{k}.net"), "") for k in range(n_seeds)]
+        rows += [(200 + k, f"http://plain{k}.site/", link(f"plain{k + 1}.site"), "") for k in range(n_plain)] + [(300, "http://good.org/fr/", link("plain0.site"), "")]
+        got = {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame(rows, SCHEMA)).collect()}
+        assert got == {k: "block" if k < 200 else "allow" for k, *_ in rows}
+
+
+def test_spread_runs_until_it_has_converged(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("b", "c", 1.0), ("c", "b", 1.0)], "src string, dst string, weight double")
+    seeds = spark.createDataFrame([("a", 1.0, 0.0), ("c", 0.0, 1.0)], "host string, trust double, distrust double")
+    p = np.array([[0, 1, 0], [0.5, 0, 0.5], [0, 1, 0]])
+    want = 0.15 * np.linalg.inv(np.eye(3) - 0.85 * p)
+    got = {r.host: (r.trust, r.distrust) for r in spread(edges, seeds, None, 0.85).collect()}
+    assert np.allclose([got[h] for h in "abc"], want[[0, 2]].T, atol=2e-3)
