@@ -8,11 +8,12 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskframe.llm import bpe, decontam, exact_dedup, license_scan, line_dedup, near_dedup, pii, substring_dedup, toxicity, url_filter
+from riskframe.llm import bpe, conv_repair, decontam, exact_dedup, filter_audit, id_records, license_scan, line_dedup, near_dedup, pii, substring_dedup, toxicity, url_filter
 from riskframe.llm.common import load
 
 PII_KEY = "corpus-key-1"
 MIN_SITES = 10
+END_ID = 2
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +59,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.content_sort_dedup(load(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conv_repair.repair_conversations(conv_repair.damaged(load(spark, sf_dir, "conversations")))
+
+
+def op13_id_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = id_records.write_records(load(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=END_ID)
+    return id_records.read_digests(manifest).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": op1_url_filter,
@@ -70,9 +84,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_near_dedup": op9_near_dedup,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_filter_audit": op11_filter_audit,
+        "op12_conversation_repair": op12_conversation_repair,
+        "op13_id_records": op13_id_records,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE, "op9_near_dedup": near_dedup.ORACLE, "op10_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op6_line_dedup": line_dedup.ORACLE,
+        "op9_near_dedup": near_dedup.ORACLE,
+        "op10_exact_dedup": exact_dedup.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+    }
