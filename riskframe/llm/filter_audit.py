@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import ASCII_SPACE, clean_text
+from riskframe.llm.common import ASCII_SPACE, clean_text, write_table
 
 FILTERS = "ABCDE"
 SPACES = " \t\n\x0b\f\r"
@@ -43,16 +43,15 @@ COUNTS = ("n", "good", "toxic")
 def row_masks(text: Column) -> Column:
     """Bits 0 to 3: whether the text fails A, B, C, D."""
     inner = F.btrim(text, F.lit(SPACES))
-    words = F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, ASCII_SPACE))
-    seen = F.struct(F.size(words).alias("n"), F.size(F.array_distinct(words)).alias("d"))
-    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", ""))
-    tests = [
-        seen["n"] < 200,
-        100 * seen["d"].cast("long") < 50 * seen["n"].cast("long"),
-        100 * capitals.cast("long") > 3 * F.length(text).cast("long"),
-        text.rlike("[#$%&*|]"),
-    ]
-    return sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0))
+    bit = lambda test, i: F.when(test, 1 << i).otherwise(0)
+    # The lambda's variable makes sure that the words are cut once.
+    of_words = F.transform(
+        F.array(F.split(inner, ASCII_SPACE)),
+        lambda w: bit(F.size(w) < 200, 0) + bit(100 * F.size(F.array_distinct(w)).cast("long") < 50 * F.size(w).cast("long"), 1),
+    )
+    capitals = F.length(F.regexp_replace(text, "[^A-Z]+", "")).cast("long")
+    by_words = F.when(inner == "", 1).otherwise(F.element_at(of_words, 1))  # no words: under 200, and no half of them
+    return by_words + bit(100 * capitals > 3 * F.length(text).cast("long"), 2) + bit(text.rlike("[#$%&*|]"), 3)
 
 
 def document_masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -83,6 +82,7 @@ def document_masks(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
         F.min(F.when(F.col("id").isNotNull(), F.struct("id", "n")))["n"].alias("n_least"),
         F.sum(F.when(F.col("id").isNull(), F.col("n")).otherwise(0)).alias("n_null"),
     )
+    groups = write_table(groups, "audit-groups")  # read twice; the texts are read once
     first = groups.groupBy("digest").agg(F.min("least").alias("first"))
     groups = groups.join(first, "digest")  # one row per text, part and labels on the left
     safe = F.col("n_null") + F.when(F.col("least") == F.col("first"), F.col("n_least")).otherwise(0)
