@@ -297,7 +297,8 @@ def read_index(manifest: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return blocks.repartition("file", "at").mapInArrow(run, INDEX)
+    # A given number of tasks: these rows are few bytes but much work, which adaptive execution can't know.
+    return blocks.repartition(shuffle_partitions(manifest.sparkSession), "file", "at").mapInArrow(run, INDEX)
 
 
 def _payloads(batch: pa.RecordBatch, opened: dict) -> Iterator[np.ndarray]:
