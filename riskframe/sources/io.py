@@ -9,6 +9,7 @@ types, and the metadata restores the feature lists.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def write_text_atomically(spark: SparkSession, path: str, text: str) -> None:
+    """The file appears whole or not at all: written beside its place, then renamed. Its folder must be this writer's own."""
+    fs, p = _file(spark, path)
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    write_text(spark, tmp, text)
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(tmp), p):
+        remove_path(spark, tmp)
+        raise FileExistsError(path)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _file(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)]
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
 
