@@ -519,40 +519,20 @@ class WOE:
 
 def fit_woe(
     df: DataFrame, col: str, target: str = TARGET, q: int = 10, style: str = "good_bad",
-    split: str = SPLIT, accuracy: int | None = None, edges: list[float] | None = None,
+    split: str = SPLIT, accuracy: int | None = None,
 ) -> WOE:
-    """E8/E9 weight of evidence over train-only quantile bins.
+    """E8/E9 weight of evidence of one column, see ``fit_woe_multi``."""
+    return fit_woe_multi(df, [col], target, q, style, split, accuracy)[col]
 
-    ``good_bad``: ln(((g+.5)/(G+.5)) / ((b+.5)/(B+.5))); needs >= 2 bins.
-    ``bad_good``: ln(((b+.5)/(B+1)) / ((g+.5)/(G+1))); one bin is enough.
-    The bin table has at most ``q`` rows, so it is collected and applied as a
-    literal array — no join.
-    """
-    if style not in ("good_bad", "bad_good"):
-        raise ValueError(style)
-    train_cond = _is_train(split)
-    if edges is None:
-        n_train = df.filter(train_cond).count() if style == "bad_good" else q
-        q_eff = max(1, min(q, n_train))
-        edges = fit_quantile_edges(df, col, q_eff, where=train_cond, accuracy=accuracy)
-    if len(edges) < (3 if style == "good_bad" else 2):
-        return WOE(edges, [])
-    x = F.col(col).cast("double")
-    rows = (
-        df.filter(train_cond)
-        .select(bin_index(x, edges).alias("b"), _dbl(target).alias("y"))
-        .filter(F.col("b").isNotNull())
-        .groupBy("b")
-        .agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
-        .collect()
-    )
-    stats = {r["b"]: (float(r["bad"]), float(r["n"] - r["bad"])) for r in rows}
-    bad_total = sum(v[0] for v in stats.values())
-    good_total = sum(v[1] for v in stats.values())
+
+def _woe_weights(style: str, bins: int, stats: dict[int, tuple[float, float]]) -> list[float]:
+    """A weight per bin from its (bad, good) counts."""
     import math
 
+    bad_total = sum(v[0] for v in stats.values())
+    good_total = sum(v[1] for v in stats.values())
     weights = []
-    for b in range(len(edges) - 1):
+    for b in range(bins):
         bad, good = stats.get(b, (0.0, 0.0))
         if b not in stats and style == "good_bad":
             weights.append(0.0)  # an empty bin is never looked up in this style
@@ -562,7 +542,7 @@ def fit_woe(
         else:
             v = math.log(((bad + 0.5) / (bad_total + 1.0)) / ((good + 0.5) / (good_total + 1.0)))
         weights.append(v if math.isfinite(v) else 0.0)
-    return WOE(edges, weights)
+    return weights
 
 
 def apply_woe(df: DataFrame, model: WOE, col: str, out: str | None = None) -> DataFrame:
@@ -580,15 +560,30 @@ def woe_encode(df, col, target=TARGET, q=10, style="good_bad", out=None, split=S
 
 def fit_woe_multi(df: DataFrame, cols: list[str], target: str = TARGET, q: int = 10, style: str = "good_bad",
                   split: str = SPLIT, accuracy: int | None = None) -> dict[str, WOE]:
-    """WOE models of several columns: one ranking pass for all train edges.
+    """E8/E9 weight of evidence over train-only quantile bins, all columns in one ranking pass and one aggregate.
 
-    (The bad/good style caps the bin count at the train row count.)"""
+    ``good_bad``: ln(((g+.5)/(G+.5)) / ((b+.5)/(B+.5))); needs >= 2 bins.
+    ``bad_good``: ln(((b+.5)/(B+1)) / ((g+.5)/(G+1))); one bin is enough, and the
+    train row count caps the bins. Rows are unpivoted to (column, bin) and counted
+    before the shuffle; at most ``q`` rows a column reach the driver, which the
+    encoders apply as literal arrays, without a join.
+    """
+    if style not in ("good_bad", "bad_good"):
+        raise ValueError(style)
     train_cond = _is_train(split)
     q_eff = q
     if style == "bad_good":
         q_eff = max(1, min(q, df.filter(train_cond).count()))
     edges = fit_quantile_edges_multi(df, cols, q_eff, where=train_cond, accuracy=accuracy)
-    return {c: fit_woe(df, c, target, q, style, split, accuracy, edges=edges[c]) for c in cols}
+    usable = [c for c in cols if len(edges[c]) >= (3 if style == "good_bad" else 2)]
+    stats: dict[str, dict[int, tuple[float, float]]] = {c: {} for c in usable}
+    if usable:
+        cells = F.array(*[F.struct(F.lit(c).alias("c"), bin_index(F.col(c).cast("double"), edges[c]).alias("b")) for c in usable])
+        rows = df.filter(train_cond).select(_dbl(target).alias("y"), F.explode(cells).alias("cell")).filter(F.col("cell.b").isNotNull())
+        counted = rows.groupBy("cell.c", "cell.b").agg(F.sum("y").alias("bad"), F.count(F.lit(1)).alias("n"))
+        for r in counted.collect():  # a row per column and bin
+            stats[r["c"]][r["b"]] = (float(r["bad"]), float(r["n"] - r["bad"]))
+    return {c: WOE(edges[c], _woe_weights(style, len(edges[c]) - 1, stats[c]) if c in stats else []) for c in cols}
 
 
 # --------------------------------------------------------------------------

@@ -53,8 +53,9 @@ def q_woe_summary(spark, sf_dir):
     """A2 health and single-column AUC of the WOE columns on train rows."""
     base = feature_base(spark, sf_dir, crosses=False).select("id", "is_train", "isDefault", *WOE_V3_COLS)
     df = base
+    models = encode.fit_woe_multi(base, WOE_V3_COLS, q=10, style="bad_good")
     for c in WOE_V3_COLS:
-        df = encode.apply_woe(df, encode.fit_woe(base, c, q=10, style="bad_good"), c)
+        df = encode.apply_woe(df, models[c], c)
     train = df.filter("is_train = 1")
     s = audit.woe_summary(train, "isDefault", [f"woe_{c}" for c in WOE_V3_COLS])
     return s.select("col", rnd("nan_ratio").alias("nan_ratio"), "n_inf", rnd("mean").alias("mean"),

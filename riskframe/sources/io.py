@@ -8,6 +8,7 @@ types, and the metadata restores the feature lists.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 
@@ -116,16 +117,91 @@ def typed_reload(df: DataFrame, meta: dict) -> DataFrame:
     ])
 
 
-def cache_or_build(spark: SparkSession, path: str, build):
-    """S6/S7 read the feature table, or build and write it if it is missing or
-    incomplete; any other failure is raised, not overwritten. ``build()`` returns a
-    ``FeatureTable``. Returns (status, tuple)."""
+def input_files(spark: SparkSession, paths: list[str]) -> list[list]:
+    """Every data file under the paths: [path, bytes, modification time], by path."""
+    out = []
+    for path in paths:
+        fs, p = _file(spark, path)
+        files = fs.listFiles(p, True)  # FileNotFoundException if there is none
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith(("_", ".")):
+                out.append([f.getPath().toString(), f.getLen(), f.getModificationTime()])
+    return sorted(out)
+
+
+def cache_key(files: list[list], settings) -> str:
+    """What a cached table depends on: its input files and the settings it is built with."""
+    told = json.dumps({"files": files, "settings": settings}, sort_keys=True, default=str)
+    return hashlib.sha256(told.encode()).hexdigest()[:32]
+
+
+def _schema_hash(df: DataFrame) -> str:
+    return hashlib.sha256(",".join(sorted(f"{n}:{t}" for n, t in df.dtypes)).encode()).hexdigest()
+
+
+def cache_or_build(spark: SparkSession, path: str, build, inputs: list[str] | None = None, settings=None):
+    """S6/S7 the feature table for these input files and settings: read, or built and kept.
+
+    Each build goes to a folder of its own under ``tables/``. Its manifest
+    (``manifests/<key>.json``: input files with size and time, settings, schema
+    hash, folder) is written last, by a rename, so a half-written table is never
+    read. Changed inputs or settings are another key and get another table. Of two
+    writers of one key both tables are whole, and both read the one whose manifest is
+    there in the end. A manifest whose table is gone or has another schema is
+    built anew; an unreadable one is an error. ``build()`` returns a
+    ``FeatureTable``; ``inputs`` are folders or files; ``settings`` is anything JSON
+    can tell. Returns (status, tuple).
+    """
+    files = input_files(spark, inputs or [])
+    manifest = _join(path, "manifests", f"{cache_key(files, settings)}.json")
+    if path_exists(spark, manifest):
+        told = json.loads(read_text(spark, manifest))
+        if (table := _cached(spark, path, told)) is not None:
+            return {"ok": True, "built": False}, table
+        remove_path(spark, manifest)
+    ft = build()
+    folder = uuid.uuid4().hex
+    own = _join(path, "tables", folder)
+    write_feature_table(ft.df, own, ft.features, ft.cat_features, ft.meta)
+    told = {"folder": folder, "files": files, "settings": settings, "schema": _schema_hash(spark.read.parquet(_join(own, DATA)))}
+    _file(spark, manifest)[0].mkdirs(_file(spark, _join(path, "manifests"))[1])
+    if not path_exists(spark, manifest):
+        try:
+            write_text_atomically(spark, manifest, json.dumps(told, default=str))
+        except FileExistsError:
+            pass  # another writer was first; its table is as good
+    told = json.loads(read_text(spark, manifest))
+    if told["folder"] != folder:
+        remove_path(spark, own)
+    return {"ok": True, "built": True}, load_feature_table(spark, _join(path, "tables", told["folder"]))
+
+
+def _cached(spark: SparkSession, path: str, told: dict):
     try:
-        return {"ok": True, "built": False}, load_feature_table(spark, path)
+        table = load_feature_table(spark, _join(path, "tables", told["folder"]))
     except FileNotFoundError:
-        ft = build()
-        write_feature_table(ft.df, path, ft.features, ft.cat_features, ft.meta)
-        return {"ok": True, "built": True}, load_feature_table(spark, path)
+        return None
+    whole = spark.read.parquet(_join(path, "tables", told["folder"], DATA))
+    return table if _schema_hash(whole) == told["schema"] else None
+
+
+def prune_cache(spark: SparkSession, path: str, keep: list[str]) -> list[str]:
+    """Delete the cached tables whose key isn't in ``keep``, manifests first; the deleted keys. No writer may be at work."""
+    names = list_names(spark, _join(path, "manifests")) if path_exists(spark, _join(path, "manifests")) else []
+    held, gone = set(), []
+    for name in sorted(n for n in names if n.endswith(".json")):
+        key, manifest = name.removesuffix(".json"), _join(path, "manifests", name)
+        if key in keep:
+            held.add(json.loads(read_text(spark, manifest))["folder"])
+        else:
+            remove_path(spark, manifest)
+            gone.append(key)
+    if path_exists(spark, _join(path, "tables")):
+        for folder in list_names(spark, _join(path, "tables")):
+            if folder not in held:
+                remove_path(spark, _join(path, "tables", folder))
+    return gone
 
 
 def require_columns(df: DataFrame, cols: list[str]) -> None:

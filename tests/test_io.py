@@ -81,12 +81,75 @@ def test_saved_fold_models_rescore(spark):
     assert all(abs(again[i] - first[i]) < 1e-9 for i in first)
 
 
-def test_cache_rebuilds_only_what_is_missing(spark):
+def _table(spark, value):
+    from riskframe.plans.features import FeatureTable
+
+    df = spark.createDataFrame([(1, 1, 0, float(value)), (2, 0, None, 3.0)], "id long, is_train int, isDefault int, x double")
+    return FeatureTable(df, ["x"], [], {})
+
+
+def _cache(spark, path, value, inputs=None, settings=None):
+    built = []
+
+    def build():
+        built.append(value)
+        return _table(spark, value)
+
+    status, (train, *_) = io.cache_or_build(spark, path, build, inputs, settings)
+    assert status["built"] == bool(built)
+    return train.first()["x"]
+
+
+def test_cache_follows_input_files_and_settings(spark):
+    path, data = _tmp(spark), _tmp(spark)
+    spark.range(5).write.parquet(data + "/in")
+    assert _cache(spark, path, 1, [data], {"v": "v1"}) == 1
+    assert _cache(spark, path, 2, [data], {"v": "v1"}) == 1  # nothing has changed
+    assert _cache(spark, path, 3, [data], {"v": "v3"}) == 3  # other settings
+    spark.range(3).write.mode("append").parquet(data + "/in")
+    assert _cache(spark, path, 4, [data], {"v": "v1"}) == 4  # a file more
+    assert _cache(spark, path, 5, [data], {"v": "v1"}) == 4
+    with pytest.raises(Exception, match="FileNotFound|does not exist"):
+        _cache(spark, path, 6, [data + "/none"])
+    now = io.cache_key(io.input_files(spark, [data]), {"v": "v1"})
+    assert len(io.prune_cache(spark, path, [now])) == 2
+    assert len(io.list_names(spark, path + "/tables")) == 1 and _cache(spark, path, 7, [data], {"v": "v1"}) == 4
+
+
+def test_cache_crash_before_commit_and_damage(spark, monkeypatch):
     path = _tmp(spark)
-    io.write_text(spark, path + "/meta.json", "{broken")
-    spark.createDataFrame([(1, 1)], "a int, is_train int").write.partitionBy("is_train").parquet(path + "/data")
-    with pytest.raises(ValueError):  # an unreadable table is an error, not a reason to overwrite it
-        io.cache_or_build(spark, path, lambda: None)
+    with monkeypatch.context() as m:
+        m.setattr(io, "write_text_atomically", lambda *a: (_ for _ in ()).throw(OSError("crash")))
+        with pytest.raises(OSError):
+            _cache(spark, path, 1)
+    assert len(io.list_names(spark, path + "/tables")) == 1  # whole or not: without a manifest nobody reads it
+    assert _cache(spark, path, 2) == 2
+    manifest = f"{path}/manifests/{io.cache_key([], None)}.json"
+    folder = io.json.loads(io.read_text(spark, manifest))["folder"]
+    io.remove_path(spark, f"{path}/tables/{folder}/meta.json")
+    assert _cache(spark, path, 3) == 3  # the table isn't whole any more
+    folder = io.json.loads(io.read_text(spark, manifest))["folder"]
+    io.remove_path(spark, f"{path}/tables/{folder}/data")
+    spark.createDataFrame([(1, 1)], "id int, is_train int").write.partitionBy("is_train").parquet(f"{path}/tables/{folder}/data")
+    assert _cache(spark, path, 4) == 4  # another schema than written
+    io.remove_path(spark, manifest)
+    io.write_text(spark, manifest, "{broken")
+    with pytest.raises(ValueError):  # an unreadable manifest is an error, not a reason to overwrite
+        _cache(spark, path, 5)
+
+
+def test_cache_two_writers(spark):
+    path, inner = _tmp(spark), []
+
+    def build():  # another writer comes through while this one builds
+        if not inner:
+            inner.append(None)
+            inner.append(io.cache_or_build(spark, path, lambda: _table(spark, 1))[1][0].first()["x"])
+        return _table(spark, 2)
+
+    _, (train, *_) = io.cache_or_build(spark, path, build)
+    assert inner[1] == 1 and train.first()["x"] == 1 and _cache(spark, path, 3) == 1
+    assert len(io.list_names(spark, path + "/tables")) == 1
 
 
 def test_file_uri_roots(spark):
