@@ -103,6 +103,16 @@ def q_weight_refined(spark, sf_dir):
     return out.withColumn("auc", rnd("auc"))
 
 
+@query("blend_weight_gradient")
+def q_weight_gradient(spark, sf_dir):
+    """B6 continuous weights by descent on a smooth pair loss from the best grid vector, round by round."""
+    w = aligned(spark, sf_dir)
+    best = blend.grid_auc(w, RUNS, blend.simplex_grid(len(RUNS), GRID_STEPS)).orderBy(F.desc_nulls_last("auc"), "vec").first()
+    rows = [(k, *ws, a) for k, ws, a in blend.gradient_weights(w, RUNS, tuple(best[f"w_{r}"] for r in RUNS))]
+    out = spark.createDataFrame(rows, "round int, " + ", ".join(f"w_{r} double" for r in RUNS) + ", auc double")
+    return out.select("round", *[rnd(f"w_{r}").alias(f"w_{r}") for r in RUNS], rnd("auc").alias("auc"))
+
+
 @query("stack_ridge")
 def q_stack_ridge(spark, sf_dir):
     """B5 ridge stacking (alpha 2) out-of-fold over stratified folds."""
