@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text
+from riskframe.llm.common import clean_text, fresh
 
 ROUNDS = 8
 # Formats, tried at each place from left to right. Groups are not captured.
@@ -28,9 +28,10 @@ IPV4 = "\\d{1,3}(?:\\.\\d{1,3}){3}"
 DATE = "\\d{4}-\\d{2}-\\d{2}|\\d{2}\\.\\d{2}\\.\\d{4}|\\d{2}/\\d{2}/\\d{4}"
 EMAIL = "[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,24}"
 EDGE_L, EDGE_R = "(?<![\\w.@+-])", "(?![\\w@]|[.-]\\w)"
-ANY = f"{EDGE_L}(?:{IBAN}|{CARD}|{PHONE}|{SSN}|{IPV4}|{DATE}|{EMAIL}){EDGE_R}"
-FIRST_YEAR, YEARS = 1900, 200
-LEAP_YEARS = 49  # 1904, 1908, ... 2096
+STAMP = "\\d{4}-\\d{2}-\\d{2}(?=T\\d)"  # the date of a time stamp; its time stays
+ANY = f"{EDGE_L}(?:(?:{IBAN}|{CARD}|{PHONE}|{SSN}|{IPV4}|{DATE}|{EMAIL}){EDGE_R}|{STAMP})"
+# The 73,049 days from 1900-01-01 to 2099-12-31 are 17 x 4297: two halves hold exactly the days, leap days like others.
+FIRST_DAY, DAYS, DAYS_A, DAYS_B = "1900-01-01", 73_049, 17, 4297
 
 
 def _digits(s: Column) -> Column:
@@ -66,7 +67,7 @@ def _date_of(s: Column) -> Column:
     dot = F.when(s.contains("."), F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 4, 2), F.substring(s, 1, 2)))
     slash = F.concat_ws("-", F.substring(s, 7, 4), F.substring(s, 1, 2), F.substring(s, 4, 2))
     day = F.coalesce(iso, dot, slash).try_cast("date")
-    return F.when((F.year(day) >= FIRST_YEAR) & (F.year(day) < FIRST_YEAR + YEARS), day)
+    return F.when(F.date_diff(day, F.lit(FIRST_DAY).cast("date")).between(0, DAYS - 1), day)
 
 
 def _state(kind: str, a: Column, ma, b: Column, mb, keep: Column | None = None) -> Column:
@@ -92,8 +93,7 @@ def read(s: Column) -> Column:
     area, group, serial = _num(F.substring(d, 1, 3)), _num(F.substring(d, 4, 2)), _num(F.substring(d, 6, 4))
     ssn_ok = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     day = _date_of(s)
-    leap_day = (F.month(day) == 2) & (F.dayofmonth(day) == 29)
-    of_year = F.dayofyear(day) - 1 - F.when((F.dayofyear(F.last_day(F.make_date(F.year(day), F.lit(12), F.lit(1)))) == 366) & (F.month(day) > 2), 1).otherwise(0)
+    nth = F.date_diff(day, F.lit(FIRST_DAY).cast("date"))
     bban = F.substr(d, F.lit(3))
     luhn_ok = (luhn_sum(d) % 10 == 0) & ~s.rlike("^0+$")
     return (
@@ -107,9 +107,7 @@ def read(s: Column) -> Column:
         .when(s.rlike(f"^(?:{IPV4})$"), F.when(ip_ok, _state("ip", octet(1) * 256 + octet(2), 65_536, octet(3) * 256 + octet(4), 65_536)))
         .when(
             s.rlike(f"^(?:{DATE})$"),
-            F.when(leap_day, _state("leap", (F.year(day) - 1904) / 4, LEAP_YEARS, F.lit(0), 1)).when(
-                day.isNotNull(), _state("date", F.year(day) - FIRST_YEAR, YEARS, of_year, 365)
-            ),
+            F.when(day.isNotNull(), _state("date", F.floor(nth / DAYS_B), DAYS_A, nth % DAYS_B, DAYS_B)),
         )
         .when(s.contains("@"), _state("email", F.lit(0), 1, F.lit(0), 1, s))
     )
@@ -150,11 +148,10 @@ def write(s: Column, old: Column, key: str) -> Column:
     area = s["a"] + F.when(s["a"] + 1 >= 666, 2).otherwise(1)
     ssn = F.concat(_pad(area, F.lit(3)), _pad((s["b"] / 9999).cast("bigint") + 1, F.lit(2)), _pad(s["b"] % 9999 + 1, F.lit(4)))
     ip = F.concat_ws(".", (s["a"] / 256).cast("bigint"), s["a"] % 256, (s["b"] / 256).cast("bigint"), s["b"] % 256)
-    # 1901 has no leap day: its n-th day names the month and the day of any common date.
-    ordinary = F.date_add(F.lit("1901-01-01").cast("date"), s["b"].cast("int"))
-    leap = s["kind"] == "leap"
-    yyyy = _pad(F.when(leap, s["a"] * 4 + 1904).otherwise(s["a"] + FIRST_YEAR), F.lit(4))
-    mm, dd = F.when(leap, F.lit("02")).otherwise(F.date_format(ordinary, "MM")), F.when(leap, F.lit("29")).otherwise(F.date_format(ordinary, "dd"))
+    # Clipped, since other kinds' halves are far greater than any day.
+    nth = F.least(s["a"] * DAYS_B + s["b"], F.lit(DAYS - 1)).cast("int")
+    day = F.date_add(F.lit(FIRST_DAY).cast("date"), nth)
+    yyyy, mm, dd = (F.date_format(day, f) for f in ("yyyy", "MM", "dd"))
     date = (
         F.when(old.rlike("^\\d{4}-"), F.concat_ws("-", yyyy, mm, dd)).when(old.contains("."), F.concat_ws(".", dd, mm, yyyy)).otherwise(F.concat_ws("/", mm, dd, yyyy))
     )
@@ -167,7 +164,7 @@ def write(s: Column, old: Column, key: str) -> Column:
         .when(s["kind"] == "phone", _refill(old, F.concat(F.lit("1"), plain)))
         .when(s["kind"] == "ssn", _refill(old, ssn))
         .when(s["kind"] == "ip", ip)
-        .when(s["kind"].isin("date", "leap"), date)
+        .when(s["kind"] == "date", date)
         .when(s["kind"] == "email", F.when(user.isNotNull(), email))
         .otherwise(old)
     )
@@ -189,12 +186,13 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame
     for r in range(ROUNDS):
         states = F.transform(states, _step(key, r))
     new = F.zip_with(hits, states, lambda old, s: F.struct(s["kind"].alias("kind"), old.alias("old"), F.coalesce(F.when(s.isNotNull(), write(s, old, key)), old).alias("new")))
-    out = docs.withColumn("_pii_text", text).withColumn("_pii", F.when(F.col("_pii_text").rlike("[0-9@]"), new).otherwise(F.expr("array()").cast("array<struct<kind:string,old:string,new:string>>")))
-    between = F.split(F.col("_pii_text"), ANY, -1)
-    joined = F.array_join(F.zip_with(between, "_pii", lambda s, f: F.concat(s, F.coalesce(f["new"], F.lit("")))), "")
+    own_text, own = fresh(docs, "_pii_text", "_pii")
+    out = docs.withColumn(own_text, text).withColumn(own, F.when(F.col(own_text).rlike("[0-9@]"), new).otherwise(F.expr("array()").cast("array<struct<kind:string,old:string,new:string>>")))
+    between = F.split(F.col(own_text), ANY, -1)
+    joined = F.array_join(F.zip_with(between, own, lambda s, f: F.concat(s, F.coalesce(f["new"], F.lit("")))), "")
     return (
-        out.withColumn(text_col, F.when(F.size("_pii") > 0, joined).otherwise(F.col("_pii_text")))
-        .withColumn("found", F.filter("_pii", lambda f: f["kind"].isNotNull()))
+        out.withColumn(text_col, F.when(F.size(own) > 0, joined).otherwise(F.col(own_text)))
+        .withColumn("found", F.filter(own, lambda f: f["kind"].isNotNull()))
         .withColumn("n_found", F.size("found"))
-        .drop("_pii", "_pii_text")
+        .drop(own, own_text)
     )

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from riskframe.llm import bpe, conv_repair, decontam, exact_dedup, filter_audit, id_records, license_scan, line_dedup, near_dedup, pii, substring_dedup, toxicity, url_filter
 from riskframe.llm.common import load
 
-PII_KEY = "corpus-key-1"
+# The key of the pseudonyms is the session's; the default is for tests.
+PII_KEY_CONF, PII_TEST_KEY = "spark.riskframe.pii.key", "corpus-key-1"
 MIN_SITES = 10
 END_ID = 2
 
@@ -34,7 +35,7 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, PII_KEY).drop("found")
+    return pii.pseudonymise(docs, spark.conf.get(PII_KEY_CONF, PII_TEST_KEY)).drop("found")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import datetime
+import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from riskframe.llm.pii import pseudonymise
 
 SCHEMA = "doc_id long, text string, n_found int, kind string"
@@ -70,3 +73,63 @@ def test_key_changes_pseudonyms_and_other_columns_stay(spark):
 
 def test_empty_table(spark):
     assert pseudonymise(spark.createDataFrame([], SCHEMA), "k").collect() == []
+
+
+def feistel(key, kind, a, ma, b, mb):
+    """The rounds, one value at a time."""
+    h = lambda r, half: int(hashlib.sha256(f"{key}|{r}|{kind}|{half}".encode()).hexdigest()[:13], 16)
+    for r in range(8):
+        if r % 2:
+            b = (b + h(r, a)) % mb
+        else:
+            a = (a + h(r, b)) % ma
+    return a, b
+
+
+def test_equals_rounds_by_hand(spark):
+    rng = random.Random(9)
+    start = datetime.date(1900, 1, 1)
+    day = lambda n: start + datetime.timedelta(days=n)
+    texts, want = [], []
+    for n in [0, 59, 73_048, *(rng.randrange(73_049) for _ in range(60))]:
+        a, b = feistel("k", "date", n // 4297, 17, n % 4297, 4297)
+        shape = rng.choice(["%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y"])
+        write = lambda d, shape=shape: d.strftime(shape).replace(d.strftime("%Y"), f"{d.year:04d}")
+        texts.append(write(day(n)))
+        want.append(write(day(a * 4297 + b)))
+    for _ in range(40):
+        o = [rng.randrange(256) for _ in range(4)]
+        a, b = feistel("k", "ip", o[0] * 256 + o[1], 65536, o[2] * 256 + o[3], 65536)
+        texts.append(".".join(map(str, o)))
+        want.append(f"{a // 256}.{a % 256}.{b // 256}.{b % 256}")
+        c = card(rng)
+        a, b = feistel("k", "card", int(c[1:8]), 10**7, int(c[8:15]), 10**7)
+        body = f"{c[0]}{a:07d}{b:07d}"
+        texts.append(c)
+        want.append(next(body + x for x in "0123456789" if luhn(body + x)))
+        p = rng.randrange(10**10)
+        a, b = feistel("k", "phone", p // 10**5, 10**5, p % 10**5, 10**5)
+        tell = lambda n: f"+1 ({n // 10**7:03d}) {n // 10**4 % 1000:03d}-{n % 10**4:04d}"
+        texts.append(tell(p))
+        want.append(tell(a * 10**5 + b))
+        area, group, serial = rng.choice([1, 665, 667, 899]), rng.randrange(1, 100), rng.randrange(1, 10000)
+        a, b = feistel("k", "ssn", area - (2 if area > 666 else 1), 898, (group - 1) * 9999 + serial - 1, 99 * 9999)
+        texts.append(f"{area:03d}-{group:02d}-{serial:04d}")
+        want.append(f"{a + (2 if a + 1 >= 666 else 1):03d}-{b // 9999 + 1:02d}-{b % 9999 + 1:04d}")
+    got = run(spark, texts)
+    assert [got[k].text for k in range(len(texts))] == want
+
+
+def test_every_day_is_permuted_and_leap_days_leak_nothing(spark):
+    days = spark.range(73_049).select(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
+    new = pseudonymise(days, "k").select("text", F.col("found")[0]["old"].alias("old"))
+    assert new.where("to_date(text) between '1900-01-01' and '2099-12-31'").select("text").distinct().count() == 73_049
+    leap = {r.old: r.text for r in new.where("old like '%-02-29'").collect()}
+    moves = {(datetime.date.fromisoformat(b) - datetime.date.fromisoformat(a)).days for a, b in leap.items()}
+    assert len(leap) == 49 and len(moves) > 40 and sum(b.endswith("-02-29") for b in leap.values()) < 5
+
+
+def test_dates_of_time_stamps(spark):
+    got = run(spark, ["at 2020-01-05T12:00:00Z.", "2020-01-05 12:00", "x2020-01-05T12", "2020-01-05Tea"])
+    assert got[0].text == f"at {got[1].text[:10]}T12:00:00Z." and got[0].n_found == 1 and got[1].text[:10] != "2020-01-05"
+    assert got[2].text == "x2020-01-05T12" and got[3].text == "2020-01-05Tea"
