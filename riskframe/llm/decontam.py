@@ -7,7 +7,8 @@ automaton; every hit names a window of the document in which the item may stand,
 and Myers' bit-parallel algorithm gives the least edit distance in the window.
 
 Both sides are compared as lower-case words with single spaces, so punctuation,
-case and layout cost no edits.
+case and layout cost no edits. A short item has no budget: it is its own single
+piece and must stand between word bounds.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from riskframe.llm.common import Shared, latest, small_batches
 
 ERROR_RATE = 0.05
-MIN_LETTERS = 40
+SHORT_LETTERS = 40  # items under it must stand word for word
 BLOCK_LETTERS = 4_000_000
 # ASCII that is neither letter nor digit stands between words.
 _BREAKS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
@@ -34,8 +35,8 @@ def words_only(text: str) -> str:
     return b" ".join(raw.split()).decode("utf-8")
 
 
-def budget(letters: int, error_rate: float) -> int:
-    return max(1, int(letters * error_rate))
+def budget(letters: int, error_rate: float, short: int = 0) -> int:
+    return 0 if letters < short else max(1, int(letters * error_rate))
 
 
 def pieces(item: str, errors: int) -> list[tuple[int, str]]:
@@ -82,11 +83,11 @@ def myers(item: str, window: str, errors: int) -> tuple[int, int] | None:
 class Matcher:
     """The automaton of a block of items."""
 
-    def __init__(self, items: list[tuple[int | None, str]], error_rate: float):
+    def __init__(self, items: list[tuple[int | None, str]], error_rate: float, short: int = SHORT_LETTERS):
         self.items = []
         holders: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            k = budget(len(text), error_rate)
+            k = budget(len(text), error_rate, short)
             for off, piece in pieces(text, k):
                 holders.setdefault(piece, []).append((len(self.items), off))
             self.items.append((item_id, text, k))
@@ -107,6 +108,10 @@ class Matcher:
             for n, off in held_by:
                 _, item, k = self.items[n]
                 start = end - length + 1 - off
+                if not k:
+                    if n not in best and (not start or doc[start - 1] == " ") and (end + 1 == len(doc) or doc[end + 1] == " "):
+                        best[n] = (0, end + 1)
+                    continue
                 lo, hi = max(0, start - k), min(len(doc), start + len(item) + k)
                 if hi - lo < len(item) - k or n in best and best[n][0] == 0:
                     continue
@@ -120,7 +125,7 @@ class Matcher:
         return [(self.items[n][0], d, self.items[n][2], e) for n, (d, e) in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, error_rate: float, min_letters: int, block_letters: int) -> Iterator[Shared]:
+def _blocks(benchmark: DataFrame, error_rate: float, short: int, block_letters: int) -> Iterator[Shared]:
     """The normalised items in broadcast blocks of about ``block_letters``, one at a time on the driver."""
     spark = benchmark.sparkSession
     small_batches(spark)
@@ -129,26 +134,27 @@ def _blocks(benchmark: DataFrame, error_rate: float, min_letters: int, block_let
     n = max(1, -(-letters // block_letters))
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()  # a block
-        block = [(r.item_id, t) for r in rows if len(t := words_only(r.text)) >= min_letters]
-        yield Shared(spark, (block, error_rate))
+        block = [(r.item_id, t) for r in rows if (t := words_only(r.text))]
+        yield Shared(spark, (block, error_rate, short))
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_letters: int = MIN_LETTERS, block_letters: int = BLOCK_LETTERS
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, short: int = SHORT_LETTERS, block_letters: int = BLOCK_LETTERS
 ) -> DataFrame:
     """One row per (document row, item found in it): ``doc_id, item_id, distance, budget, end``.
 
     ``distance`` is the least edit distance of the item to a stretch of the
     document, at most ``budget``; ``end`` is where the first such stretch ends in the
-    normalised text. Items under ``min_letters`` normalised letters say too little
-    and are left out (a feature, not a cap). Null and empty texts hold nothing.
+    normalised text. Items under ``short`` normalised letters have budget 0 and are
+    found word for word; items without a letter or digit stand nowhere. Null and
+    empty texts hold nothing.
     Repeated document rows give repeated results; repeated items give one. An empty
     table on either side gives an empty result; other columns are ignored.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, distance int, budget int, end long"
     out = None
-    for shared in _blocks(benchmark, error_rate, min_letters, block_letters):
+    for shared in _blocks(benchmark, error_rate, short, block_letters):
         part = texts.mapInArrow(_pairs(shared, to_arrow_type(benchmark.schema["item_id"].dataType)), schema)
         out = part if out is None else out.union(part)
     return out
@@ -174,7 +180,7 @@ def _pairs(shared, item_type):
 
 
 def drop_leaked(
-    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, min_letters: int = MIN_LETTERS, block_letters: int = BLOCK_LETTERS
+    docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, short: int = SHORT_LETTERS, block_letters: int = BLOCK_LETTERS
 ) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns, unshuffled.
 
@@ -182,7 +188,7 @@ def drop_leaked(
     repeated rows as in ``find_leaks``.
     """
     out = docs
-    for shared in _blocks(benchmark, error_rate, min_letters, block_letters):
+    for shared in _blocks(benchmark, error_rate, short, block_letters):
         out = out.mapInArrow(_without(shared, docs.columns.index("text")), docs.schema)
     return out
 

@@ -64,7 +64,10 @@ def brute(docs, items):
         t = words_only(text or "")
         for item_id, item in items:
             w = words_only(item or "")
-            if len(w) >= decontam.MIN_LETTERS:
+            if 0 < len(w) < decontam.SHORT_LETTERS:
+                if f" {w} " in f" {t} ":
+                    out.append((doc, item_id, 0))
+            elif w:
                 k = decontam.budget(len(w), decontam.ERROR_RATE)
                 if len(t) < 10_000 and (d := infix_distance(w, t)) <= k:
                     out.append((doc, item_id, d))
@@ -82,7 +85,7 @@ def test_matches_brute_force_in_one_block_and_in_many(spark):
     for size in (10**6, 500):
         got = find_leaks(d, b, block_letters=size).collect()
         found = sorted({(r.doc_id, r.item_id, r.distance) for r in got}, key=str)
-        assert {x[:2] for x in found} == {x[:2] for x in want}
+        assert found == sorted(set(want), key=str)
         assert all(r.distance <= r.budget for r in got)
     leaked = {x[0] for x in want}
     kept = drop_leaked(d, b, block_letters=500)
@@ -94,3 +97,12 @@ def test_empty_tables(spark):
     d, b = spark.createDataFrame([(1, "x" * 90, "", "")], DOCS), spark.createDataFrame([(1, "x" * 90, "")], ITEMS)
     assert find_leaks(d.limit(0), b).collect() == [] and find_leaks(d, b.limit(0)).collect() == []
     assert drop_leaked(d, b.limit(0)).count() == 1
+
+
+def test_short_items_stand_word_for_word(spark):
+    rows = [(1, "Well: what is two plus two equal to?"), (2, "what is two plus twothousand equal to"), (3, "swhat is two plus two equal to"), (4, "WHAT is,\ntwo plus two equal TO"), (5, "four"), (6, "forty-four"), (7, "fourteen"), (8, "")]
+    items = [(10, "What is two plus two equal to?"), (11, "four"), (12, "?!"), (13, None), (14, "")]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.budget, r.end) for r in find_leaks(d, b).collect())
+    assert got == [(1, 10, 0, 0, 34), (4, 10, 0, 0, 29), (5, 11, 0, 0, 4), (6, 11, 0, 0, 10)]
+    assert [r.doc_id for r in drop_leaked(d, b).orderBy("doc_id").collect()] == [2, 3, 7, 8]
