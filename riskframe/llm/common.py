@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskframe.plans.common import write_table
 
-__all__ = ["Shared", "ascii_lower", "clean_text", "latest", "load", "shuffle_partitions", "small_batches", "write_table"]
+__all__ = ["Shared", "ascii_lower", "clean_text", "fresh", "latest", "load", "shuffle_partitions", "small_batches", "write_table"]
 
 ASCII_SPACE = "[\\x20\\x09-\\x0D]+"
 
@@ -46,6 +46,19 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> None:
         spark.conf.set(key, rows)
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for temporary columns that none of the table's columns has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

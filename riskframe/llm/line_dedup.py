@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text, write_table
+from riskframe.llm.common import clean_text, fresh, write_table
 
 LG_K = 10
 # Four standard errors of a sketch with 2^10 registers.
@@ -81,19 +81,20 @@ def drop_spread_lines(
     hit = lines.join(boiler, ["h1", "h2"])
     if keep_first:
         hit = hit.where(~F.col("first").eqNullSafe(F.struct(F.col("id").isNull().alias("z"), "id", "th", "pos")))
-    gone = hit.groupBy(F.col("id").alias("__id"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__gone"))
-    at = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col("__th"))
-    joined = docs.join(gone, at, "left").drop("__id", "__th")
-    changed = F.col("__gone").isNotNull()
+    own_id, own_th, own_gone = fresh(docs, "__id", "__th", "__gone")
+    gone = hit.groupBy(F.col("id").alias(own_id), F.col("th").alias(own_th)).agg(F.collect_set("pos").alias(own_gone))
+    at = docs[id_col].eqNullSafe(F.col(own_id)) & (F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))) == F.col(own_th))
+    joined = docs.join(gone, at, "left").drop(own_id, own_th)
+    changed = F.col(own_gone).isNotNull()
     parts = F.split(text, "\n")
-    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("__gone", i)), "\n")
+    left = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(own_gone, i)), "\n")
     out = {}
     if counts:
-        out |= {"n_lines": F.size(parts).cast("long"), "n_removed": F.when(changed, F.size("__gone")).otherwise(0).cast("long")}
+        out |= {"n_lines": F.size(parts).cast("long"), "n_removed": F.when(changed, F.size(own_gone)).otherwise(0).cast("long")}
     if length_col:
         length = F.char_length(left).cast(docs.schema[length_col].dataType)
         out[length_col] = F.when(changed, length).otherwise(F.col(length_col))
-    return joined.withColumns(out | {text_col: F.when(changed, left).otherwise(F.col(text_col))}).drop("__gone")
+    return joined.withColumns(out | {text_col: F.when(changed, left).otherwise(F.col(text_col))}).drop(own_gone)
 
 
 ORACLE = """

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text, small_batches, write_table
+from riskframe.llm.common import clean_text, fresh, small_batches, write_table
 from riskframe.llm.components import components
 
 SHINGLE = 5
@@ -304,16 +304,17 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     repeated rows (same id and text) one stays. All columns are kept.
     """
     run, least = _resolve(docs, percent)
-    stay = write_table(least.select(F.col("least.key").alias("__key"), F.col("least.th").alias("__th")).distinct(), "survivors")
+    own_key, own_th, own_each = fresh(docs, "__key", "__th", "__each")
+    stay = write_table(least.select(F.col("least.key").alias(own_key), F.col("least.th").alias(own_th)).distinct(), "survivors")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     blank = ~text.rlike("[^\\x20\\x09-\\x0D]")
-    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("__key")) & (F.xxhash64(text) == F.col("__th"))
-    kept = docs.join(stay, on, "left").where(F.col("__key").isNotNull() | blank)
+    on = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col(own_key)) & (F.xxhash64(text) == F.col(own_th))
+    kept = docs.join(stay, on, "left").where(F.col(own_key).isNotNull() | blank)
     repeated = run.signed.where("n > 0").groupBy("key", "th").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     if not repeated.isEmpty():
-        each = F.when(F.col("__key").isNull(), F.monotonically_increasing_id())  # blank texts are no copies
-        kept = kept.withColumn("__each", each).dropDuplicates(["__key", "__th", "__each"]).drop("__each")
-    return kept.drop("__key", "__th")
+        each = F.when(F.col(own_key).isNull(), F.monotonically_increasing_id())  # blank texts are no copies
+        kept = kept.withColumn(own_each, each).dropDuplicates([own_key, own_th, own_each]).drop(own_each)
+    return kept.drop(own_key, own_th)
 
 
 ORACLE = """

@@ -22,7 +22,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text, small_batches, write_table
+from riskframe.llm.common import clean_text, fresh, small_batches, write_table
 
 CUT_BITS = 5
 WINDOW = 16
@@ -230,14 +230,15 @@ def drop_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     Words that a document shares between a passage it keeps and another one stay.
     """
+    own_id, own_th, own_spans, own_all = fresh(docs, "_id", "_th", "_spans", "_all")
     spans = (
         find_repeats(docs, min_words)
-        .groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-        .agg(F.collect_list(F.struct("first_word", "n_words", "kept")).alias("_spans"), F.bool_and("kept").alias("_all"))
-        .where(~F.col("_all"))
-        .drop("_all")
+        .groupBy(F.col("doc_id").alias(own_id), F.col("th").alias(own_th))
+        .agg(F.collect_list(F.struct("first_word", "n_words", "kept")).alias(own_spans), F.bool_and("kept").alias(own_all))
+        .where(~F.col(own_all))
+        .drop(own_all)
     )
     cut = F.udf(lambda t, s: _cut(t or "", [tuple(x) for x in s or ()]), "string", useArrow=True)
-    at = docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(clean_text("text")) == F.col("_th"))
-    joined = docs.join(spans, at, "left").drop("_id", "_th")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut("text", "_spans"))).drop("_spans")
+    at = docs["doc_id"].eqNullSafe(F.col(own_id)) & (F.xxhash64(clean_text("text")) == F.col(own_th))
+    joined = docs.join(spans, at, "left").drop(own_id, own_th)
+    return joined.withColumn("text", F.when(F.col(own_spans).isNull(), F.col("text")).otherwise(cut("text", own_spans))).drop(own_spans)
