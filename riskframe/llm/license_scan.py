@@ -59,29 +59,85 @@ NOTICES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mpl-2", "subject to the terms of the mozilla_public license v_2_0"),
     ("reserved", "all rights reserved"),
+    ("apache-2", "licensed under the apache_license_2_0"),
+    ("gpl-2", "gnu_general_public license_v2_0"),
+    ("gpl-3", "gnu_general_public license_v3_0"),
+    ("mpl-2", "mozilla_public license version_2_0"),
+    ("epl-2", "eclipse_public license version_2_0"),
+    ("epl-2", "eclipse_public license v_2_0"),
+    ("epl-2", "eclipse_public license_2_0"),
+    ("mit", "the_mit license mit"),
+    ("cc0", "cc0_1_0 universal"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
+# Identifiers of the software package data exchange format, as words, with their labels.
+SPDX = (
+    ("agpl", "agpl_3_0"), ("apache-2", "apache_2_0"), ("bsd", "bsd_2_clause"), ("bsd", "bsd_3_clause"), ("cc-by", "cc_by_3_0"), ("cc-by", "cc_by_4_0"),
+    ("cc-by-nc", "cc_by_nc_3_0"), ("cc-by-nc", "cc_by_nc_4_0"), ("cc-by-nc-nd", "cc_by_nc_nd_4_0"), ("cc-by-nc-sa", "cc_by_nc_sa_4_0"), ("cc-by-nd", "cc_by_nd_4_0"),
+    ("cc-by-sa", "cc_by_sa_4_0"), ("cc0", "cc0_1_0"), ("epl-2", "epl_2_0"), ("gpl-2", "gpl_2_0"), ("gpl-3", "gpl_3_0"), ("isc", "isc"), ("lgpl", "lgpl_2_1"),
+    ("lgpl", "lgpl_3_0"), ("mit", "mit"), ("mpl-2", "mpl_2_0"), ("unlicense", "unlicense"),
+)
+# Whole licence texts, lower case, words only, without the copyright line.
+BODIES = (
+    ("mit", """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the
+        software to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+        distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to
+        the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial
+        portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to
+        the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright
+        holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or
+        in connection with the software or the use or other dealings in the software"""),
+    ("bsd", """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions
+        are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+        redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+        documentation and or other materials provided with the distribution this software is provided by the copyright holders and
+        contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and
+        fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct
+        indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or
+        services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract
+        strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the
+        possibility of such damage"""),
+    ("isc", """
+        permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that
+        the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims
+        all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the
+        author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data
+        or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software"""),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+)
+TEMPLATES = BASE_PHRASES + NOTICES + tuple((label, "spdx license identifier_" + name) for label, name in SPDX) + BODIES
 WORD_BREAK = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 
 def template_grams(spark) -> DataFrame:
-    """``tid, exact, label, t_grams, tpos, a, b, c, th``: a row per template 3-gram."""
+    """``tid, exact, label, t_grams, need, tpos, bits, a, b, c, th``: a row per template 3-gram.
+
+    ``need`` has a bit for each two neighbouring words of the template that decide
+    between licences, ``bits`` those that the 3-gram holds both words of.
+    """
     rows = []
-    for tid, (label, phrase) in enumerate(BASE_PHRASES + NOTICES):
+    for tid, (label, phrase) in enumerate(TEMPLATES):
         w = phrase.replace("_", " ").split()
+        pairs = deciding(phrase)
         for p in range(len(w) - GRAM + 1):
-            rows.append((tid, tid < len(BASE_PHRASES), label, len(w) - GRAM + 1, p, *w[p : p + GRAM]))
-    t = spark.createDataFrame(rows, "tid int, exact boolean, label string, t_grams int, tpos int, a string, b string, c string")
+            bits = sum(1 << i for i, k in enumerate(pairs) if p <= k and k + 1 < p + GRAM)
+            rows.append((tid, tid < len(BASE_PHRASES), label, len(w) - GRAM + 1, (1 << len(pairs)) - 1, p, bits, *w[p : p + GRAM]))
+    t = spark.createDataFrame(rows, "tid int, exact boolean, label string, t_grams int, need long, tpos int, bits long, a string, b string, c string")
     return t.withColumn("th", F.xxhash64("a", "b", "c"))
 
 
 def deciding(phrase: str) -> list[int]:
-    """For each two words joined by "_": a bit for each 3-gram (by its place in the template) that holds both."""
-    grams = len(phrase.replace("_", " ").split()) - GRAM + 1
+    """The place of the first of each two words joined by "_", at most 63 of them."""
     out, q = [], 0
     for block in phrase.split():
         n = block.count("_")
-        out.extend(sum(1 << p for p in range(max(0, k + 2 - GRAM), k + 1) if p < grams) for k in range(q, q + n))
+        out.extend(range(q, q + n))
         q += n + 1
+    if len(out) > 63:
+        raise ValueError(f"too many deciding words in {phrase!r}")
     return out
 
 
@@ -107,8 +163,8 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     votes = grams.join(F.broadcast(template_grams(spark)), same, "left").where(  # a fixed table
         F.col("tid").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True))  # a row for each document at least
     )
-    diagonals = votes.groupBy("rid", "id", "n_words", "tid", "exact", "label", "t_grams", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
-        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.bit_or(F.expr("shiftleft(1L, tpos)")).alias("seen")
+    diagonals = votes.groupBy("rid", "id", "n_words", "tid", "exact", "label", "t_grams", "need", (F.col("pos") - F.col("tpos")).alias("diag")).agg(
+        F.count(F.lit(1)).alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.bit_or("bits").alias("seen")
     )
     along = Window.partitionBy("rid", "tid").orderBy("diag")
     # A new span begins where a diagonal is no neighbour of the one before, or lies elsewhere in the text.
@@ -120,15 +176,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spans = (
         diagonals.withColumn("starts", step.cast("int"))
         .withColumn("span", F.sum("starts").over(along))
-        .groupBy("rid", "id", "n_words", "tid", "exact", "label", "t_grams", "span")
+        .groupBy("rid", "id", "n_words", "tid", "exact", "label", "t_grams", "need", "span")
         .agg(F.sum("votes").alias("votes"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("diag").alias("d0"), F.max("diag").alias("d1"), F.bit_or("seen").alias("seen"))
     )
     share = F.least(F.col("votes") / F.col("t_grams"), F.lit(1.0))
     fits = (F.col("hi") - F.col("lo") + 1) <= F.col("t_grams") + F.abs(F.col("d1") - F.col("d0"))
-    decided = F.lit(True)
-    for tid, (_, phrase) in enumerate(NOTICES, len(BASE_PHRASES)):
-        for bits in deciding(phrase):
-            decided &= (F.col("tid") != tid) | (F.col("seen").bitwiseAND(F.lit(bits).cast("long")) != 0)
+    decided = F.col("seen") == F.col("need")
     found = F.when(F.col("exact"), F.col("votes") == F.col("t_grams")).otherwise((share >= coverage) & fits & decided)
     base = F.col("exact") & found
     joined = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("label")))), ",")

@@ -1,5 +1,6 @@
 import re
 
+from riskframe.llm import license_scan
 from riskframe.llm.license_scan import BASE_PHRASES, scan_licenses
 
 SCHEMA = "doc_id long, text string, words string, label string"
@@ -70,3 +71,37 @@ def test_near_misses_get_their_own_licence_or_none(spark):
     rows = [(k, t, "", "") for k, t in enumerate(texts)]
     got = {r.doc_id: r.labels for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert {t: got[k] for k, t in enumerate(texts)} == texts
+
+
+def test_short_forms_identifiers_and_whole_texts(spark):
+    body = {label: text for label, text in license_scan.BODIES if len(text) > 200}
+    cut = lambda label, a, b: " ".join(w for k, w in enumerate(body[label].split()) if not a <= k < b)
+    texts = {
+        "Licensed under the Apache License 2.0": "apache-2",
+        "Licensed under the Apache License 1.1": "",
+        "// SPDX-License-Identifier: MIT": "mit",
+        "# SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3",
+        "# SPDX-License-Identifier: GPL-2.0-only": "gpl-2",
+        "# SPDX-License-Identifier: LGPL-2.1": "lgpl",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "cc-by-nc,cc-by-nc-sa",
+        "SPDX-License-Identifier: Unknown-1.0": "",
+        "GNU General Public License v3.0": "gpl-3",
+        "GNU Lesser General Public License v3.0": "lgpl",
+        "Mozilla Public License Version 2.0": "mpl-2",
+        "Mozilla Public License Version 1.1": "",
+        "The MIT License (MIT)": "mit",
+        "CC0 1.0 Universal": "cc0",
+        "Eclipse Public License - v 2.0": "epl-2",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        # Whole texts with words put in, left out, and a stretch missing at the head: the diagonals shift and are merged again.
+        body["mit"].replace("merge publish", "merge and also publish").replace("whether in an action of", "in an action of"): "mit",
+        "lead " * 300 + cut("mit", 0, 30) + " tail" * 50: "mit",
+        cut("bsd", 0, 20): "bsd",
+        cut("isc", 0, 20): "isc",
+        cut("mit", 60, 200): "mit",  # the short grant alone
+    }
+    rows = [(k, t, "", "") for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.labels, r.base_labels) for r in scan_licenses(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert {t: got[k][0] for k, t in enumerate(texts)} == texts
+    assert all(len(p.replace("_", " ").split()) >= 3 for _, p in license_scan.TEMPLATES) and max(len(p.split()) for _, p in license_scan.TEMPLATES) > 100
