@@ -2,7 +2,9 @@ import re
 
 import numpy as np
 
-from riskframe.llm.url_filter import RULES, host_edges, judge_urls, spread
+from pyspark.sql import functions as F
+
+from riskframe.llm.url_filter import RULES, host_edges, judge_urls, site_of, spread
 
 SCHEMA = "page_id long, url string, html string, host string"
 
@@ -87,3 +89,48 @@ def test_spread_runs_until_it_has_converged(spark):
     want = 0.15 * np.linalg.inv(np.eye(3) - 0.85 * p)
     got = {r.host: (r.trust, r.distrust) for r in spread(edges, seeds, None, 0.85).collect()}
     assert np.allclose([got[h] for h in "abc"], want[[0, 2]].T, atol=2e-3)
+
+
+def link(*hosts):
+    return "".join(f'<a href="https://{h}">' for h in hosts)
+
+
+def verdicts(spark, pages):
+    return {r.page_id: r.verdict for r in judge_urls(spark.createDataFrame([(*p, "") for p in pages], SCHEMA)).collect()}
+
+
+def test_sites_end_below_public_suffixes(spark):
+    want = {
+        "a.b.example.com": "example.com", "example.com": "example.com", "spam.co.uk": "spam.co.uk", "www.spam.co.uk": "spam.co.uk", "co.uk": None,
+        "a.github.io": "a.github.io", "x.a.github.io": "a.github.io", "github.io": None, "com": None, "10.0.0.1": None, "": None, "co.com": "co.com", "x.co.com": "co.com",
+    }
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {r.host: r.site for r in df.select("host", site_of(F.col("host")).alias("site")).collect()} == want
+
+
+def test_hosts_of_one_registry_do_not_share_blame(spark):
+    pages = [(1, "http://bad.net/x", ""), (2, "http://spam.co.uk/", link("bad.net/x"))] + [(10 + k, f"http://plain{k}.co.uk/", "") for k in range(5)]
+    assert verdicts(spark, pages) == {1: "block", 2: "block", **{10 + k: "allow" for k in range(5)}}
+
+
+def test_a_blocked_path_does_not_spill_on_its_host(spark):
+    pages = [(k, f"http://example.com/{p}", "") for k, p in enumerate(["de/1", "de/2", "fr/1", "es/1"])]
+    pages += [(10, "http://www.example.com/fr/", ""), (11, "http://www.example.com/de/", "")]
+    pages += [(20, "http://to-de.site/", link("example.com/de/1")), (21, "http://to-fr.site/", link("EXAMPLE.com/fr/1"))]
+    assert verdicts(spark, pages) == {0: "block", 1: "block", 2: "allow", 3: "allow", 10: "allow", 11: "block", 20: "block", 21: "allow"}
+
+
+def test_ties_alone_never_block_but_links_reach_over_them(spark):
+    pages = [(k, f"http://h{k}.example.com/de/", "") for k in range(9)] + [(20, "http://h0.example.com/x", ""), (21, "http://example.com/x", "")]
+    assert {k: v for k, v in verdicts(spark, pages).items() if k >= 20} == {20: "allow", 21: "allow"}
+    rows = [("seed", "site", 0.1, True), ("site", "seed", 0.1, True), ("friend", "seed", 1.0, False), ("kin", "friend", 0.1, True)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double, tie boolean")
+    seeds = spark.createDataFrame([("seed", 0.0, 1.0)], "host string, trust double, distrust double")
+    got = {r.host: r for r in spread(edges, seeds, 6, 0.85).collect()}
+    assert got["site"].distrust > 0 and got["site"].linked == 0
+    assert got["friend"].linked == got["friend"].distrust > 0 and got["kin"].linked == got["kin"].distrust > 0
+
+
+def test_blocked_hosts_without_pages_are_seeds_too(spark):
+    pages = [(1, "http://spam.site/", link("never-crawled.net/x")), (2, "http://plain.site/", link("other.site/"))]
+    assert verdicts(spark, pages) == {1: "block", 2: "allow"}
