@@ -21,6 +21,7 @@ register(
     "CAST(sum(CASE WHEN split = 'sub' THEN 1 ELSE 0 END) AS BIGINT) AS n_sub FROM preds GROUP BY run",
 )
 register("prediction_align", "WITH " + WIDE + "\nSELECT split, id, y, " + ", ".join(f"{r(x)} AS {x}" for x in RUNS) + " FROM wide")
+register("store_align", "WITH " + WIDE + "\nSELECT split, id, y, " + ", ".join(f"{r(x)} AS {x}" for x in RUNS) + " FROM wide")
 register(
     "blend_mean",
     "WITH " + WIDE + "\nSELECT split, id, y, " + r(f"({' + '.join(RUNS)}) / {float(len(RUNS))!r}") + " AS pred FROM wide",

@@ -233,15 +233,16 @@ register(
     ),
 )
 
-register(
-    "past_rate_test",
+PAST_RATE_TEST = (
     "WITH " + ENC_BASE + "," + ",".join(past_rate_ctes(k) for k in PAST_RATE_KEYS) + "\n"
     + " UNION ALL ".join(
         f"SELECT '{k}' AS key_col, CAST(k AS VARCHAR) AS key, {r(f'coalesce(rate, (SELECT gr FROM pr_{k}_gr))')} AS rate "
         f"FROM pr_{k} WHERE m = -1"
         for k in PAST_RATE_KEYS
-    ),
+    )
 )
+for _key in ("past_rate_test", "past_rate_stream"):
+    register(_key, PAST_RATE_TEST)
 
 
 def woe_ctes(cols, style, src="fb", q=10):

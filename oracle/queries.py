@@ -16,7 +16,7 @@ def register(name: str, body: str) -> None:
 
 def oracle_sql() -> dict[str, str]:
     # Import for side effects: each module registers its oracle texts.
-    from oracle import q_audit, q_blend, q_encode, q_features, q_metrics, q_parse, q_report  # noqa: F401
+    from oracle import q_audit, q_blend, q_encode, q_features, q_metrics, q_parse, q_report, q_shape  # noqa: F401
 
     return dict(ORACLE)
 

@@ -351,9 +351,14 @@ def fit_past_rate(
     long = _long_keys(
         df.filter(_is_train(split)), keys, [F.col(month).alias("month"), _dbl(target).alias("__y")]
     )
-    g = _written(
-        long.groupBy("col", "key", "month").agg(F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n"))
-    )  # three consumers: stats collect, running window, test-rate aggregate
+    return past_rate_from_sums(
+        long.groupBy("col", "key", "month").agg(F.sum("__y").alias("s"), F.count(F.lit(1)).alias("n")), keys
+    )
+
+
+def past_rate_from_sums(sums: DataFrame, keys: list[str]) -> PastRate:
+    """The fit of :func:`fit_past_rate` from sums and counts per (col, key, month)."""
+    g = _written(sums)  # three consumers: stats collect, running window, test-rate aggregate
     stats = {
         r["col"]: r for r in g.groupBy("col").agg(
             F.sum("s").alias("s"), F.sum("n").alias("n"), F.max("month").alias("last")

@@ -35,6 +35,7 @@ def all_queries() -> dict[str, QueryFn]:
         q_metrics,
         q_parse,
         q_report,
+        q_shape,
         q_train,
     )
 

@@ -8,6 +8,7 @@ from riskframe.operators import blend, folds, metrics
 from riskframe.plans.catalog import query
 from riskframe.plans.common import materialize, rnd
 from riskframe.session import checkpoint_dir
+from riskframe.sources import store
 from riskframe.sources.predictions import RUNS, read_predictions, score_runs, write_predictions
 
 GRID_STEPS = 4
@@ -52,6 +53,21 @@ def q_prediction_align(spark, sf_dir):
     return w.select("split", "id", "y", *[rnd(r).alias(r) for r in RUNS])
 
 
+@query("store_align")
+def q_store_align(spark, sf_dir):
+    """J1/S9 the same rows from a bucketed store that holds each run as a table: joined without a shuffle."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    long = score_runs(spark, sf_dir)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for run in RUNS:
+        store.write_run(long.filter(F.col("run") == run), path, run, buckets)
+    w = materialize(store.align(spark, path, RUNS))
+    store.detach(spark, path)
+    return w.select("split", "id", "y", *[rnd(r).alias(r) for r in RUNS])
+
+
 @query("blend_mean")
 def q_blend_mean(spark, sf_dir):
     return _out(blend.blend_mean(aligned(spark, sf_dir), RUNS))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from riskframe.functions import parse
 from riskframe.operators import encode
 from riskframe.plans.catalog import query
 from riskframe.plans.common import materialize, rnd, with_time_columns
+from riskframe.session import checkpoint_dir
 from riskframe.sources.loans import load_loans, supervised_view
+from riskframe.streaming import past_state
 
 PAST_RATE_KEYS = ["regionCode", "grade", "purpose", "postCode_cat"]
 
@@ -111,7 +115,21 @@ def q_block_te(spark, sf_dir):
 @query("past_rate_test")
 def q_past_rate_test(spark, sf_dir):
     """E6/W3 the rate each key hands to test rows (train months before the last)."""
-    model = encode.fit_past_rate(encoder_base(spark, sf_dir), PAST_RATE_KEYS)
+    return _test_rates(encode.fit_past_rate(encoder_base(spark, sf_dir), PAST_RATE_KEYS))
+
+
+@query("past_rate_stream")
+def q_past_rate_stream(spark, sf_dir):
+    """E6 the same rates, kept by a stream that is fed the loans in eight files, in no order of time."""
+    base = encoder_base(spark, sf_dir)
+    root = f"{checkpoint_dir(spark).rstrip('/')}/past-state-{uuid.uuid4().hex}"
+    base.repartition(8, F.md5(F.col("id").cast("string"))).write.parquet(f"{root}/loans")
+    arriving = spark.readStream.schema(base.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/loans")
+    past_state.start(arriving, PAST_RATE_KEYS, f"{root}/rates", available_now=True).awaitTermination()
+    return _test_rates(past_state.fitted(spark, f"{root}/rates", PAST_RATE_KEYS))
+
+
+def _test_rates(model):
     fallback = F.create_map(*[x for k, v in model.global_rate.items() for x in (F.lit(k), F.lit(v))])
     return model.table.filter(F.col("month") == -1).select(
         F.col("col").alias("key_col"), "key",
