@@ -96,9 +96,9 @@ def links_of(pages: DataFrame, node: str = "host") -> DataFrame:
     )
 
 
-def host_edges(pages: DataFrame, site_weight: float, node: str = "host") -> DataFrame:
-    """``src, dst, weight, tie`` over nodes, without loops: links in bodies plus ties of hosts to their site."""
-    links = with_node(links_of(pages, node)).groupBy("src", F.col("node").alias("dst")).agg(F.sum("weight").alias("weight")).withColumn("tie", F.lit(False))
+def host_edges(pages: DataFrame, site_weight: float, links: DataFrame | None = None) -> DataFrame:
+    """``src, dst, weight, tie`` over nodes, without loops: links in bodies (those given, else of the pages) plus ties of hosts to their site."""
+    links = (with_node(links_of(pages)) if links is None else links).groupBy("src", F.col("node").alias("dst")).agg(F.sum("weight").alias("weight")).withColumn("tie", F.lit(False))
     own = pages.select("host", site_of(F.col("host")).alias("site")).distinct().where(F.col("site") != F.col("host"))
     w, tie = F.lit(float(site_weight)).alias("weight"), F.lit(True).alias("tie")
     ties = own.select(F.col("host").alias("src"), F.col("site").alias("dst"), w, tie).union(own.select(F.col("site"), F.col("host"), w, tie))
@@ -166,7 +166,8 @@ def judge_urls(pages: DataFrame, rounds: int | None = None, damping: float = 0.8
     parsed = with_node(
         pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("html", F.lit("")).alias("html"))
     )
-    named = with_node(links_of(parsed, "node").where(F.col("src") != "")).select("node", "ruled", F.col("weight").alias("n"))
+    links = write_table(with_node(links_of(parsed, "node").where(F.col("src") != "")), "links")  # bodies are searched once
+    named = links.select("node", "ruled", F.col("weight").alias("n"))
     nodes = write_table(
         parsed.where(F.col("host") != "").select("node", "ruled", F.lit(1.0).alias("n")).union(named)
         .groupBy("node")
@@ -177,7 +178,7 @@ def judge_urls(pages: DataFrame, rounds: int | None = None, damping: float = 0.8
     seeds = nodes.select(
         F.col("node").alias("host"), (F.col("allowed") / F.lit(sums[0] or 1.0)).alias("trust"), (F.col("blocked") / F.lit(sums[1] or 1.0)).alias("distrust")
     )
-    scores = write_table(spread(write_table(host_edges(parsed, site_weight, "node"), "host-edges"), seeds, rounds, damping), "host-scores")
+    scores = write_table(spread(write_table(host_edges(parsed, site_weight, links), "host-edges"), seeds, rounds, damping), "host-scores")
     judged = parsed.drop("html").join(scores.withColumnRenamed("host", "node"), "node", "left")
     least = level / 100 * (1 - damping) / max(1, sums[2])
     bad = F.col("linked") > F.lit(ratio) * F.col("trust") + F.lit(least)
