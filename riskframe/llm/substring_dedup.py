@@ -1,13 +1,19 @@
-"""Substring dedup by content-defined seeds and exact word grams.
-
-A passage of ``min_words`` words holds a run of seeds, stretches of about half as
-many words. In each passage-long window the seed is taken at whose end a gear hash
-rolling over the normalised bytes is least. That choice depends on the window's
-text alone, so a passage that stands in two documents has the same seed in both,
-whatever surrounds it. Only windows whose seed stands in several documents can be
-repeated. Where a seed stands amid the same words everywhere, its windows are
-repeated as a whole; the word grams of the other windows meet by a 128-bit digest. A
-passage is a run of windows that follow each other in the document that keeps them.
+"""Substring dedup by content-defined chunks, extended to exact passages.
+
+A gear hash rolls over the normalised bytes, and its least values cut the words into
+chunks of varying length. Of each passage-long window one chunk is taken: it ends
+at the least hash of the window's later words and begins after the least one of a
+few words before. Both cuts depend on the window's text alone, so a passage that
+stands in two documents has the same chunk in both, whatever was inserted around
+it, and neighbouring windows mostly share one. Chunks are deduplicated by digest, and
+only windows whose chunk stands in several documents can be repeated. Where a chunk
+stands amid the same words everywhere, its windows are repeated as a whole;
+around the others the words decide: the word grams of those windows meet by a
+128-bit digest. A passage is a run of windows that follow each other in the
+document that keeps them.
+
+A chunk or gram that very many places hold meets its digest by a broadcast of the
+hot ones, whose number is bounded, and all others by a shuffle.
 """
 
 from __future__ import annotations
@@ -22,11 +28,11 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import clean_text, fresh, small_batches, write_table
+from riskframe.llm.common import clean_text, fresh, shuffle_partitions, small_batches, write_table
 
-CUT_BITS = 5
 WINDOW = 16
-MAX_BYTES = 1024
+REACH = WINDOW // 2  # words before a word that its hash can see
+STARTS = 5  # words among which a chunk begins
 MIN_WORDS = 50
 _GEAR = np.random.Generator(np.random.PCG64(20240607)).integers(0, 1 << 32, 256, dtype=np.uint32)
 _WORD = re.compile(r"\S+")  # the words of str.split
@@ -44,43 +50,6 @@ def gear(raw: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunks(text: str) -> tuple[list[int], list[int], list[int]]:
-    """First word, number of words and 64-bit digest of each chunk, over lower-case words."""
-    joined = b" ".join(w.encode("utf-8", "replace") for w in text.lower().split())
-    if not joined:
-        return [], [], []
-    raw = np.frombuffer(joined + b" ", np.uint8)
-    space = np.flatnonzero(raw == 0x20)  # the end of each word
-    cuts = np.flatnonzero((gear(raw) >> np.uint32(32 - CUT_BITS)) == 0)
-    last = np.unique(np.searchsorted(space, cuts))  # words with a cut in them end a chunk
-    last = last[last < len(space) - 1]
-    ends = np.append(last, len(space) - 1)
-    if np.any(np.diff(space[ends], prepend=0) > MAX_BYTES):
-        ends = _split_long(space, ends)
-    first = np.append(0, ends[:-1] + 1)
-    begin = np.append(0, space[ends[:-1]] + 1)
-    stop = space[ends]
-    digest = [
-        int.from_bytes(hashlib.blake2b(joined[a:b], digest_size=8).digest(), "little", signed=True) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)
-    ]
-    return first.tolist(), (ends - first + 1).tolist(), digest
-
-
-def _split_long(space: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Also cut after the first word past each ``MAX_BYTES`` from a chunk's start."""
-    out, start = [], 0
-    for e in ends.tolist():
-        while space[e] - start > MAX_BYTES:
-            k = min(int(np.searchsorted(space, start + MAX_BYTES)), e)
-            if k == e:
-                break
-            out.append(k)
-            start = int(space[k]) + 1
-        out.append(e)
-        start = int(space[e]) + 1
-    return np.array(out)
-
-
 def _words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     """The lower-case words with single spaces, a space at the end; the same as numbers; where each word begins and ends."""
     joined = b"".join(w.encode("utf-8", "replace") + b" " for w in text.lower().split())
@@ -89,26 +58,31 @@ def _words(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     return joined, raw, np.append(0, stop[:-1] + 1), stop
 
 
-def seed_words(min_words: int) -> int:
-    """Words of a seed: half a passage, but enough that the gear hash at its end doesn't reach out of it."""
-    return max((min_words + 1) // 2, min(min_words, WINDOW // 2 + 1))
+def chunk_words(min_words: int) -> int:
+    """Words before a chunk's end, its own included, that decide where it begins and ends: half a passage or more."""
+    return max((min_words + 1) // 2, min(min_words, REACH + 1))
 
 
-def seeds(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[int], list[int]]:
-    """First and last window of ``min_words`` words that each seed stands for, and 64-bit digests of the seed and of all its windows."""
+def chunks(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[int], list[int], list[int], list[int], list[int]]:
+    """Of each chunk: the first and last window of ``min_words`` words it stands for, 64-bit digests of the chunk
+    and of all its windows, its first word and its last one."""
     joined, raw, begin, stop = _words(text)
-    n = seed_words(min_words)
+    n = chunk_words(min_words)
     if len(stop) < min_words:
-        return [], [], [], []
-    order = gear(raw)[stop[n - 1 :] - 1]
-    choices = sliding_window_view(order, min_words - n + 1)[:, ::-1]  # of equal ones, the last
-    at = np.arange(len(choices)) + (min_words - n) - choices.argmin(axis=1)
-    at, first = np.unique(at, return_index=True)
+        return [], [], [], [], [], []
+    hashes = gear(raw)[stop - 1]
+    choices = sliding_window_view(hashes[n - 1 :], min_words - n + 1)[:, ::-1]  # of equal ones, the last
+    end = np.arange(len(choices)) + (min_words - 1) - choices.argmin(axis=1)
+    end, first = np.unique(end, return_index=True)
     last = np.append(first[1:], len(choices)) - 1
+    start = end - n + 1
+    if n > REACH + STARTS:  # the hashes before, as far as they see none but the n words
+        start = start + REACH
+        start = start + sliding_window_view(hashes, STARTS)[start].argmin(axis=1) + 1
     number = lambda raw: int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
-    seed = [number(joined[a:b]) for a, b in zip(begin[at].tolist(), stop[at + n - 1].tolist(), strict=True)]
-    spans = zip(begin[first].tolist(), stop[last + min_words - 1].tolist(), (at - first).tolist(), (last - first).tolist(), strict=True)
-    return first.tolist(), last.tolist(), seed, [number(b"%d %d " % (c, d) + joined[a:b]) for a, b, c, d in spans]
+    chunk = [number(joined[a:b]) for a, b in zip(begin[start].tolist(), stop[end].tolist(), strict=True)]
+    spans = zip(begin[first].tolist(), stop[last + min_words - 1].tolist(), (end - first).tolist(), (last - first).tolist(), strict=True)
+    return first.tolist(), last.tolist(), chunk, [number(b"%d %d " % (c, d) + joined[a:b]) for a, b, c, d in spans], start.tolist(), end.tolist()
 
 
 def grams(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -120,21 +94,21 @@ def grams(text: str, spans: list[tuple[int, int]], min_words: int = MIN_WORDS) -
     return at, np.frombuffer(digest, np.int64).reshape(-1, 2)
 
 
-def _seed_rows(min_words: int):
+def _chunk_rows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 rows: tuple[list, list, list, list, list] = ([], [], [], [], [])
                 for k, t in enumerate(part.column(2)):
-                    found = seeds(t.as_py() or "", min_words)
+                    found = chunks(t.as_py() or "", min_words)[:4]
                     rows[0].extend([k] * len(found[0]))
                     for have, new in zip(rows[1:], found, strict=True):
                         have.extend(new)
                 at = pa.array(rows[0], pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c).take(at) for c in (0, 1)), *(pa.array(x, pa.int32()) for x in rows[1:3]), *(pa.array(x, pa.int64()) for x in rows[3:])],
-                    names=["th", "key", "lo", "hi", "seed", "span"],
+                    names=["th", "key", "lo", "hi", "chunk", "span"],
                 )
 
     return run
@@ -156,6 +130,20 @@ def _gram_rows(min_words: int):
     return run
 
 
+def _meet(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with the columns of their key in ``held``, which counts each key's rows in ``places``.
+
+    A key of more than 1 / (4 x partitions) of the rows is hot. There are at most 4 x
+    partitions of them, so they are broadcast, and their rows stay where they are.
+    """
+    held = write_table(held, "held")
+    share = rows.agg((F.count(F.lit(1)) / (4 * shuffle_partitions(rows.sparkSession))).alias("share")).first().share
+    hot = F.broadcast(held.where(F.col("places") > share).drop("places"))
+    cold = held.where(F.col("places") <= share).drop("places")
+    spread = rows.join(hot, keys)
+    return spread.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per repeated passage: ``doc_id, th, first_word, n_words, keep_id, kept``.
 
@@ -175,29 +163,29 @@ def find_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     null_key = F.lit(-(1 << 63)).cast("long")
     text = clean_text("text")
     rows = docs.select(F.xxhash64(text).alias("th"), F.coalesce(F.col("doc_id").cast("long"), null_key).alias("key"), text.alias("text"))
-    table = write_table(rows.mapInArrow(_seed_rows(min_words), "th long, key long, lo int, hi int, seed long, span long"), "seeds")
+    table = write_table(rows.mapInArrow(_chunk_rows(min_words), "th long, key long, lo int, hi int, chunk long, span long"), "chunks")
     shared = (
-        table.groupBy("seed")
-        .agg(F.min("key").alias("keep"), F.max("key").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"))
+        table.groupBy("chunk")
+        .agg(F.min("key").alias("keep"), F.max("key").alias("most"), F.min("span").alias("a"), F.max("span").alias("b"), F.count(F.lit(1)).alias("places"))
         .where("keep < most")
-        .select("seed", "keep", F.expr("a = b").alias("alike"))
+        .select("chunk", "keep", F.expr("a = b").alias("alike"), "places")
     )
-    hit = write_table(table.join(shared, "seed").select("th", "key", "lo", "hi", "seed", "keep", "alike"), "shared-seeds")
+    hit = write_table(_meet(table.drop("span"), shared, ["chunk"]), "shared-chunks")
     # Where a window stands, as one number in the order of the documents: a struct would be sorted, not hashed.
     place = F.expr("cast(key as decimal(20,0)) * 4611686018427387904BD + cast((th & 2147483647) * 2147483648 + lo as decimal(20,0))").cast("decimal(38,0)")
-    alike = hit.where("alike")
-    whole = alike.join(alike.groupBy("seed").agg(F.min(place).alias("place")), "seed").select("key", "th", "lo", "hi", "keep", "place")
+    alike = hit.where("alike").drop("alike")
+    whole = _meet(alike, alike.groupBy("chunk").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("places")), ["chunk"]).drop("chunk")
     spans = hit.where("not alike").groupBy("key", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # bounded by a text
     texts = rows.join(spans, ["key", "th"]).select("th", "key", "text", "spans")
     table = write_table(texts.mapInArrow(_gram_rows(min_words), "th long, key long, lo int, g1 long, g2 long"), "grams")
     held = (
         table.groupBy("g1", "g2")
-        .agg(F.min("key").alias("keep"), F.max("key").alias("most"), F.min(place).alias("place"))
+        .agg(F.min("key").alias("keep"), F.max("key").alias("most"), F.min(place).alias("place"), F.count(F.lit(1)).alias("places"))
         .where("keep < most")
         .drop("most")
     )
-    single = table.join(held, ["g1", "g2"]).select("key", "th", "lo", F.col("lo").alias("hi"), "keep", "place")
-    windows = whole.union(single).groupBy("key", "th", "lo", "hi").agg(F.min("keep").alias("keep"), F.min("place").alias("place"))
+    single = _meet(table, held, ["g1", "g2"]).select("key", "th", "lo", F.col("lo").alias("hi"), "keep", "place")
+    windows = whole.select("key", "th", "lo", "hi", "keep", "place").union(single).groupBy("key", "th", "lo", "hi").agg(F.min("keep").alias("keep"), F.min("place").alias("place"))
     along = Window.partitionBy("key", "th").orderBy("lo")  # bounded by a text
     before = lambda c: F.lag(c).over(along)
     follows = (F.col("lo") == before("hi") + 1) & (F.col("place") == before("place") + before("hi") - before("lo") + 1)

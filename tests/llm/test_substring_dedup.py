@@ -19,15 +19,25 @@ def shared_runs(rows, least):
     return {d for s in where.values() if len(s) > 1 for d in s}
 
 
-def test_chunks_partition_the_words_and_resist_shifts():
+def test_chunks_are_cut_by_content_and_stand_in_every_window():
     rng = random.Random(1)
-    text = " ".join(words(rng, 3000))
-    first, n, digest = chunks(text)
-    assert first[0] == 0 and all(a + b == c for a, b, c in zip(first, n, first[1:], strict=False)) and sum(n) == 3000
-    _, _, moved = chunks("inserted words before " + text)
-    assert len(set(digest) & set(moved)) >= len(set(digest)) - 2
-    assert chunks("") == ([], [], []) and chunks(" \n")[0] == []
-    assert sum(chunks("same " * 5000)[1]) == 5000 and sum(chunks("x" * 50_000 + " y")[1]) == 2
+    w = words(rng, 3000)
+    lo, hi, digest, _, start, end = chunks(" ".join(w))
+    assert lo[0] == 0 and hi[-1] == 2950 and all(a + 1 == b for a, b in zip(hi, lo[1:], strict=False))
+    assert all(h <= s <= e < x + 50 for x, h, s, e in zip(lo, hi, start, end, strict=True))
+    lengths = {e - s + 1 for s, e in zip(start, end, strict=True)}
+    assert lengths == {12, 13, 14, 15, 16} and len(lo) < 3000 / 10
+    moved = chunks(" ".join([*w[:1500], "inserted", "words", *w[1500:]]))
+    assert len(set(digest) - set(moved[2])) <= 8
+    for k in range(0, 2900, 97):  # the chunk of a window is the same in whatever text the window stands
+        alone = chunks(" ".join(w[k : k + 50]))
+        amid = chunks(" ".join(words(rng, 9) + w[k : k + 50] + words(rng, 9)))
+        here = next(i for i, (a, b) in enumerate(zip(lo, hi, strict=True)) if a <= k <= b)
+        there = next(i for i, (a, b) in enumerate(zip(*amid[:2], strict=True)) if a <= 9 <= b)
+        assert alone[2] == [digest[here]] == [amid[2][there]]
+    assert chunks("")[0] == [] and chunks(" \n")[0] == [] and chunks("x " * 49)[0] == []
+    assert len(chunks("same " * 5000)[0]) and len(chunks("x" * 50_000 + " y" * 60)[0])
+    assert chunks("a b c d e f", 3)[0] and chunks("a b c d e f g h i j k l m", 12)[0]
 
 
 def corpus():
@@ -117,3 +127,16 @@ def test_fifty_words_are_found_exactly_and_fewer_are_not(spark):
         if n > 49:
             want |= {2 * k: (1, n), 2 * k + 1: (2, n)}
     assert {r.doc_id: (r.first_word, r.n_words) for r in find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_hot_chunks_and_short_passages(spark):
+    rng = random.Random(17)
+    shared, line = words(rng, 60), words(rng, 8)
+    rows = [(k, " ".join(words(rng, 20) + shared + words(rng, 20)), "", "") for k in range(200)]
+    rows += [(1000 + k, " ".join(words(rng, 70)), "", "") for k in range(50)]
+    got = {r.doc_id: (r.first_word, r.n_words, r.keep_id) for r in find_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: (20, 60, 0) for k in range(200)}
+    for least in (3, 8, 12, 20):
+        short = [(k, " ".join(words(rng, k + 1) + line * 3 + words(rng, 5)), "", "") for k in range(6)] + [(50, " ".join(words(rng, 30)), "", "")]
+        found = {r.doc_id for r in find_repeats(spark.createDataFrame(short, SCHEMA), least).collect()}
+        assert found == shared_runs(short, least) == set(range(6))
