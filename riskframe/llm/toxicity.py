@@ -34,9 +34,9 @@ from riskframe.llm.common import Shared, clean_text, latest, small_batches, writ
 
 # Bound of the labelled rows that are learned from, which bounds what is learned and broadcast.
 TRAIN_ROWS = 20_000
-STEM_LENGTHS = (3, 4, 5, 6, 7)
+STEM_LENGTHS = tuple(range(3, 11))
 # A word's or stem's evidence (twice the log-likelihood ratio) and odds ratios of the strengths.
-EVIDENCE = 30.0
+EVIDENCE = 20.0
 STRENGTHS = (1.2, 2.2, 3.5, 5.0)
 THRESHOLD = 0.3
 FOLDS = 5
