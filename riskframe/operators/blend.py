@@ -150,14 +150,15 @@ def simplex_grid(m: int, steps: int) -> list[tuple[float, ...]]:
     return out
 
 
-def grid_auc(wide: DataFrame, runs: list[str], weights: list[tuple[float, ...]], split: str = "oof") -> DataFrame:
+def grid_auc(wide: DataFrame, runs: list[str], weights: list[tuple[float, ...]], split: str = "oof", above: float | None = None) -> DataFrame:
     """Best weight vectors by AUC of Σ w_i·score_i: (vec, w_<run>..., auc) of the finalists.
 
     First every vector's scores are counted in ``BOUND_BINS`` bins, combined before
     the shuffle, so vectors x bins rows move, not vectors x rows. Pairs in
     different bins are ordered for sure, pairs in one bin either way: that bounds
     each AUC from both sides. Only vectors whose upper bound reaches the best
-    lower bound can win; their AUC is computed exactly.
+    lower bound can win; their AUC is computed exactly. ``above``: vectors that can't
+    have a higher AUC than this don't matter either (none may be left).
     """
     spark = wide.sparkSession
     vectors = spark.createDataFrame(
@@ -172,40 +173,44 @@ def grid_auc(wide: DataFrame, runs: list[str], weights: list[tuple[float, ...]],
             p = p + F.col("v.w")[j] * F.col("x")[j]
         return each.select(F.col("v.vec").alias("vec"), "y", p.alias("p"))
 
-    if len(weights) > 1:
+    finalists = list(range(len(weights)))
+    if len(weights) > 1 or above is not None:
         lo, hi = rows.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
-        width = (hi - lo) / BOUND_BINS if lo is not None and hi > lo else 1.0
-        bins = F.greatest(F.lit(0), F.least(F.lit(BOUND_BINS), F.floor((F.col("p") - F.lit(lo or 0.0)) / F.lit(width)))).alias("bin")
-        counts = scored(list(range(len(weights)))).filter("y is not null and p is not null").groupBy("vec", bins).agg(
-            F.sum(F.col("y").cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-        below = Window.partitionBy("vec").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row per bin
-        neg = F.col("n") - F.col("pos")
-        bounds = counts.withColumn("neg", neg).withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy("vec").agg(
-            F.sum(F.col("pos") * F.col("nb")).alias("low"), F.sum(F.col("pos") * (F.col("nb") + F.col("neg"))).alias("high")).collect()
-        best = max((r["low"] for r in bounds), default=0.0)
-        finalists = sorted(r["vec"] for r in bounds if r["high"] >= best)
-    else:
-        finalists = [0]
+        finalists = _in_reach(scored(finalists), lo, hi, above)
+    if not finalists:
+        return spark.createDataFrame([], "vec int, " + "".join(f"w_{r} double, " for r in runs) + "auc double")
     a = metrics.auc(scored(finalists), "p", "y", by=["vec"])
     return a.join(vectors, "vec").select("vec", *[F.col("w")[j].alias(f"w_{r}") for j, r in enumerate(runs)], "auc")
 
 
-def refine_weights(wide: DataFrame, runs: list[str], start: tuple[float, ...], steps=(8, 16), split: str = "oof") -> list[tuple[int, tuple[float, ...], float]]:
+def _in_reach(scored: DataFrame, lo: float | None, hi: float | None, above: float | None) -> list[int]:
+    """The vectors whose AUC may be the best, and more than ``above``, by their counts per bin."""
+    width = (hi - lo) / BOUND_BINS if lo is not None and hi > lo else 1.0
+    at = F.greatest(F.lit(0), F.least(F.lit(BOUND_BINS), F.floor((F.col("p") - F.lit(lo or 0.0)) / F.lit(width)))).alias("bin")
+    counts = scored.filter(F.col("y").isNotNull() & metrics._finite(F.col("p"))).groupBy("vec", at).agg(F.sum(F.col("y").cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy("vec").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row per bin
+    neg = F.col("n") - F.col("pos")
+    bounds = counts.withColumn("neg", neg).withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy("vec").agg(
+        F.sum(F.col("pos") * F.col("nb")).alias("low"), F.sum(F.col("pos") * (F.col("nb") + F.col("neg"))).alias("high"),
+        (F.sum("pos") * F.sum("neg")).alias("pairs")).collect()
+    best = max((r["low"] for r in bounds), default=0.0)
+    return sorted(r["vec"] for r in bounds if r["high"] >= best and (above is None or r["high"] > above * r["pairs"]))
+
+
+def refine_weights(wide: DataFrame, runs: list[str], start: tuple[float, ...], steps=(8, 16), split: str = "oof", start_auc: float | None = None) -> list[tuple[int, tuple[float, ...], float]]:
     """B6 further rounds on finer grids: at each step 1/s the vectors that move s-th
     parts of the weight from one run to another around the best so far, until none
-    gains. M (M - 1) vectors a round, whatever M. Returns [(s, weights, auc)]."""
-    def best_of(points):
-        r = grid_auc(wide, runs, points, split).orderBy(F.desc_nulls_last("auc"), "vec").first()
-        return points[r["vec"]], float(r["auc"] or 0.0)
-
-    now, auc = best_of([tuple(start)])
+    gains. M (M - 1) vectors a round, whatever M. ``start_auc``: the start's AUC, if it
+    is known. Returns [(s, weights, auc)]."""
+    now = tuple(start)
+    auc = _best_of(wide, runs, [now], split)[1] if start_auc is None else start_auc
     out = []
     for s in steps:
         while True:
-            moves = [now] + [
+            moves = [
                 tuple(round(w + (j == b) / s - (j == a) / s, 12) for j, w in enumerate(now))
                 for a in range(len(runs)) for b in range(len(runs)) if a != b and now[a] >= 1 / s - 1e-9]
-            found, value = best_of(moves)
+            found, value = _best_of(wide, runs, moves, split, auc)
             if value <= auc + MIN_GAIN:
                 break
             now, auc = found, value
@@ -213,6 +218,12 @@ def refine_weights(wide: DataFrame, runs: list[str], start: tuple[float, ...], s
     return out
 
 
+def _best_of(wide: DataFrame, runs: list[str], points: list, split: str, above: float | None = None) -> tuple[tuple[float, ...] | None, float]:
+    """The best of the points and its AUC; None and 0 if none can have more than ``above``."""
+    r = grid_auc(wide, runs, points, split, above).orderBy(F.desc_nulls_last("auc"), "vec").first() if points else None
+    return (points[r["vec"]], float(r["auc"] or 0.0)) if r else (None, 0.0)
+
+
 # What counts as a gain in AUC: rounding of its sums stays far below.
 MIN_GAIN = 1e-10
 GRADIENT_BINS = 4096
@@ -261,26 +272,24 @@ def pair_gradient(wide: DataFrame, runs: list[str], weights, margin: float, boun
     return float(loss / pairs), 2 * slope / pairs
 
 
-def gradient_weights(wide: DataFrame, runs: list[str], start, rounds: int = 20, split: str = "oof") -> list[tuple[int, tuple[float, ...], float]]:
+def gradient_weights(wide: DataFrame, runs: list[str], start, rounds: int = 20, split: str = "oof", start_auc: float | None = None) -> list[tuple[int, tuple[float, ...], float]]:
     """B6 continuous weights: descent on a smooth pair loss, each step accepted by exact AUC.
 
     A round is one aggregate for the gradient, and one search over points along
     the projected path (eight step lengths and two margins, with ``grid_auc``); the
     best exact AUC is taken if it is a gain. Jobs per round don't grow with
-    the number of runs. Never below the start. Returns [(round, weights, auc)].
+    the number of runs. Never below the start. ``start_auc``: the start's AUC, if it is
+    known. Returns [(round, weights, auc)].
     """
-    def best_of(points):
-        r = grid_auc(wide, runs, points, split).orderBy(F.desc_nulls_last("auc"), "vec").first()
-        return points[r["vec"]], float(r["auc"] or 0.0)
-
-    now, auc = best_of([tuple(float(w) for w in start)])
+    now = tuple(float(w) for w in start)
+    auc = _best_of(wide, runs, [now], split)[1] if start_auc is None else start_auc
     out = [(0, now, auc)]
     x = F.array(*[F.col(r).cast("double") for r in runs])
     lo, hi, spread = wide.filter(F.col("split") == split).agg(F.min(F.array_min(x)), F.max(F.array_max(x)), F.stddev_pop(sum((F.col(r) for r in runs[1:]), F.col(runs[0])) / len(runs))).first()
     if lo is None or not hi > lo or not spread:
         return out
     for k in range(1, rounds + 1):
-        points = [now]
+        points = []
         for margin in (0.25 * spread, 1.0 * spread):
             _, g = pair_gradient(wide, runs, now, margin, (lo, hi), split)
             along = g - g.mean()
@@ -289,9 +298,9 @@ def gradient_weights(wide: DataFrame, runs: list[str], start, rounds: int = 20,
             unit = along / np.max(np.abs(along))
             for t in (0.5, 0.25, 0.12, 0.06, 0.03, 0.015, 0.005, 0.001):
                 w = tuple(float(v) for v in np.round(project_simplex(np.array(now) - t * unit), 12))
-                if w not in points:
+                if w != now and w not in points:
                     points.append(w)
-        found, value = best_of(points)
+        found, value = _best_of(wide, runs, points, split, auc)
         if value <= auc + MIN_GAIN:
             break
         now, auc = found, value

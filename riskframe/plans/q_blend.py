@@ -113,7 +113,7 @@ def q_weight_refined(spark, sf_dir):
     """B6 the same search carried on at steps of 1/8 and 1/16 around the best vector."""
     w = aligned(spark, sf_dir)
     best = blend.grid_auc(w, RUNS, blend.simplex_grid(len(RUNS), GRID_STEPS)).orderBy(F.desc_nulls_last("auc"), "vec").first()
-    rounds = blend.refine_weights(w, RUNS, tuple(best[f"w_{r}"] for r in RUNS))
+    rounds = blend.refine_weights(w, RUNS, tuple(best[f"w_{r}"] for r in RUNS), start_auc=best["auc"])
     rows = [(s, *ws, a) for s, ws, a in rounds]
     out = spark.createDataFrame(rows, "steps int, " + ", ".join(f"w_{r} double" for r in RUNS) + ", auc double")
     return out.withColumn("auc", rnd("auc"))
@@ -124,7 +124,7 @@ def q_weight_gradient(spark, sf_dir):
     """B6 continuous weights by descent on a smooth pair loss from the best grid vector, round by round."""
     w = aligned(spark, sf_dir)
     best = blend.grid_auc(w, RUNS, blend.simplex_grid(len(RUNS), GRID_STEPS)).orderBy(F.desc_nulls_last("auc"), "vec").first()
-    rows = [(k, *ws, a) for k, ws, a in blend.gradient_weights(w, RUNS, tuple(best[f"w_{r}"] for r in RUNS))]
+    rows = [(k, *ws, a) for k, ws, a in blend.gradient_weights(w, RUNS, tuple(best[f"w_{r}"] for r in RUNS), start_auc=best["auc"])]
     out = spark.createDataFrame(rows, "round int, " + ", ".join(f"w_{r} double" for r in RUNS) + ", auc double")
     return out.select("round", *[rnd(f"w_{r}").alias(f"w_{r}") for r in RUNS], rnd("auc").alias("auc"))
 
