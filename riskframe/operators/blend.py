@@ -12,9 +12,12 @@ candidate; the driver only sees one AUC per candidate.
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark import inheritable_thread_target
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators import metrics
@@ -87,9 +90,13 @@ def ranks_long(wide: DataFrame, runs: list[str], by=("split",)) -> DataFrame:
 
 def blend_rank_mean(wide: DataFrame, runs: list[str]) -> DataFrame:
     """B3 mean of per-run average ranks, min-max scaled within each split."""
+    return _scaled_mean(ranks_long(wide, runs), wide)
+
+
+def _scaled_mean(r: DataFrame, wide: DataFrame) -> DataFrame:
+    """B3 from the runs' ranks."""
     from riskframe.plans.common import materialize
 
-    r = ranks_long(wide, runs)
     # written once: the bounds and the scaled scores both read it
     m = materialize(r.groupBy("split", "id").agg(F.avg("rank").alias("pred")))
     m = metrics.minmax_normalize(m, "pred", by=["split"])
@@ -104,7 +111,11 @@ def spearman_matrix(wide: DataFrame, runs: list[str], split: str = "oof") -> Dat
 
     Returns (run_a, run_b, rho) for all ordered pairs.
     """
-    r = ranks_long(wide.filter(F.col("split") == split), runs)
+    return _correlations(ranks_long(wide.filter(F.col("split") == split), runs), runs)
+
+
+def _correlations(r: DataFrame, runs: list[str]) -> DataFrame:
+    """G10 from the ranks of one split."""
     rw = r.groupBy("id").agg(*[F.max(F.when(F.col("run") == x, F.col("rank"))).alias(x) for x in runs])
     cells = []
     for a in runs:
@@ -137,6 +148,7 @@ def redundancy(rho: dict, aucs: dict, runs: list[str], threshold: float = 0.985,
 # ------------------------------------------------------------------ B6 weight search
 
 BOUND_BINS = 2048
+FINE_BINS = 1 << 16
 
 
 def simplex_grid(m: int, steps: int) -> list[tuple[float, ...]]:
@@ -157,7 +169,8 @@ def grid_auc(wide: DataFrame, runs: list[str], weights: list[tuple[float, ...]],
     the shuffle, so vectors x bins rows move, not vectors x rows. Pairs in
     different bins are ordered for sure, pairs in one bin either way: that bounds
     each AUC from both sides. Only vectors whose upper bound reaches the best
-    lower bound can win; their AUC is computed exactly. ``above``: vectors that can't
+    lower bound can win; if several do, they are counted in ``FINE_BINS`` bins, and
+    the AUC of those still in reach is computed exactly. ``above``: vectors that can't
     have a higher AUC than this don't matter either (none may be left).
     """
     spark = wide.sparkSession
@@ -175,26 +188,41 @@ def grid_auc(wide: DataFrame, runs: list[str], weights: list[tuple[float, ...]],
 
     finalists = list(range(len(weights)))
     if len(weights) > 1 or above is not None:
-        lo, hi = rows.agg(F.min(F.array_min("x")), F.max(F.array_max("x"))).first()
-        finalists = _in_reach(scored(finalists), lo, hi, above)
+        finalists = _in_reach(scored, finalists, _bounds(rows, F.col("x")), above)
     if not finalists:
         return spark.createDataFrame([], "vec int, " + "".join(f"w_{r} double, " for r in runs) + "auc double")
     a = metrics.auc(scored(finalists), "p", "y", by=["vec"])
     return a.join(vectors, "vec").select("vec", *[F.col("w")[j].alias(f"w_{r}") for j, r in enumerate(runs)], "auc")
 
 
-def _in_reach(scored: DataFrame, lo: float | None, hi: float | None, above: float | None) -> list[int]:
-    """The vectors whose AUC may be the best, and more than ``above``, by their counts per bin."""
-    width = (hi - lo) / BOUND_BINS if lo is not None and hi > lo else 1.0
-    at = F.greatest(F.lit(0), F.least(F.lit(BOUND_BINS), F.floor((F.col("p") - F.lit(lo or 0.0)) / F.lit(width)))).alias("bin")
-    counts = scored.filter(F.col("y").isNotNull() & metrics._finite(F.col("p"))).groupBy("vec", at).agg(F.sum(F.col("y").cast("double")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("vec").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row per bin
-    neg = F.col("n") - F.col("pos")
-    bounds = counts.withColumn("neg", neg).withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy("vec").agg(
-        F.sum(F.col("pos") * F.col("nb")).alias("low"), F.sum(F.col("pos") * (F.col("nb") + F.col("neg"))).alias("high"),
-        (F.sum("pos") * F.sum("neg")).alias("pairs")).collect()
-    best = max((r["low"] for r in bounds), default=0.0)
-    return sorted(r["vec"] for r in bounds if r["high"] >= best and (above is None or r["high"] > above * r["pairs"]))
+def _bounds(rows: DataFrame, x: Column) -> tuple[float | None, float | None]:
+    """The least and the greatest finite score in an array column."""
+    finite = F.filter(x, metrics._finite)
+    return tuple(rows.agg(F.min(F.array_min(finite)), F.max(F.array_max(finite))).first())
+
+
+def _in_reach(scored: Callable[[list[int]], DataFrame], points: list[int], bounds: tuple[float | None, float | None], above: float | None, key: str = "vec") -> list[int]:
+    """The points whose AUC may be the best, and more than ``above``, by their counts per bin.
+
+    ``scored``: the rows ``key, y, p`` of some points. Coarse bins first, since those
+    are counted for every point; fine ones for the points that the coarse ones leave.
+    """
+    lo, hi = bounds
+    for bins in (BOUND_BINS, FINE_BINS):
+        width = (hi - lo) / bins if lo is not None and hi > lo else 1.0
+        at = F.greatest(F.lit(0), F.least(F.lit(bins), F.floor((F.col("p") - F.lit(lo or 0.0)) / F.lit(width)))).alias("bin")
+        y = F.col("y").cast("double")
+        counts = scored(points).filter(metrics._finite(y) & metrics._finite(F.col("p"))).groupBy(key, at).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
+        below = Window.partitionBy(key).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # a row per bin
+        neg = F.col("n") - F.col("pos")
+        found = counts.withColumn("neg", neg).withColumn("nb", F.coalesce(F.sum("neg").over(below), F.lit(0.0))).groupBy(key).agg(
+            F.sum(F.col("pos") * F.col("nb")).alias("low"), F.sum(F.col("pos") * (F.col("nb") + F.col("neg"))).alias("high"),
+            (F.sum("pos") * F.sum("neg")).alias("pairs")).collect()
+        best = max((r["low"] for r in found), default=0.0)
+        points = sorted(r[key] for r in found if r["high"] >= best and (above is None or r["high"] > above * r["pairs"]))
+        if len(points) < 2:
+            break
+    return points
 
 
 def refine_weights(wide: DataFrame, runs: list[str], start: tuple[float, ...], steps=(8, 16), split: str = "oof", start_auc: float | None = None) -> list[tuple[int, tuple[float, ...], float]]:
@@ -385,13 +413,20 @@ def stack_lr(wide: DataFrame, runs: list[str], folds: DataFrame, C: float = 1.0,
     sub = asm.transform(wide.filter(F.col("split") == "sub"))
     p1 = vector_to_array("probability")[1]
     extra = ("rawPrediction", "probability", "prediction")
-    oof_parts = []
-    for f in range(k):
+    held = {r["fold"]: r["count"] for r in oof.groupBy("fold").count().collect()}
+
+    def fit(f: int):
         tr = oof.filter(F.col("fold") != f)
-        n = tr.count()
+        n = sum(c for x, c in held.items() if x is not None and x != f)
         lr = LogisticRegression(labelCol="y", featuresCol="features", regParam=1.0 / (C * max(n, 1)),
                                 elasticNetParam=0.0, standardization=False, maxIter=500)
-        model = lr.fit(tr.withColumn("y", F.col("y").cast("double")))
+        return lr.fit(tr.withColumn("y", F.col("y").cast("double")))
+
+    # Many short jobs a fit: side by side the folds keep the cluster busy.
+    with ThreadPoolExecutor(k) as pool:
+        models = [*pool.map(inheritable_thread_target(wide.sparkSession)(fit), range(k))]
+    oof_parts = []
+    for f, model in enumerate(models):
         oof_parts.append(model.transform(oof.filter(F.col("fold") == f)).select("split", "id", "y", p1.alias("pred")))
         sub = model.transform(sub).withColumn(f"p{f}", p1).drop(*extra)  # one scan scores all folds
     o = oof_parts[0]
@@ -408,7 +443,8 @@ def greedy_selection(wide: DataFrame, runs: list[str], aucs: dict, top_k: int =
                      patience: int = 2, min_gain: float = 5e-5) -> list[tuple[int, str, float]]:
     """B7 forward selection of a mean blend: start from the best run; each
     round scores every candidate addition in one job (candidates ride along
-    each row as an exploded array) and adds the best one. Up to ``patience``
+    each row as an exploded array) and adds the best one. As in ``grid_auc``, counts
+    per bin bound the AUCs first, and only candidates in reach are scored exactly. Up to ``patience``
     additions in a row may gain less than ``min_gain`` over the best blend so
     far; then, or at ``max_models``, the best prefix is returned. Candidates may
     repeat (weighting by repetition). Returns [(step, run, auc)]."""
@@ -416,14 +452,20 @@ def greedy_selection(wide: DataFrame, runs: list[str], aucs: dict, top_k: int =
     steps = [(0, pool[0], aucs.get(pool[0]) or 0.0)]
     best, misses = 0, 0  # index of the best prefix's last step
     oof = wide.filter(F.col("split") == "oof")
+    bounds = _bounds(oof, F.array(*[F.col(r).cast("double") for r in pool]))
     while len(steps) < max_models and misses < patience:
         chosen = [r for _, r, _ in steps]
         base = sum((F.col(r) for r in chosen[1:]), F.col(chosen[0]))
-        cand = F.array(*[F.struct(F.lit(i).alias("c"), F.col(r).alias("x")) for i, r in enumerate(pool)])
-        rows = oof.select("y", base.alias("__b"), F.explode(cand).alias("v"))
-        scored = rows.select(F.col("v.c").alias("c"), "y",
-                             ((F.col("__b") + F.col("v.x")) / F.lit(len(chosen) + 1.0)).alias("p"))
-        res = metrics.auc(scored, "p", "y", by=["c"]).collect()
+
+        def scored(ids: list[int], base=base, n=len(chosen)) -> DataFrame:
+            cand = F.array(*[F.struct(F.lit(i).alias("c"), F.col(pool[i]).alias("x")) for i in ids])
+            rows = oof.select("y", base.alias("__b"), F.explode(cand).alias("v"))
+            return rows.select(F.col("v.c").alias("c"), "y",
+                               ((F.col("__b") + F.col("v.x")) / F.lit(n + 1.0)).alias("p"))
+
+        every = [*range(len(pool))]
+        reach = _in_reach(scored, every, bounds, None, "c") if len(pool) > 1 else every
+        res = metrics.auc(scored(reach or every), "p", "y", by=["c"]).collect()
         top = max(res, key=lambda r: (r["auc"] if r["auc"] is not None else -1.0, -r["c"]))
         steps.append((len(steps), pool[top["c"]], top["auc"] or 0.0))
         if steps[-1][2] - steps[best][2] >= min_gain:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import functions as F
 
 from riskframe.operators import blend, folds, metrics
@@ -151,8 +154,12 @@ def q_blend_greedy(spark, sf_dir):
     return spark.createDataFrame([(i, r, float(a)) for i, r, a in steps], "step int, run string, auc double").withColumn("auc", rnd("auc"))
 
 
-def strategies(w, runs, fo, aucs):
-    """Y3 name → blend of the runs. Weight search and greedy selection blend with what they found on the oof rows."""
+# Strategies of the summary that run at a time.
+AT_ONCE = 4
+
+
+def strategies(w, runs, fo, aucs, ranks=None):
+    """Y3 name → blend of the runs. ``ranks``: ``ranks_long`` of the runs, if known. Weight search and greedy selection blend with what they found on the oof rows."""
     def weighted(weights):
         p = sum((F.lit(float(x)) * F.col(r) for x, r in zip(weights[1:], runs[1:])), F.lit(float(weights[0])) * F.col(runs[0]))
         return w.select("split", "id", "y", p.alias("pred"))
@@ -168,7 +175,7 @@ def strategies(w, runs, fo, aucs):
     return {
         "mean": lambda: blend.blend_mean(w, runs),
         "logit_mean": lambda: blend.blend_logit_mean(w, runs),
-        "rank_mean": lambda: blend.blend_rank_mean(w, runs),
+        "rank_mean": lambda: blend.blend_rank_mean(w, runs) if ranks is None else blend._scaled_mean(ranks.filter(F.col("run").isin(runs)), w),
         "stack_ridge": lambda: blend.stack_ridge(w, runs, fo),
         "stack_lr": lambda: blend.stack_lr(w, runs, fo),
         "weight_search": searched,
@@ -179,12 +186,16 @@ def strategies(w, runs, fo, aucs):
 def summarise(spark, table: dict):
     """B9 (strategy, oof_auc, error): each strategy is run here, so one that fails
     when it is planned or when it runs scores 0.0 and says why."""
-    rows = []
-    for name, build in table.items():
+    def run(item):
+        name, build = item
         try:
-            rows.append((name, float(metrics.auc(build().filter(F.col("split") == "oof"), "pred", "y").first()["auc"] or 0.0), None))
+            return name, float(metrics.auc(build().filter(F.col("split") == "oof"), "pred", "y").first()["auc"] or 0.0), None
         except Exception as e:  # noqa: BLE001 — B9: a failed strategy scores 0
-            rows.append((name, 0.0, f"{type(e).__name__}: {e}"[:200]))
+            return name, 0.0, f"{type(e).__name__}: {e}"[:200]
+
+    # Side by side: the short last tasks of one strategy's jobs leave room for another's.
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        rows = [*pool.map(inheritable_thread_target(spark)(run), table.items())]
     return spark.createDataFrame(rows, "strategy string, oof_auc double, error string")
 
 
@@ -193,6 +204,7 @@ def q_blend_summary(spark, sf_dir):
     """B9 oof AUC of every strategy on the runs that the redundancy filter keeps."""
     w = aligned(spark, sf_dir)
     aucs = _aucs(w)
-    rho = {(r["run_a"], r["run_b"]): r["rho"] for r in blend.spearman_matrix(w, RUNS).collect()}
+    ranks = materialize(blend.ranks_long(w, RUNS))  # for the filter and for the mean of ranks
+    rho = {(r["run_a"], r["run_b"]): r["rho"] for r in blend._correlations(ranks.filter(F.col("split") == "oof"), RUNS).collect()}
     kept, _ = blend.redundancy(rho, aucs, RUNS)
-    return summarise(spark, strategies(w, kept, materialize(_oof_folds(w)), aucs)).select("strategy", rnd("oof_auc").alias("oof_auc"), "error")
+    return summarise(spark, strategies(w, kept, materialize(_oof_folds(w)), aucs, ranks)).select("strategy", rnd("oof_auc").alias("oof_auc"), "error")

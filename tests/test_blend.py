@@ -147,3 +147,77 @@ def test_run_files_are_discovered(spark):
     assert {(r["run"], r["split"], r["id"], r["y"], r["pred"]) for r in got} == {("m1", "oof", 1, 1, 0.8), ("m1", "oof", 2, 0, 0.1), ("m1", "sub", 3, None, 0.4)}
     with pytest.raises(FileNotFoundError):
         predictions.discover_run_files(spark, f"{root}/deep/m2")
+
+
+def _scored_exactly(monkeypatch, key):
+    """The points whose AUC is computed exactly, call by call."""
+    from riskframe.operators import metrics
+
+    seen, auc = [], metrics.auc
+
+    def watched(df, *a, **k):
+        seen.append(sorted(r[key] for r in df.select(key).distinct().collect()))
+        return auc(df, *a, **k)
+
+    monkeypatch.setattr(metrics, "auc", watched)
+    return seen
+
+
+def test_fine_bins_leave_fewer_vectors_to_score(spark, monkeypatch):
+    wide, runs, rows = _wide(spark)
+    grid = blend.simplex_grid(3, 4)
+    monkeypatch.setattr(blend, "BOUND_BINS", 2)
+    seen = _scored_exactly(monkeypatch, "vec")
+    best = blend.grid_auc(wide, runs, grid).orderBy(F.desc("auc"), "vec").first()
+    truth = [_auc(rows, w) for w in grid]
+    assert abs(best["auc"] - max(truth)) < 1e-12 and len(seen[0]) < len(grid) // 2
+
+
+def test_greedy_scores_only_candidates_in_reach(spark, monkeypatch):
+    wide, runs, rows = _wide(spark)
+    aucs = {r: _auc(rows, [float(q == r) for q in runs]) for r in runs}
+    seen = _scored_exactly(monkeypatch, "c")
+    steps = blend.greedy_selection(wide, runs, aucs)
+    assert seen and all(len(c) < len(runs) for c in seen)
+    pool = sorted(runs, key=lambda r: -aucs[r])
+    for k in range(1, len(steps)):
+        chosen = [r for _, r, _ in steps[:k]]
+        of = [_auc(rows, [(chosen + [c]).count(r) / (k + 1) for r in runs]) for c in pool]
+        assert abs(steps[k][2] - max(of)) < 1e-9
+
+
+def test_odd_scores_do_not_break_the_bounds(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("oof", i, i % 2, s, 0.1 * i) for i, s in enumerate([nan, inf, -inf, None, 0.2, 0.9, 0.4, 0.3])]
+    wide = spark.createDataFrame(rows, "split string, id long, y int, r0 double, r1 double")
+    assert blend._bounds(wide, F.array("r0", "r1")) == (0.0, 0.9)
+    steps = blend.greedy_selection(wide, ["r0", "r1"], {"r0": 0.75, "r1": 0.6})
+    assert steps[0] == (0, "r0", 0.75)
+
+
+def test_summary_ranks_once(spark, monkeypatch):
+    from riskframe.plans.q_blend import strategies
+
+    wide, runs, _ = _wide(spark, n=40)
+    ranks = blend.ranks_long(wide, runs + [])
+    want = {r["id"]: r["pred"] for r in blend.blend_rank_mean(wide, runs[:2]).collect()}
+    monkeypatch.setattr(blend, "ranks_long", lambda *a, **k: 1 / 0)
+    got = {r["id"]: r["pred"] for r in strategies(wide, runs[:2], None, {}, ranks)["rank_mean"]().collect()}
+    assert got == pytest.approx(want)
+
+
+def test_stacking_fits_its_folds_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.classification import LogisticRegression
+
+    wide, runs, _ = _wide(spark, n=60)
+    met, fit = threading.Barrier(5), LogisticRegression.fit
+
+    def watched(self, *a, **k):
+        met.wait(60)  # breaks unless five fits have begun
+        return fit(self, *a, **k)
+
+    monkeypatch.setattr(LogisticRegression, "fit", watched)
+    fo = folds.stratified_folds(wide.filter("split = 'oof'").select("id", "y"), "y", 5).select("id", "fold")
+    assert blend.stack_lr(wide, runs, fo).filter("split = 'oof' and pred is null").count() == 0
