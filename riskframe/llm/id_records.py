@@ -21,9 +21,11 @@ table) names those of the attempts that count: a lost executor's half-written
 files are never read, and ``write_records`` deletes them at the end. Memory: a
 section of a text, one document's ids and the word caches.
 
-The tokenizers library merges each distinct word; words and the pieces between
-blanks are remembered, the latest ones only. A tokenizer that isn't plain byte-level
-BPE (no normalizer, no prefix blank) encodes whole texts with ``encode``.
+The tokenizers library merges each distinct word; the pieces between blanks and
+the words of those that aren't one word are remembered, the latest ones only. Latin
+letters with marks after them, the usual piece, are parted without the split pattern,
+and pieces with line breaks line by line, so that their words are found again. that isn't plain byte-level BPE (no normalizer, no prefix blank) encodes whole texts
+with ``encode``.
 
 Nulls and odd input: null text is empty text (the record holds the end id
 alone); null ids come last; equal ids come in order of a hash of their texts,
@@ -61,7 +63,8 @@ ENTRY = np.dtype([("offset", "<u8"), ("first", "<u8"), ("tokens", "<u8"), ("id",
 HEAD, TAIL = 12, 4
 INDEX_BLOCK = 4096
 SECTION = 1 << 20
-CACHE = 1 << 18
+CACHE = 699_000  # pieces; as many as a dict of 2^20 places takes before it doubles
+CACHE_WORDS = 1 << 16
 LONGEST_KEY = 48
 
 
@@ -90,17 +93,17 @@ def unframe(record: bytes) -> bytes:
 
 
 class _Latest(dict):
-    """Remembers the latest results of ``make``; two generations, so hot keys stay."""
+    """Remembers the latest results of ``make``; two generations, so hot keys stay. Not those of long keys or, if ``one_line``, of several lines."""
 
-    def __init__(self, make: Callable[[str], bytes]):
-        self.make, self.older = make, {}
+    def __init__(self, make: Callable[[str], bytes], most: int, one_line: bool = False):
+        self.make, self.most, self.one_line, self.older = make, most, one_line, {}
 
     def __missing__(self, key: str) -> bytes:
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= LONGEST_KEY:
-            if len(self) >= CACHE:
+        if len(key) <= LONGEST_KEY and not (self.one_line and "\n" in key):
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value
@@ -117,6 +120,7 @@ class Encoder:
         self.library = Tokenizer.from_str(spec)
         self.library.no_truncation()
         self.library.no_padding()
+        self.tokenize = self.library.model.tokenize
         self.width = width(spec)
         self.pack = "<u2" if self.width == 2 else "<u4"
         told = json.loads(spec)
@@ -131,10 +135,11 @@ class Encoder:
         names = sorted(self.special, key=len, reverse=True)
         self.special_at = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.letters = {b: letter for letter, b in byte_letters().items()}
+        self.id_bytes = [i.to_bytes(self.width, "little") for i in range(highest_id(spec) + 1)]
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile(r" (?=\S)")
-        self.word = _Latest(self._word)
-        self.piece = _Latest(lambda p: self._words(" " + p))
+        self.word = _Latest(self._word, CACHE_WORDS)
+        self.piece = _Latest(self._piece, CACHE, one_line=True)
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
@@ -147,8 +152,29 @@ class Encoder:
         return b"".join([*out, *self._plain(text[at:])])
 
     def _word(self, word: str) -> bytes:
-        letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.library.model.tokenize(letters)], self.pack).tobytes()
+        if word.isascii() and word.isprintable():  # only the blank has another letter
+            letters = word.replace(" ", self.letters[0x20])
+        else:
+            letters = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters)
+        return b"".join([self.id_bytes[t.id] for t in self.tokenize(letters)])
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a blank and the piece after it."""
+        stem = piece.rstrip(MARKS)
+        if _is_word(stem):
+            return self._word(" " + stem) if len(stem) == len(piece) else self.piece[stem] + self.word[piece[len(stem) :]]
+        first, *rest = piece.split("\n")
+        # A single line break between non-spaces is a word of its own.
+        if not rest or not first or first[-1].isspace() or not all(rest) or any(x[0].isspace() or x[-1].isspace() for x in rest):
+            return self._words(" " + piece)
+        return b"".join([self.piece[first], *(self.word["\n"] + self._line(x) for x in rest)])
+
+    def _line(self, line: str) -> bytes:
+        """The ids of what stands after a line break."""
+        stem = line.rstrip(MARKS)
+        if not _is_word(stem):
+            return self._words(line)
+        return self.word[stem] if len(stem) == len(line) else self.word[stem] + self.word[line[len(stem) :]]
 
     def _words(self, text: str) -> bytes:
         return b"".join(map(self.word.__getitem__, self.split.findall(text)))
@@ -168,14 +194,25 @@ class Encoder:
 
 
 _GAPS = re.compile(r" (?:\s|$)")
+MARKS = ".,;:!?"
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
 
-def width(spec: str) -> int:
-    """Bytes an id takes: 2 if all ids fit."""
+def _is_word(stem: str) -> bool:
+    """Letters only, which are letters in every version of Unicode: one word by the split pattern, and marks after it another."""
+    return stem.isalpha() if stem.isascii() else _LATIN.fullmatch(stem) is not None
+
+
+def highest_id(spec: str) -> int:
     told = json.loads(spec)
     vocab = told["model"].get("vocab", {})
     ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
-    return 2 if max([*ids, *(t["id"] for t in told.get("added_tokens") or [])], default=0) < 1 << 16 else 4
+    return max([*ids, *(t["id"] for t in told.get("added_tokens") or [])], default=0)
+
+
+def width(spec: str) -> int:
+    """Bytes an id takes: 2 if all ids fit."""
+    return 2 if highest_id(spec) < 1 << 16 else 4
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -134,3 +134,28 @@ def test_strays_go(spark, tmp_path):
         (tmp_path / name).write_bytes(b"x")
     ir._drop_strays(f"file://{tmp_path}", {"part-0-a"})
     assert sorted(os.listdir(tmp_path)) == ["part-0-a.idx", "part-0-a.rec"]
+
+
+def test_usual_pieces_need_no_split_pattern():
+    with open(PATH, encoding="utf-8") as f:
+        encode = ir.Encoder(f.read())
+    tok = Tokenizer.from_file(PATH)
+    rng = random.Random(5)
+    parts = ["the", "And", "éß", "Ñandú", ",", ".", "!?", ";:", "\n", "\n\n", "\r\n", "x1", "'s", "\x1c", "­", "ǅ", "×"]
+    for _ in range(3000):
+        t = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(0, 5))) for _ in range(rng.randint(1, 6)))
+        assert np.frombuffer(encode(t), "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
+
+    class Never:
+        def findall(self, text):
+            assert " " not in text, text  # the first piece of a text has no blank before it
+            return whole.findall(text)
+
+    whole, encode.split = encode.split, Never()
+    made, tokenize = [], encode.tokenize
+    encode.tokenize = lambda letters: made.append(letters) or tokenize(letters)
+    encode("A zebu, a yak;\nNow zebus: zebu!\nNow yak.")
+    n = len(made)
+    assert n == len(set(made)) and "Ġzebu" in made
+    encode("A yak, zebu.\nNow zebus, zebu!")
+    assert len(made) == n
