@@ -18,14 +18,18 @@ seeded random order without moving the data itself.
 Files go to the shared folder through Arrow's file systems. A task names its
 files anew on each attempt, and the manifest (one row a shard, a written
 table) names those of the attempts that count: a lost executor's half-written
-files are never read, and ``write_records`` deletes them at the end. Memory: a
-section of a text, one document's ids and the word caches.
-
-The tokenizers library merges each distinct word; the pieces between blanks and
-the words of those that aren't one word are remembered, the latest ones only. Latin
-letters with marks after them, the usual piece, are parted without the split pattern,
-and pieces with line breaks line by line, so that their words are found again. that isn't plain byte-level BPE (no normalizer, no prefix blank) encodes whole texts
-with ``encode``.
+files are never read, and ``write_records`` deletes them at the end. Memory: a run
+of ``RUN`` bytes of texts (of longer texts, a section), one document's ids and the
+pieces remembered, which are two Arrow arrays. Reading takes one Python step a task,
+so a core holds one Python worker.
+
+The tokenizers library merges each distinct word. The texts of a run are cut at
+blanks together, each distinct piece is looked up once, and the ids are dealt to all
+its places; the pieces of the latest runs are remembered, and a few words of those that
+aren't one word. Latin letters with marks after them, the usual piece, are parted without the split
+pattern, and pieces with line breaks line by line, so that their words are found again. Longer texts and those
+with special tokens are encoded one at a time. A tokenizer that isn't plain
+byte-level BPE (no normalizer, no prefix blank) encodes whole texts with ``encode``.
 
 Nulls and odd input: null text is empty text (the record holds the end id
 alone); null ids come last; equal ids come in order of a hash of their texts,
@@ -45,6 +49,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -63,8 +68,11 @@ ENTRY = np.dtype([("offset", "<u8"), ("first", "<u8"), ("tokens", "<u8"), ("id",
 HEAD, TAIL = 12, 4
 INDEX_BLOCK = 4096
 SECTION = 1 << 20
-CACHE = 699_000  # pieces; as many as a dict of 2^20 places takes before it doubles
-CACHE_WORDS = 1 << 16
+READ_ROWS = 256
+RUN = 1 << 23  # bytes of texts that are encoded together
+ROW = 64
+KNOWN = 1 << 19  # pieces remembered between runs, about 25 bytes each
+CACHE = 1 << 15  # pieces and words remembered as Python objects, about 200 bytes each
 LONGEST_KEY = 48
 
 
@@ -138,8 +146,9 @@ class Encoder:
         self.id_bytes = [i.to_bytes(self.width, "little") for i in range(highest_id(spec) + 1)]
         self.split = regex.compile(PATTERN)
         self.cut = regex.compile(r" (?=\S)")
-        self.word = _Latest(self._word, CACHE_WORDS)
+        self.word = _Latest(self._word, CACHE)
         self.piece = _Latest(self._piece, CACHE, one_line=True)
+        self.known, self.known_ids = pa.array([], pa.string()), pa.array([], pa.binary())
 
     def __call__(self, text: str) -> bytes:
         if not self.by_word:
@@ -151,6 +160,56 @@ class Encoder:
             at = m.end()
         return b"".join([*out, *self._plain(text[at:])])
 
+    def together(self, texts: pa.StringArray) -> Iterator[bytes]:
+        """The ids of each text of a run."""
+        if not self.by_word or len(texts) == 1 and pc.binary_length(texts[0]).as_py() > RUN:
+            yield from map(self, (t.as_py() for t in texts))
+            return
+        alone = np.array([self.special_at is not None and self.special_at.search(t.as_py()) is not None for t in texts], bool)
+        others = self._together(texts.filter(pa.array(~alone)))
+        for i, by_itself in enumerate(alone):
+            yield self(texts[i].as_py()) if by_itself else next(others)
+
+    def _together(self, texts: pa.StringArray) -> Iterator[bytes]:
+        if not len(texts):
+            return
+        lists = pc.split_pattern(texts, " ")
+        pieces, starts = lists.flatten(), lists.offsets.to_numpy()
+        first, coded = _distinct(pieces, starts)
+        gap = pc.match_substring_regex(coded.dictionary, _GAP).to_numpy(zero_copy_only=False)
+        if gap.any():  # no cut at the blank before these: they go to the piece before
+            inner = ~first
+            inner[inner] = gap[coded.indices.to_numpy()]
+            heads = np.append(np.flatnonzero(~inner), len(pieces)).astype(np.int32)
+            pieces = pc.binary_join(pa.ListArray.from_arrays(pa.array(heads), pieces), " ")
+            starts = np.searchsorted(heads, starts)
+            first, coded = _distinct(pieces, starts)
+        openings = pieces.filter(pa.array(first))
+        ids = self._ids(coded.dictionary).take(coded.indices)
+        _, offsets, data = ids.buffers()
+        at = np.frombuffer(offsets, np.int32, len(ids) + 1, 4 * ids.offset) if len(ids) else np.zeros(1, np.int32)
+        at, data = at[starts - np.arange(len(starts))].tolist(), memoryview(data or b"")
+        for opening, a, b in zip(openings, at, at[1:], strict=False):
+            yield b"".join((self._words(opening.as_py()), data[a:b]))
+
+    def _ids(self, pieces: pa.StringArray) -> pa.BinaryArray:
+        """The ids of distinct pieces, each with the blank before it; these are remembered before those of earlier runs."""
+        at = pc.index_in(pieces, value_set=self.known)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        old = at.drop_null().to_numpy()
+        made = pa.array(map(self._piece, pieces.filter(pa.array(new)).to_pylist()), pa.binary())
+        place = np.empty(len(pieces), np.int64)
+        place[~new] = old
+        place[new] = len(self.known) + np.arange(len(made))
+        ids = pa.concat_arrays([self.known_ids, made]).take(pa.array(place))
+        usual = pc.and_not(pc.less_equal(pc.binary_length(pieces), LONGEST_KEY), pc.match_substring(pieces, "\n"))
+        rest = np.ones(len(self.known), bool)
+        rest[old] = False
+        for name, latest_ones in (("known", pieces), ("known_ids", ids)):
+            kept = latest_ones.filter(usual)[:KNOWN]
+            setattr(self, name, pa.concat_arrays([kept, getattr(self, name).filter(pa.array(rest))[: KNOWN - len(kept)]]))
+        return ids
+
     def _word(self, word: str) -> bytes:
         if word.isascii() and word.isprintable():  # only the blank has another letter
             letters = word.replace(" ", self.letters[0x20])
@@ -194,6 +253,7 @@ class Encoder:
 
 
 _GAPS = re.compile(r" (?:\s|$)")
+_GAP = r"\A(?:\z|[\t-\r\x{85}\p{Z}])"  # for Arrow: empty, or white space in front
 MARKS = ".,;:!?"
 _LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 
@@ -203,6 +263,33 @@ def _is_word(stem: str) -> bool:
     return stem.isalpha() if stem.isascii() else _LATIN.fullmatch(stem) is not None
 
 
+def _distinct(pieces: pa.StringArray, starts: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Which pieces begin a text, and the others by their distinct values."""
+    first = np.zeros(len(pieces), bool)
+    first[starts[:-1]] = True
+    return first, pieces.filter(pa.array(~first)).dictionary_encode()
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.StringArray]]:
+    """Ids and texts of consecutive rows, of ``RUN`` bytes at most (a few more count for each row) or one row."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        begin = 0
+        for i, n in enumerate(pc.add(pc.binary_length(batch.column(1)), ROW).to_pylist()):
+            if size and size + n > RUN:
+                yield _joined([*held, batch.slice(begin, i - begin)])
+                held, size, begin = [], 0, i
+            size += n
+        held.append(batch.slice(begin))
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> tuple[list, pa.StringArray]:
+    return [i for b in held for i in b.column(0).to_pylist()], pa.concat_arrays([b.column(1) for b in held]).cast(pa.string())
+
+
 def highest_id(spec: str) -> int:
     told = json.loads(spec)
     vocab = told["model"].get("vocab", {})
@@ -283,11 +370,11 @@ def write_records(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = latest(shared, Encoder), None
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+        for doc_ids, texts in _runs(batches):
+            for doc_id, ids in zip(doc_ids, encode.together(texts), strict=True):
                 if out is None:
                     out = _Shard(folder, TaskContext.get().partitionId(), bytes_per_id)
-                out.add(doc_id.as_py(), encode(text.as_py()) + end)
+                out.add(doc_id, ids + end)
         if out is not None:
             yield out.close()
 
@@ -314,28 +401,34 @@ def _drop_strays(folder: str, counted: set[str]) -> None:
 INDEX = "id long, shard int, file string, width int, offset long, start long, n_tokens long"
 
 
-def read_index(manifest: DataFrame) -> DataFrame:
-    """Every record's place, from the index files: ``id, shard, file, width, offset, start, n_tokens``."""
+def _blocks(manifest: DataFrame) -> DataFrame:
+    """The places of index blocks, dealt out to tasks."""
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_records") - 1, F.lit(INDEX_BLOCK).cast("long"))).alias("at")
     blocks = manifest.where("n_records > 0").select("shard", "file", "width", "start", block)
+    # A given number of tasks: these rows are few bytes but much work, which adaptive execution can't know.
+    return blocks.repartition(shuffle_partitions(manifest.sparkSession), "file", "at")
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The index entries in each block."""
     names = INDEX.replace(",", "").split()[::2]
+    for batch in batches:
+        for shard, file, w, start, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            files, path = _file_system(file)
+            with files.open_input_file(path + ".idx") as f:
+                raw = f.read_at(INDEX_BLOCK * ENTRY.itemsize, at * ENTRY.itemsize)
+            e = np.frombuffer(raw, ENTRY)
+            whole = lambda c: e[c].astype(np.int64)  # noqa: E731, B023
+            columns = [
+                pa.array(whole("id"), pa.int64(), mask=e["known"] == 0), pa.array([shard] * len(e), pa.int32()), pa.array([file] * len(e), pa.string()),
+                pa.array([w] * len(e), pa.int32()), pa.array(whole("offset")), pa.array(whole("first") + start), pa.array(whole("tokens")),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard, file, w, start, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                files, path = _file_system(file)
-                with files.open_input_file(path + ".idx") as f:
-                    raw = f.read_at(INDEX_BLOCK * ENTRY.itemsize, at * ENTRY.itemsize)
-                e = np.frombuffer(raw, ENTRY)
-                whole = lambda c: e[c].astype(np.int64)  # noqa: E731, B023
-                columns = [
-                    pa.array(whole("id"), pa.int64(), mask=e["known"] == 0), pa.array([shard] * len(e), pa.int32()), pa.array([file] * len(e), pa.string()),
-                    pa.array([w] * len(e), pa.int32()), pa.array(whole("offset")), pa.array(whole("first") + start), pa.array(whole("tokens")),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    # A given number of tasks: these rows are few bytes but much work, which adaptive execution can't know.
-    return blocks.repartition(shuffle_partitions(manifest.sparkSession), "file", "at").mapInArrow(run, INDEX)
+def read_index(manifest: DataFrame) -> DataFrame:
+    """Every record's place, from the index files: ``id, shard, file, width, offset, start, n_tokens``."""
+    return _blocks(manifest).mapInArrow(_entries, INDEX)
 
 
 def _payloads(batch: pa.RecordBatch, opened: dict) -> Iterator[np.ndarray]:
@@ -354,31 +447,33 @@ def _payloads(batch: pa.RecordBatch, opened: dict) -> Iterator[np.ndarray]:
         yield np.frombuffer(payload, "<u2" if w == 2 else "<u4")
 
 
-def _read(index: DataFrame, value: str, of: Callable[[np.ndarray], object], kind: pa.DataType) -> DataFrame:
-    """``index`` with ``value``: what ``of`` makes of a record's ids."""
+def _read(places: DataFrame, value: str, of: Callable[[np.ndarray], object], kind: pa.DataType, blocks: bool) -> DataFrame:
+    """Index rows, or those in index blocks, with ``value``: what ``of`` makes of a record's ids. One Python step: each is a worker beside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict = {}
-        for batch in batches:
-            told = pa.array([of(ids) for ids in _payloads(batch, opened)], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, told], names=[*batch.schema.names, value.split()[0]])
+        for whole in _entries(batches) if blocks else batches:
+            for at in range(0, whole.num_rows, READ_ROWS):
+                batch = whole.slice(at, READ_ROWS)
+                told = pa.array([of(ids) for ids in _payloads(batch, opened)], kind)
+                yield pa.RecordBatch.from_arrays([*batch.columns, told], names=[*batch.schema.names, value.split()[0]])
         for f in opened.values():
             f.close()
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in index.schema.fields)
-    return index.mapInArrow(run, f"{schema}, {value}")
+    return places.mapInArrow(run, f"{INDEX}, {value}")
 
 
 def read_records(manifest: DataFrame, seed: int | None = None) -> DataFrame:
     """``id, start, ids`` of every record: in file order, or (with a seed) dealt out in a random order that the seed fixes."""
     small_batches(manifest.sparkSession, 256)
-    index = read_index(manifest)
-    if seed is not None:
-        index = index.withColumn("at", F.xxhash64(F.lit(seed), "shard", "offset")).repartitionByRange("at", "shard", "offset").sortWithinPartitions("at", "shard", "offset").drop("at")
-    return _read(index, "ids array<int>", lambda ids: ids.astype(np.int32), pa.list_(pa.int32())).select("id", "start", "ids")
+    if seed is None:
+        places = _blocks(manifest)
+    else:
+        places = read_index(manifest).withColumn("at", F.xxhash64(F.lit(seed), "shard", "offset")).repartitionByRange("at", "shard", "offset").sortWithinPartitions("at", "shard", "offset").drop("at")
+    return _read(places, "ids array<int>", lambda ids: ids.astype(np.int32), pa.list_(pa.int32()), blocks=seed is None).select("id", "start", "ids")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
     """``id, start, n_tokens, ids_crc32`` of every record, from the files: CRC-32 of its ids as little-endian 32-bit integers."""
     crc = lambda ids: zlib.crc32(ids.astype("<u4").tobytes())
-    return _read(read_index(manifest), "ids_crc32 long", crc, pa.int64()).select("id", "start", "n_tokens", "ids_crc32")
+    return _read(_blocks(manifest), "ids_crc32 long", crc, pa.int64(), blocks=True).select("id", "start", "n_tokens", "ids_crc32")

@@ -3,11 +3,15 @@
 import os
 import random
 import struct
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+import regex
 from tokenizers import Tokenizer
 
 from riskframe.llm import id_records as ir
@@ -159,3 +163,66 @@ def test_usual_pieces_need_no_split_pattern():
     assert n == len(set(made)) and "Ġzebu" in made
     encode("A yak, zebu.\nNow zebus, zebu!")
     assert len(made) == n
+
+
+def test_white_space_is_that_of_the_cut():
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    gap = pc.match_substring_regex(pa.array(letters), ir._GAP).to_pylist()
+    assert gap == [regex.match(r"\s", c) is not None for c in letters]
+    assert pc.match_substring_regex(pa.array(["", "a", "a ", "\na"]), ir._GAP).to_pylist() == [True, False, False, True]
+
+
+@pytest.mark.parametrize("known", [5, 1 << 19])
+def test_texts_of_a_run_equal_the_library(monkeypatch, known):
+    monkeypatch.setattr(ir, "KNOWN", known)
+    with open(PATH, encoding="utf-8") as f:
+        encode = ir.Encoder(f.read())
+    rng = random.Random(4)
+    parts = ["a", "zebu", "é", "7", " ", " ", "  ", "\n", "\t", ".", ",", "'s", "\u3000", "\x1c", "\x85", "\xa0", "日", "\r\n", " <|endoftext|>"]
+    texts = [t or "" for t in ODD] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(2000)]
+    tok = Tokenizer.from_file(PATH)
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for n in (1, 7, 500, len(texts)):
+        got = [x for at in range(0, len(texts), n) for x in encode.together(pa.array(texts[at : at + n], pa.string()))]
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == want
+    assert list(encode.together(pa.array([], pa.string()))) == []
+    assert len(encode.known) == len(encode.known_ids) <= known and len(set(encode.known.to_pylist())) == len(encode.known)
+
+
+def test_runs_are_bounded(monkeypatch):
+    monkeypatch.setattr(ir, "RUN", 1000)
+    sizes = [0, 5, 2000, 1, 400, 400, 400, 0, 0, 900, 3000, 3000, *[0] * 60]
+    batches = [pa.record_batch({"id": list(range(at, at + 5))[: len(sizes) - at], "text": pa.array(["x" * n for n in sizes[at : at + 5]], pa.large_string())}) for at in range(0, len(sizes), 5)]
+    runs = list(ir._runs(iter(batches)))
+    assert [i for ids, _ in runs for i in ids] == list(range(len(sizes)))
+    assert [len(t.as_py()) for _, texts in runs for t in texts] == sizes
+    assert len(runs) > 8 and all(len(ids) == 1 or sum(len(t.as_py()) for t in texts) <= 1000 and len(ids) < 20 for ids, texts in runs)
+    with open(PATH, encoding="utf-8") as f:
+        encode = ir.Encoder(f.read())
+    long = "a  zebu <|endoftext|>\n " * 100
+    assert np.frombuffer(next(encode.together(pa.array([long]))), "<u2").tolist() == library(long)
+
+
+def test_what_is_remembered_stays_small():
+    with open(PATH, encoding="utf-8") as f:
+        encode = ir.Encoder(f.read())
+    rng = random.Random(6)
+    text = " ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(200_000))
+    tracemalloc.start()
+    try:
+        encode(text)
+        assert tracemalloc.get_traced_memory()[0] < 16e6  # all of them as Python objects are 26 MB
+        before = pa.total_allocated_bytes()
+        for _ in encode.together(pa.array([text])):
+            pass
+        assert len(encode.known) > 190_000
+        assert tracemalloc.get_traced_memory()[0] < 16e6 and pa.total_allocated_bytes() - before < 10e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_reading_takes_one_python_step(spark):
+    manifest, out = digests(spark, [(i, f"text {i}") for i in range(600)])
+    for df in (out, ir.read_records(manifest)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1  # each is a Python worker beside the others
+    assert ir.read_index(manifest).count() == 600
