@@ -40,3 +40,9 @@ def test_boosted_predictions_have_no_time_limit(spark, monkeypatch):
     rows, deadline, done = _whole(spark, monkeypatch, q_train.q_cv_gbt)
     assert deadline is None and done.complete and [s.rounds for s in done.folds] == [7, 7]
     assert len(rows) == 210 and all(0 < r.pred < 1 for r in rows)
+
+
+def test_importances_come_from_all_rounds(spark, monkeypatch):
+    rows, deadline, done = _whole(spark, monkeypatch, q_train.q_importance_agg)
+    assert deadline is None and done.complete and all(len(s.trees) == 7 for s in done.folds)
+    assert [r.feature for r in rows][0] == "a" and {r.feature for r in rows} == {"a", "b", "k"}
