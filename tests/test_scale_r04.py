@@ -110,9 +110,47 @@ def test_feature_tables_leave_one_table_and_read_it(spark, tmp_path, monkeypatch
 def test_shuffle_files_go_with_the_table_written(spark, tmp_path):
     before = spark.conf.get(common.REMOVE_SHUFFLES, "false")
     df = spark.range(2000).selectExpr("id % 1000 k").groupBy("k").count()
-    with common._shuffles_removed(spark), common._shuffles_removed(spark):
+    with common.shuffles_removed(spark), common.shuffles_removed(spark):
         assert spark.conf.get(common.REMOVE_SHUFFLES) == "true"
     held = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
     known = held.size()
-    assert common.write_table(df).count() == 1000  # a count's own shuffle may stay
+    assert common.materialize(df).count() == 1000  # a count's own shuffle may stay
     assert held.size() - known <= 1 and spark.conf.get(common.REMOVE_SHUFFLES, "false") == before
+
+
+def test_boosting_keeps_the_rows_of_one_stage(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+
+    df = tr._folds.stratified_folds(_rows(spark), "isDefault", 2)
+    rows = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df).selectExpr("id", "double(isDefault) y", "fold", "1d w", "x")
+    params = {"maxIter": 2, "maxDepth": 2, "bins": 16}
+    wide = boost.train(rows, 2, params, str(tmp_path / "wide"), stage=1)
+    assert sorted(p.name for p in (tmp_path / "wide").glob("rows-*")) == ["rows-2"]
+    # One fold after the other, where the points of two are too many: the same trees.
+    monkeypatch.setattr(boost, "SIDE_BY_SIDE_BYTES", 1)
+    asked, side = [], boost._side_by_side
+    monkeypatch.setattr(boost, "_side_by_side", lambda spark, fn, items, most=None: asked.append(most) or side(spark, fn, items, most))
+    narrow = boost.train(rows, 2, params, str(tmp_path / "narrow"), stage=1)
+    assert asked.count(1) == 2
+    a, b = ({r.id: (r.b0, r.b1) for r in m.margins.collect()} for m in (wide, narrow))
+    assert all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+    # A training without a round leaves nothing; one with a round stays.
+    boost.train(rows, 2, params, str(tmp_path / "late"), deadline=0.0)
+    for name, stays in (("late", False), ("wide", True)):
+        boost.discard_unstarted(spark, str(tmp_path / name))
+        assert (tmp_path / name).exists() == stays
+
+
+@pytest.mark.parametrize("name", ["L0", "LR", "broken"])
+def test_training_leaves_its_predictions_only(spark, name):
+    df = common.materialize(_rows(spark))
+    before = _kept(spark)
+    few = {"maxDepth": 2, "minLeaf": 5, "maxIter": 2, "bins": 16} if name == "L0" else {}
+    cfg = tr.ModelConfig("broken", "none", 2, {}) if name == "broken" else tr.with_overrides(tr.CONFIGS[name], n_folds=2, **few)
+    out = tr.run_models(df, df.limit(10).drop("isDefault"), ["a", "b"], [], [cfg]).collect()
+    assert [r.status for r in out] == ["failed" if name == "broken" else "ok"] and _kept(spark) == before
+    if name != "broken":
+        res = tr.train_cv(df, df.limit(10).drop("isDefault"), ["a", "b"], [], cfg, spent=[df])
+        left = _kept(spark)
+        assert df.inputFiles()[0].split("/")[-2] not in left
+        assert len(left - before) == 2 and res.predictions.count() == 210  # predictions, and scores in ranges for the folds' AUCs
